@@ -4,27 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 
 from cloneframe.llm.minhash_forest import near_duplicates
+from cloneframe.llm.packing import pack
+from cloneframe.llm.pii import pseudonymise
+from cloneframe.llm.quality import measure, train
 from cloneframe.llm.substring_dedup import remove_repeats
 
+#: For the tests and the check; a deployment passes its own secret.
+PII_KEY = "cloneframe-demo-key"
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_read(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), with_ids=False)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return measure(docs, train(docs, _read(spark, sf_dir, "labels")), carry=["doc_id"])
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, 35).drop("text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
     "op4_minhash_forest": op4_minhash_forest,
+    "op5_packing": op5_packing,
+    "op7_quality": op7_quality,
     "op9_substring_dedup": op9_substring_dedup,
 }
 

@@ -8,7 +8,7 @@ Texts pass through in pieces of about PIECE bytes, so temporary arrays stay smal
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -56,9 +56,11 @@ def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """starts, ends: byte ranges in buf; hashes: of each word; first: index of the first word of each row, and the end."""
+    """buf, offs: the rows' bytes; starts, ends: byte ranges; hashes: of each word; first: index of the first word of
+    each row, and the end."""
 
     buf: np.ndarray
+    offs: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
@@ -69,6 +71,10 @@ class Words:
         """Row of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def lowered(self) -> Words:
+        """The same words with A-Z lower-cased."""
+        return replace(self, hashes=_hashes(LOWER[self.buf], self.starts, self.ends))
+
 
 def texts(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; null counts as empty."""
@@ -90,12 +96,27 @@ def pieces(offs: np.ndarray) -> Iterator[tuple[int, int]]:
         r = min(e, n)
 
 
+def _hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    hashes = np.empty(len(starts), U64)
+    w = 0
+    while w < len(starts):  # long rows go in pieces cut between words
+        e = max(w + 1, int(np.searchsorted(ends, starts[w] + PIECE, "right")))
+        lo, hi = int(starts[w]), int(ends[e - 1])
+        up, down = powers("byte", hi - lo)
+        s = np.zeros(hi - lo + 1, U64)
+        np.cumsum(BYTES[buf[lo:hi]] * up[: hi - lo], out=s[1:])
+        a, b = starts[w:e] - lo, ends[w:e] - lo
+        hashes[w:e] = mix((s[b] - s[a]) * down[a] + (b - a).astype(U64))
+        w = e
+    return hashes
+
+
 def split(buf: np.ndarray, offs: np.ndarray, lower: bool = False) -> Words:
     """The words of rows buf[offs[i]:offs[i+1]]."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
-        return Words(buf, z, z, np.zeros(0, U64), np.zeros(len(offs), np.int64))
+        return Words(buf, offs, z, z, np.zeros(0, U64), np.zeros(len(offs), np.int64))
     if lower:
         buf = LOWER[buf]
     solid = ~SPACE[buf]
@@ -105,18 +126,7 @@ def split(buf: np.ndarray, offs: np.ndarray, lower: bool = False) -> Words:
     head[1:] &= ~solid[:-1] | cut[1:-1]
     tail[:-1] &= ~solid[1:] | cut[1:-1]
     starts, ends = np.flatnonzero(head), np.flatnonzero(tail) + 1
-    hashes = np.empty(len(starts), U64)
-    w = 0
-    while w < len(starts):  # long rows go in pieces cut between words
-        e = max(w + 1, int(np.searchsorted(ends, starts[w] + PIECE, "right")))
-        lo, hi = int(starts[w]), int(ends[e - 1])
-        up, down = powers("byte", hi - lo)
-        s = np.zeros(hi - lo + 1, U64)
-        np.cumsum(BYTES[buf[lo:hi]] * up[: hi - lo], out=s[1:])
-        a, b = starts[w:e] - lo, ends[w:e] - lo
-        hashes[w:e] = mix((s[b] - s[a]) * down[a] + (b - a).astype(U64))
-        w = e
-    return Words(buf, starts, ends, hashes, np.searchsorted(starts, offs))
+    return Words(buf, offs, starts, ends, _hashes(buf, starts, ends), np.searchsorted(starts, offs))
 
 
 def batches(array: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
