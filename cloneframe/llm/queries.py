@@ -7,6 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 
+from cloneframe.llm.bpe import round_trip
 from cloneframe.llm.minhash_forest import near_duplicates
 from cloneframe.llm.packing import pack
 from cloneframe.llm.pii import pseudonymise
@@ -43,12 +44,17 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, 35).drop("text")
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_read(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op4_minhash_forest": op4_minhash_forest,
     "op5_packing": op5_packing,
     "op7_quality": op7_quality,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, str] = {}
