@@ -3,10 +3,11 @@
 A document's set is its distinct k-word shingles (A-Z lower-cased). Equal sets fall into one class first, so a group
 of copies, however large, goes on as one row. Each class gets one entry per tree: the tree's first `depth` minima as
 bucket, and further minima as tail. All entries are ordered by (bucket, tail, id) with range partitioning, which
-splits a hot bucket over tasks, and every entry is a candidate with its `near` predecessors of the bucket in that
-order: those with the longest common prefixes. So a bucket of up to near + 1 entries gives all its pairs at the
-smallest depth, and in a crowded region the neighbours agree to a greater depth; the trees' tails differ, so each
-tree gives other neighbours there. Rows at the borders of partitions meet in a second, small pass.
+splits a hot bucket over tasks, and every entry is a candidate with its predecessors of the bucket in that order,
+those with the longest common prefixes: the first `near` + 1 entries of a bucket with all of them, later ones with
+the `crowd` nearest. So a bucket of up to near + 1 entries gives all its pairs at the smallest depth, and in a
+crowded region the neighbours agree to a greater depth; the trees' tails differ, so each tree gives other neighbours
+there. Rows at the borders of partitions meet in a second, small pass.
 
 Candidates are confirmed on full sets. First the most frequent candidate of each class is, then, of the others, those
 whose ends the confirmed links have not joined yet; confirming more could not change a component. With similarity
@@ -92,14 +93,14 @@ def _entries(reps: DataFrame, trees: int, depth: int) -> DataFrame:
     return reps.select("id", "sig").mapInArrow(run, "bucket long, tail binary, id long")
 
 
-def _neighbours(ordered: DataFrame, near: int, borders: bool) -> DataFrame:
-    """Pairs (a, b) of entries up to near places apart in one bucket; with borders, also the partition's first and last
+def _neighbours(ordered: DataFrame, near: int, crowd: int, borders: bool) -> DataFrame:
+    """Pairs (a, b) of entries of one bucket, near places apart among its first, crowd among the others; with borders, also the partition's first and last
     entries, b null."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("tail", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kb, kt, ki = np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(0, np.int64)
-        told = 0
+        told, passed = 0, 0  # passed: entries of the last bucket so far
 
         def border(bucket, tail, i):
             return pa.record_batch([pa.array(i), pa.nulls(len(i), pa.int64()), pa.array(bucket), tail], schema=schema)
@@ -112,11 +113,19 @@ def _neighbours(ordered: DataFrame, near: int, borders: bool) -> DataFrame:
                 told += min(n, len(ids))
             allb, alli = np.concatenate([kb, bucket]), np.concatenate([ki, ids])
             old = len(kb)
+            head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+            place = np.arange(len(bucket)) - np.repeat(head, np.diff(np.append(head, len(bucket))))
+            if old and len(bucket) and bucket[0] == kb[-1]:
+                place[: head[1] if len(head) > 1 else None] += passed
+            if len(place):
+                passed = int(place[-1]) + 1
             for w in range(1, near + 1):
                 if len(allb) <= w:
                     break
                 same = np.flatnonzero(allb[w:] == allb[:-w])
                 same = same[same + w >= old]
+                if w > crowd:
+                    same = same[place[same + w - old] <= near]
                 x, y = alli[same], alli[same + w]
                 go = x != y
                 if go.any():
@@ -152,7 +161,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, trees: int = 24, depth: int = 3, near: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, trees: int = 24, depth: int = 3, near: int = 8, crowd: int = 3) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) per row of docs."""
     scratch = Scratch(docs.sparkSession)
     sigs = scratch.put("signatures", signatures(docs, id_col, text_col, k, trees * depth))
@@ -161,9 +170,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     order = ("bucket", "tail", "id")
     entries = _entries(reps, trees, depth).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = scratch.put("neighbours", _neighbours(entries, near, True).groupBy("a", "b", "bucket", "tail").agg(F.count(F.lit(1)).alias("n")))
+    found = scratch.put("neighbours", _neighbours(entries, near, crowd, True).groupBy("a", "b", "bucket", "tail").agg(F.count(F.lit(1)).alias("n")))
     rest = found.filter("b is null").select("bucket", "tail", F.col("a").alias("id")).repartition(1).sortWithinPartitions(*order)
-    rest = _neighbours(rest, near, False).select("a", "b", F.lit(1).cast("long").alias("n"))
+    rest = _neighbours(rest, near, crowd, False).select("a", "b", F.lit(1).cast("long").alias("n"))
     pairs = found.filter("b is not null").select("a", "b", "n").unionByName(rest)
     pairs = scratch.put("pairs", pairs.groupBy("a", "b").agg(F.sum("n").alias("n")))
     scratch.drop("neighbours")
