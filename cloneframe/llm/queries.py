@@ -12,6 +12,7 @@ from cloneframe.llm.minhash_forest import near_duplicates
 from cloneframe.llm.packing import pack
 from cloneframe.llm.pii import pseudonymise
 from cloneframe.llm.quality import measure, train
+from cloneframe.llm.sketch import fingerprints
 from cloneframe.llm.substring_dedup import remove_repeats
 
 #: For the tests and the check; a deployment passes its own secret.
@@ -34,6 +35,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op6_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return measure(docs, train(docs, _read(spark, sf_dir, "labels")), carry=["doc_id"])
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op4_minhash_forest": op4_minhash_forest,
     "op5_packing": op5_packing,
+    "op6_sketch": op6_sketch,
     "op7_quality": op7_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_bpe": op10_bpe,
