@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cloneframe.llm import warc
 from cloneframe.llm.bpe import round_trip
+from cloneframe.llm.common import scratch_path
 from cloneframe.llm.minhash_forest import near_duplicates
 from cloneframe.llm.packing import pack
 from cloneframe.llm.pii import pseudonymise
@@ -23,6 +26,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = scratch_path(spark, "warc")
+    warc.write(_read(spark, sf_dir, "pages"), archives)
+    read = warc.read(spark, archives, with_payload=False)
+    digest = F.when(F.col("record_type") == "response", F.col("block_digest")).otherwise(F.col("payload_digest"))
+    return read.select(F.col("id").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_read(spark, sf_dir, "documents"), PII_KEY)
 
@@ -54,6 +65,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_pii": op2_pii,
     "op4_minhash_forest": op4_minhash_forest,
     "op5_packing": op5_packing,
@@ -63,4 +75,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+OP1 = """
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN refers IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers AS refers_to
+FROM (
+  SELECT page_id, n, digest,
+    CASE WHEN n >= 100 AND min(page_id) OVER (PARTITION BY digest) IS DISTINCT FROM page_id
+      THEN min(page_id) OVER (PARTITION BY digest) END AS refers
+  FROM (
+    SELECT page_id, cast(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS digest FROM pages
+  )
+)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_warc": OP1,
+}
