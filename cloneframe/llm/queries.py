@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cloneframe.llm import warc
 from cloneframe.llm.bpe import round_trip
 from cloneframe.llm.common import scratch_path
+from cloneframe.llm.html_text import extract
 from cloneframe.llm.minhash_forest import near_duplicates
 from cloneframe.llm.packing import pack
 from cloneframe.llm.pii import pseudonymise
@@ -38,6 +39,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_read(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_read(spark, sf_dir, "pages"), carry=["page_id", "url"])
+
+
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -67,6 +72,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_pii": op2_pii,
+    "op3_html_text": op3_html_text,
     "op4_minhash_forest": op4_minhash_forest,
     "op5_packing": op5_packing,
     "op6_sketch": op6_sketch,
