@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cloneframe.llm import warc
 from cloneframe.llm.bpe import round_trip
 from cloneframe.llm.common import scratch_path
+from cloneframe.llm.hmm import score_documents
 from cloneframe.llm.html_text import extract
 from cloneframe.llm.minhash_forest import near_duplicates
 from cloneframe.llm.packing import pack
@@ -60,6 +61,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(docs, train(docs, _read(spark, sf_dir, "labels")), carry=["doc_id"])
 
 
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, 35).drop("text")
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_sketch": op6_sketch,
     "op7_quality": op7_quality,
+    "op8_hmm": op8_hmm,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_bpe": op10_bpe,
 }
