@@ -9,6 +9,10 @@ the `crowd` nearest. So a bucket of up to near + 1 entries gives all its pairs a
 crowded region the neighbours agree to a greater depth; the trees' tails differ, so each tree gives other neighbours
 there. Rows at the borders of partitions meet in a second, small pass.
 
+Depth adapts by region: buckets with more than near + 1 entries whose links, once confirmed, leave them in several
+components are undecided. Their members alone go into a further forest, `depth` deeper and with as many trees as keep
+the chance of a miss, and so on until no bucket is undecided.
+
 Candidates are confirmed on full sets. First the most frequent candidate of each class is, then, of the others, those
 whose ends the confirmed links have not joined yet; confirming more could not change a component. With similarity
 s, a link is missed in buckets of up to near + 1 entries with probability (1 - s**depth)**trees: 2e-6 at 0.75.
@@ -20,6 +24,7 @@ and is kept only where nothing else is in its class. An empty table gives an emp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,8 +99,9 @@ def _entries(reps: DataFrame, trees: int, depth: int) -> DataFrame:
 
 
 def _neighbours(ordered: DataFrame, near: int, crowd: int, borders: bool) -> DataFrame:
-    """Pairs (a, b) of entries of one bucket, near places apart among its first, crowd among the others; with borders, also the partition's first and last
-    entries, b null."""
+    """Pairs (a, b) of entries of one bucket, near places apart among its first, crowd among the others. Besides, with
+    b null: members of buckets with more than near + 1 entries (tail null) and, with borders, the partition's first and
+    last entries (with their tail)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("tail", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +137,14 @@ def _neighbours(ordered: DataFrame, near: int, crowd: int, borders: bool) -> Dat
                 if go.any():
                     x, y = x[go], y[go]
                     yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary())], schema=schema)
+            late = np.flatnonzero(place > near) + old
+            over = np.flatnonzero(place == near + 1) + old
+            full = np.concatenate([late, *([over - w for w in range(1, near + 2)] if len(over) else [])])
+            if len(full):
+                yield border(allb[full], pa.nulls(len(full), pa.binary()), alli[full])
             kt = pa.concat_arrays([kt, b.column(1)])
-            kb, ki = allb[-near:], alli[-near:]
-            kt = pa.array(kt.slice(max(0, len(kt) - near)).to_pylist(), pa.binary())
+            kb, ki = allb[-near - 1 :], alli[-near - 1 :]
+            kt = pa.array(kt.slice(max(0, len(kt) - near - 1)).to_pylist(), pa.binary())
         if borders and len(ki):
             yield border(kb, kt, ki)
 
@@ -161,39 +172,68 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, trees: int = 24, depth: int = 3, near: int = 8, crowd: int = 3) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) per row of docs."""
-    scratch = Scratch(docs.sparkSession)
-    sigs = scratch.put("signatures", signatures(docs, id_col, text_col, k, trees * depth))
-    classes = sigs.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("id").alias("node"))
-    reps = sigs.filter("n_shingles > 0").join(classes.withColumnRenamed("node", "id"), ["s1", "s2", "id"], "left_semi")
-
+def _candidates(scratch: Scratch, reps: DataFrame, trees: int, depth: int, near: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs a, b, n trees; members of crowded buckets: bucket, id) of one forest."""
     order = ("bucket", "tail", "id")
     entries = _entries(reps, trees, depth).repartitionByRange(*order).sortWithinPartitions(*order)
     found = scratch.put("neighbours", _neighbours(entries, near, crowd, True).groupBy("a", "b", "bucket", "tail").agg(F.count(F.lit(1)).alias("n")))
-    rest = found.filter("b is null").select("bucket", "tail", F.col("a").alias("id")).repartition(1).sortWithinPartitions(*order)
-    rest = _neighbours(rest, near, crowd, False).select("a", "b", F.lit(1).cast("long").alias("n"))
+    rest = found.filter("b is null and tail is not null").select("bucket", "tail", F.col("a").alias("id")).repartition(1).sortWithinPartitions(*order)
+    rest = _neighbours(rest, near, crowd, False).filter("b is not null").select("a", "b", F.lit(1).cast("long").alias("n"))
     pairs = found.filter("b is not null").select("a", "b", "n").unionByName(rest)
     pairs = scratch.put("pairs", pairs.groupBy("a", "b").agg(F.sum("n").alias("n")))
+    full = scratch.put("crowded", found.filter("b is null and tail is null").select("bucket", F.col("a").alias("id")))
     scratch.drop("neighbours")
+    return pairs, full
+
+
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    for c in ("a", "b"):
+        pairs = pairs.join(comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+    return pairs.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _undecided(full: DataFrame, comp: DataFrame) -> DataFrame:
+    """Ids in crowded buckets of several components."""
+    named = full.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    several = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("bucket")
+    return full.join(several, "bucket", "left_semi").select("id").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, trees: int = 24, depth: int = 3, near: int = 8, crowd: int = 3) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept) per row of docs."""
+    scratch = Scratch(docs.sparkSession)
+    sigs = scratch.put("signatures", signatures(docs, id_col, text_col, k, trees * depth))
+    classes = sigs.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("id").alias("node"))
+    reps = sigs.filter("n_shingles > 0").join(classes.withColumnRenamed("node", "id"), ["s1", "s2", "id"], "left_semi")
+    pairs, full = _candidates(scratch, reps, trees, depth, near, crowd)
 
     need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(need.hint("merge"), "id", "left_semi")
-    texts = scratch.put("texts", texts)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = scratch.put("texts", texts.join(need.hint("merge"), "id", "left_semi"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     best = both.groupBy("a").agg(F.max(F.struct("n", F.xxhash64("a", "b").alias("h"), "b")).alias("m"))
-    best = scratch.put("best", best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct())
-    links = scratch.put("links", _confirmed(best, texts, k, percent))
-    comp = scratch.put("groups", components(links))
-    open_ = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
-    for c in ("a", "b"):
-        open_ = open_.join(comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
-    open_ = open_.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = scratch.put("more", _confirmed(open_, texts, k, percent))
-    scratch.drop("texts", "pairs", "best")
-    comp = keep(components(links.unionByName(more).unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    best = best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+    comp = scratch.put("groups", components(_confirmed(best, texts, k, percent)))
+
+    missed = (1 - (percent / 100) ** depth) ** trees
+    deep, turn = depth, 0
+    while True:
+        # what the confirmed links have joined needs no look again
+        more = scratch.put(f"more{turn}", _confirmed(_apart(pairs, comp), texts, k, percent))
+        stars = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        comp = scratch.put(f"groups{turn}", components(stars.unionByName(more)))
+        again = scratch.put(f"undecided{turn}", _undecided(full, comp))
+        scratch.drop("pairs", "crowded")
+        if again.isEmpty():
+            break
+        deep, turn = deep + depth, turn + 1
+        many = math.ceil(math.log(missed) / math.log(1 - (percent / 100) ** deep))
+        reps = signatures(texts.join(again, "id", "left_semi"), "id", "text", k, many * deep)
+        pairs, full = _candidates(scratch, reps, many, deep, near, crowd)
+
     named = sigs.select("id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
-    named = named.join(comp.withColumnRenamed("component", "c"), "node", "left")
+    named = named.join(comp.select("node", F.col("component").alias("c")), "node", "left")
     group = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.coalesce("c", "node"))
     out = keep(named.select(F.col("id").alias(id_col), "n_shingles", group.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull())))
     scratch.drop()

@@ -58,6 +58,21 @@ def test_crowded_region_and_repeated_rows(spark):
     assert sorted((r.component_id is None, r.kept) for r in got if r.doc_id is None) == [(False, False), (True, True)]
 
 
+def test_undecided_regions_go_deeper(spark):
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(70)]
+    rows = []
+    for d in range(80):  # one crowd of moderate likeness, with pairs of near copies in it
+        own = [*shared, *(f"o{d}x{i}" for i in range(30))]
+        rows.append((d, " ".join(own)))
+        if d % 4 == 0:
+            own[rng.randrange(100)] = "changed"
+            rows.append((1000 + d, " ".join(own)))
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, near=4, crowd=1).collect()}
+    assert got == brute(rows)
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
