@@ -14,8 +14,8 @@ FILE = path("byte_bpe_50k.json")
 def test_encoder_equals_the_library():
     rng = random.Random(5)
     encode, library = Encoder(FILE), Tokenizer.from_file(FILE)
-    alphabet = ["a", "The", "don't", "'s", "é", "12", "!!", "\n", " ", " ", " ", "  ", "\t", " ", "<|endoftext|>", " ", "日本", "\r\n", "_", "\x1c"]
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [None, "x" * 5000]
+    alphabet = ["a", "The", "don't", "'s", "é", "12", "!!", "\n", " ", " ", " ", "  ", "\t", " ", "<|endoftext|>", " ", "日本", "\r\n", "_", "\x1c", "“", "—", "Ж", "α", "ª", "½", "\u2003", "ꙮ", "🙂", "\xa0", "\x85"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [None, "x" * 5000, " " * 3_000_000 + "a", "é1" * 300_000]
     for t in texts:
         assert encode(t) == np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
