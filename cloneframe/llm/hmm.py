@@ -4,8 +4,9 @@ Tokens are a text's words (A-Z lower-cased) and one end. A state emits one of `c
 the end has its own), and a class emits its words in proportion to their smoothed corpus counts. So the latent part
 has a fixed size, K states and K x classes shares, while word counts are exact and cover the whole vocabulary.
 
-1. Each task turns what it reads into blocks of some two million tokens: the block's distinct words once, and its
-   documents as places in that list. Blocks are written to the shared folder; all later steps read them.
+1. Each task turns what it reads into blocks of some two million tokens: the block's distinct words once, most
+   frequent first, and its documents as places in that list (small numbers mostly, so they compress to a fifth of
+   the text). Blocks are written to the shared folder; all later steps read them, one block at a time.
 2. Word counts: every block sends its distinct words with its training counts, sorted and packed, to shards of the
    hash range. A shard merges them and sends each block the corpus counts of its words. A block names a word once,
    so a frequent word costs a place a block, and the number of shards follows the number of words sent.
@@ -31,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +62,16 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 == 1
 
 
+def squeeze(places: np.ndarray) -> bytes:
+    """32-bit numbers by byte planes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 BLOCK_SCHEMA = "block long, ids binary, held binary, lengths binary, vocab binary, tokens binary, n_vocab long, n_train long, train_docs long"
 
 
@@ -70,10 +82,14 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         ids = [i for p in parts for i in p[0]]
         held = np.array([held_out(i) for i in ids], np.uint8)
         lengths = np.concatenate([p[1] for p in parts]).astype("<i8")
-        vocab, tokens = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+        vocab, tokens, often = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")
+        place = np.empty(len(vocab), np.uint32)
+        place[order] = np.arange(len(vocab))
+        vocab, tokens = vocab[order], place[tokens]
         known = np.array([0 if i is None else i for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], np.uint8).tobytes()
         train = int((lengths[held == 0] + 1).sum())
-        cols = [block, known, held.tobytes(), lengths.tobytes(), vocab.astype("<u8").tobytes(), tokens.astype("<u4").tobytes(), len(vocab), train, int((held == 0).sum())]
+        cols = [block, known, held.tobytes(), lengths.tobytes(), vocab.astype("<u8").tobytes(), squeeze(tokens), len(vocab), train, int((held == 0).sum())]
         return pa.RecordBatch.from_arrays([pa.array([c]) for c in cols], names=[f.split()[0] for f in BLOCK_SCHEMA.split(", ")])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +125,7 @@ class Block:
         n = len(held)
         raw = np.frombuffer(row["ids"][: 8 * n], "<i8").tolist()
         null = np.frombuffer(row["ids"][8 * n :], np.uint8)
-        return cls([None if z else i for i, z in zip(raw, null, strict=True)], held, np.frombuffer(row["lengths"], "<i8"), np.frombuffer(row["vocab"], "<u8"), np.frombuffer(row["tokens"], "<u4"))
+        return cls([None if z else i for i, z in zip(raw, null, strict=True)], held, np.frombuffer(row["lengths"], "<i8"), np.frombuffer(row.get("vocab", b""), "<u8"), unsqueeze(row["tokens"]))
 
     def train_counts(self) -> np.ndarray:
         use = np.repeat(self.held == 0, self.lengths)
@@ -128,15 +144,16 @@ def _blocks_of(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Block]]:
 
 
 def counts(table: DataFrame, shards: int, classes: int) -> DataFrame:
-    """Rows (block, shard, totals) with the corpus counts of a block's words, int64 in the order of its vocab; and rows
+    """Rows (block, shard, totals) with the corpus counts of a block's words, int64 in ascending order of the words; and rows
     with block null whose totals are, per class, the training count and the number of distinct training words."""
     width = (1 << 64) // shards + 1
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, block in _blocks_of(it):
-            own = block.train_counts()
-            cuts = np.searchsorted(block.vocab, np.array([min(s * width, (1 << 64) - 1) for s in range(1, shards)], np.uint64))
-            words, n = np.split(block.vocab, cuts), np.split(own, cuts)
+            order = np.argsort(block.vocab)
+            vocab, own = block.vocab[order], block.train_counts()[order]
+            cuts = np.searchsorted(vocab, np.array([min(s * width, (1 << 64) - 1) for s in range(1, shards)], np.uint64))
+            words, n = np.split(vocab, cuts), np.split(own, cuts)
             full = [s for s in range(shards) if len(words[s])]
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([row["block"]] * len(full), pa.int64()), pa.array([words[s].tobytes() for s in full], pa.binary()), pa.array([n[s].astype("<u4").tobytes() for s in full], pa.binary())], names=["shard", "block", "words", "n"])
 
@@ -334,33 +351,44 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     base_end = np.log10((train_docs + DELTA) / (n_train + DELTA * (v + 1)))
     end_known = int(train_docs > 0)
-    gathered = total.filter("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "totals"))).alias("all")).withColumn("totals", F.col("all.totals")).drop("all")
-    joined = table.select("block", "held", "ids", "lengths", "vocab", "tokens").join(gathered.hint("merge"), "block", "left")
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    slim = ["block", "held", "ids", "lengths", "tokens", "class", "place"]
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slimmed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each word's class and place in ascending order instead of the word itself."""
         for row, block in _blocks_of(it):
-            c = np.frombuffer(b"".join(row["totals"] or []), "<i8")
-            of_word = word_class(block.vocab, classes)
-            word_base = np.log10((c + DELTA) / (n_train + DELTA * (v + 1)))
-            word_share = np.log10((c + DELTA) / mass[of_word]) if len(c) else word_base
-            n = len(block.lengths)
-            doc = np.repeat(np.arange(n), block.lengths)
-            known = np.bincount(doc, weights=c[block.tokens] > 0, minlength=n).astype(np.int64) + end_known
-            base = np.bincount(doc, weights=word_base[block.tokens], minlength=n) + base_end
-            score = np.bincount(doc, weights=word_share[block.tokens], minlength=n)
-            first = np.cumsum(block.lengths) - block.lengths
-            for d in _parts(block.lengths + 1):
-                alive, place = _time_major(block.lengths[d] + 1)
-                cls = np.empty(len(place), np.int64)
-                cls[place] = _with_end(of_word[block.tokens[_gather(first[d], block.lengths[d])]], block.lengths[d], classes)
-                _, scale = forward(model, alive, model.emit[cls])
-                logs = np.log10(scale.astype(float))[place]
-                score[d] += np.add.reduceat(logs, np.cumsum(block.lengths[d] + 1) - (block.lengths[d] + 1))
-            cols = [pa.array(block.ids, pa.int64()), pa.array(block.held == 1), pa.array(block.lengths + 1), pa.array(known), pa.array(np.full(n, n_train)), pa.array(base), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    out = joined.mapInArrow(run, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            place = np.empty(len(block.vocab), np.uint32)
+            place[np.argsort(block.vocab)] = np.arange(len(block.vocab))
+            extra = [squeeze(word_class(block.vocab, classes).astype(np.uint32)), squeeze(place)]
+            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in [*(row[k] for k in slim[:5]), *extra]], names=slim)
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        row = {k: v[0] for k, v in left.to_pydict().items()}
+        block = Block.of(row)
+        of_word = unsqueeze(row["class"]).astype(np.int64)
+        parts = sorted(zip(right.column("shard").to_pylist(), right.column("totals").to_pylist(), strict=True))
+        c = np.frombuffer(b"".join(p[1] for p in parts), "<i8")[unsqueeze(row["place"])]
+        word_base = np.log10((c + DELTA) / (n_train + DELTA * (v + 1)))
+        word_share = np.log10((c + DELTA) / mass[of_word])
+        n = len(block.lengths)
+        doc = np.repeat(np.arange(n), block.lengths)
+        known = np.bincount(doc, weights=c[block.tokens] > 0, minlength=n).astype(np.int64) + end_known
+        base = np.bincount(doc, weights=word_base[block.tokens], minlength=n) + base_end
+        score = np.bincount(doc, weights=word_share[block.tokens], minlength=n)
+        first = np.cumsum(block.lengths) - block.lengths
+        for d in _parts(block.lengths + 1):
+            alive, place = _time_major(block.lengths[d] + 1)
+            cls = np.empty(len(place), np.int64)
+            cls[place] = _with_end(of_word[block.tokens[_gather(first[d], block.lengths[d])]], block.lengths[d], classes)
+            _, scale = forward(model, alive, model.emit[cls])
+            logs = np.log10(scale.astype(float))[place]
+            score[d] += np.add.reduceat(logs, np.cumsum(block.lengths[d] + 1) - (block.lengths[d] + 1))
+        cols = [pa.array(block.ids, pa.int64()), pa.array(block.held == 1), pa.array(block.lengths + 1), pa.array(known), pa.array(np.full(n, n_train)), pa.array(base), pa.array(score)]
+        return pa.table(cols, names=names)
+
+    whole = table.select("block", "held", "ids", "lengths", "vocab", "tokens").mapInArrow(slimmed, "block long, held binary, ids binary, lengths binary, tokens binary, class binary, place binary")
+    meet = whole.groupBy("block").cogroup(total.filter("block is not null").groupBy("block"))
+    out = meet.applyInArrow(run, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     out = keep(out)
     scratch.drop()
     return out

@@ -87,4 +87,6 @@ def test_no_training_and_empty(spark):
     one = spark.createDataFrame([(held, "only held out")], "doc_id long, text string")
     r = score_documents(one, states=2, classes=8).first()
     assert (r.train_tokens, r.n_known, r.n_tokens, r.held_out) == (0, 0, 4, True)
+    blank = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")
+    assert [(x.n_tokens, x.n_known) for x in score_documents(blank, states=2, classes=8).collect()] == [(1, 1), (1, 1)]
     assert score_documents(docs.limit(0), states=2, classes=8).count() == 0
