@@ -374,7 +374,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         doc = np.repeat(np.arange(n), block.lengths)
         known = np.bincount(doc, weights=c[block.tokens] > 0, minlength=n).astype(np.int64) + end_known
         base = np.bincount(doc, weights=word_base[block.tokens], minlength=n) + base_end
-        score = np.bincount(doc, weights=word_share[block.tokens], minlength=n)
+        score = np.bincount(doc, weights=word_share[block.tokens], minlength=n).astype(float)
         first = np.cumsum(block.lengths) - block.lengths
         for d in _parts(block.lengths + 1):
             alive, place = _time_major(block.lengths[d] + 1)
