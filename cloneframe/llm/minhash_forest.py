@@ -11,7 +11,8 @@ there. Rows at the borders of partitions meet in a second, small pass.
 
 Depth adapts by region: buckets with more than near + 1 entries whose links, once confirmed, leave them in several
 components are undecided. Their members alone go into a further forest, `depth` deeper and with as many trees as keep
-the chance of a miss, and so on until no bucket is undecided.
+the chance of a miss; there only entries of different components are candidates, up to `near` places apart, so the
+candidates lie where components meet. That goes on until no bucket is undecided, or for `levels` forests.
 
 Candidates are confirmed on full sets. First the most frequent candidate of each class is, then, of the others, those
 whose ends the confirmed links have not joined yet; confirming more could not change a component. With similarity
@@ -77,8 +78,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, size: int) -
 
 
 def _entries(reps: DataFrame, trees: int, depth: int) -> DataFrame:
-    """Row per tree: bucket, tail, id."""
-    schema = pa.schema([("bucket", pa.int64()), ("tail", pa.binary()), ("id", pa.int64())])
+    """Row per tree: bucket, tail, id, c (its component so far)."""
+    schema = pa.schema([("bucket", pa.int64()), ("tail", pa.binary()), ("id", pa.int64()), ("c", pa.int64())])
     size = trees * depth
     salt = stream(5, trees)
 
@@ -93,31 +94,31 @@ def _entries(reps: DataFrame, trees: int, depth: int) -> DataFrame:
                     key = mix(key ^ sig[:, t * depth + d])
                 rest = np.ascontiguousarray(sig[:, (t * depth + depth + np.arange(TAIL) * (depth + 1)) % size].astype(">u4"))
                 tail = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * TAIL), len(rest), [None, pa.py_buffer(rest)]).cast(pa.binary())
-                yield pa.record_batch([pa.array(key.view(np.int64)), tail, b.column(0)], schema=schema)
+                yield pa.record_batch([pa.array(key.view(np.int64)), tail, b.column(0), b.column(2)], schema=schema)
 
-    return reps.select("id", "sig").mapInArrow(run, "bucket long, tail binary, id long")
+    return reps.select("id", "sig", "c").mapInArrow(run, "bucket long, tail binary, id long, c long")
 
 
 def _neighbours(ordered: DataFrame, near: int, crowd: int, borders: bool) -> DataFrame:
     """Pairs (a, b) of entries of one bucket, near places apart among its first, crowd among the others. Besides, with
     b null: members of buckets with more than near + 1 entries (tail null) and, with borders, the partition's first and
     last entries (with their tail)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("tail", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("tail", pa.binary()), ("c", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kb, kt, ki = np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(0, np.int64)
+        kb, kt, ki, kc = np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64)
         told, passed = 0, 0  # passed: entries of the last bucket so far
 
-        def border(bucket, tail, i):
-            return pa.record_batch([pa.array(i), pa.nulls(len(i), pa.int64()), pa.array(bucket), tail], schema=schema)
+        def border(bucket, tail, i, c):
+            return pa.record_batch([pa.array(i), pa.nulls(len(i), pa.int64()), pa.array(bucket), tail, pa.array(c)], schema=schema)
 
         for b in it:
-            bucket, ids = b.column(0).to_numpy(), b.column(2).to_numpy()
+            bucket, ids, comp = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy()
             if borders and told < near:
                 n = near - told
-                yield border(bucket[:n], b.column(1).slice(0, n), ids[:n])
+                yield border(bucket[:n], b.column(1).slice(0, n), ids[:n], comp[:n])
                 told += min(n, len(ids))
-            allb, alli = np.concatenate([kb, bucket]), np.concatenate([ki, ids])
+            allb, alli, allc = np.concatenate([kb, bucket]), np.concatenate([ki, ids]), np.concatenate([kc, comp])
             old = len(kb)
             head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
             place = np.arange(len(bucket)) - np.repeat(head, np.diff(np.append(head, len(bucket))))
@@ -133,22 +134,22 @@ def _neighbours(ordered: DataFrame, near: int, crowd: int, borders: bool) -> Dat
                 if w > crowd:
                     same = same[place[same + w - old] <= near]
                 x, y = alli[same], alli[same + w]
-                go = x != y
+                go = allc[same] != allc[same + w]
                 if go.any():
                     x, y = x[go], y[go]
-                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary())], schema=schema)
+                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary()), pa.nulls(len(x), pa.int64())], schema=schema)
             late = np.flatnonzero(place > near) + old
             over = np.flatnonzero(place == near + 1) + old
             full = np.concatenate([late, *([over - w for w in range(1, near + 2)] if len(over) else [])])
             if len(full):
-                yield border(allb[full], pa.nulls(len(full), pa.binary()), alli[full])
+                yield border(allb[full], pa.nulls(len(full), pa.binary()), alli[full], allc[full])
             kt = pa.concat_arrays([kt, b.column(1)])
-            kb, ki = allb[-near - 1 :], alli[-near - 1 :]
+            kb, ki, kc = allb[-near - 1 :], alli[-near - 1 :], allc[-near - 1 :]
             kt = pa.array(kt.slice(max(0, len(kt) - near - 1)).to_pylist(), pa.binary())
         if borders and len(ki):
-            yield border(kb, kt, ki)
+            yield border(kb, kt, ki, kc)
 
-    return ordered.mapInArrow(run, "a long, b long, bucket long, tail binary")
+    return ordered.mapInArrow(run, "a long, b long, bucket long, tail binary, c long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -173,11 +174,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
 
 def _candidates(scratch: Scratch, reps: DataFrame, trees: int, depth: int, near: int, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs a, b, n trees; members of crowded buckets: bucket, id) of one forest."""
+    """(pairs a, b, n trees; members of crowded buckets: bucket, id) of one forest. reps: id, sig, c."""
     order = ("bucket", "tail", "id")
     entries = _entries(reps, trees, depth).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = scratch.put("neighbours", _neighbours(entries, near, crowd, True).groupBy("a", "b", "bucket", "tail").agg(F.count(F.lit(1)).alias("n")))
-    rest = found.filter("b is null and tail is not null").select("bucket", "tail", F.col("a").alias("id")).repartition(1).sortWithinPartitions(*order)
+    found = scratch.put("neighbours", _neighbours(entries, near, crowd, True).groupBy("a", "b", "bucket", "tail", "c").agg(F.count(F.lit(1)).alias("n")))
+    rest = found.filter("b is null and tail is not null").select("bucket", "tail", F.col("a").alias("id"), "c").repartition(1).sortWithinPartitions(*order)
     rest = _neighbours(rest, near, crowd, False).filter("b is not null").select("a", "b", F.lit(1).cast("long").alias("n"))
     pairs = found.filter("b is not null").select("a", "b", "n").unionByName(rest)
     pairs = scratch.put("pairs", pairs.groupBy("a", "b").agg(F.sum("n").alias("n")))
@@ -200,12 +201,12 @@ def _undecided(full: DataFrame, comp: DataFrame) -> DataFrame:
     return full.join(several, "bucket", "left_semi").select("id").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, trees: int = 24, depth: int = 3, near: int = 8, crowd: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, trees: int = 24, depth: int = 3, near: int = 8, crowd: int = 3, levels: int = 3) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) per row of docs."""
     scratch = Scratch(docs.sparkSession)
     sigs = scratch.put("signatures", signatures(docs, id_col, text_col, k, trees * depth))
     classes = sigs.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("id").alias("node"))
-    reps = sigs.filter("n_shingles > 0").join(classes.withColumnRenamed("node", "id"), ["s1", "s2", "id"], "left_semi")
+    reps = sigs.filter("n_shingles > 0").join(classes.withColumnRenamed("node", "id"), ["s1", "s2", "id"], "left_semi").withColumn("c", F.col("id"))
     pairs, full = _candidates(scratch, reps, trees, depth, near, crowd)
 
     need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -225,12 +226,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp = scratch.put(f"groups{turn}", components(stars.unionByName(more)))
         again = scratch.put(f"undecided{turn}", _undecided(full, comp))
         scratch.drop("pairs", "crowded")
-        if again.isEmpty():
+        if turn + 1 == levels or again.isEmpty():
             break
         deep, turn = deep + depth, turn + 1
         many = math.ceil(math.log(missed) / math.log(1 - (percent / 100) ** deep))
-        reps = signatures(texts.join(again, "id", "left_semi"), "id", "text", k, many * deep)
-        pairs, full = _candidates(scratch, reps, many, deep, near, crowd)
+        reps = signatures(texts.join(again, "id", "left_semi"), "id", "text", k, many * deep).select("id", "sig")
+        reps = reps.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "sig", F.coalesce("component", "id").alias("c"))
+        pairs, full = _candidates(scratch, scratch.put(f"deep{turn}", reps), many, deep, near, near)
 
     named = sigs.select("id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
     named = named.join(comp.select("node", F.col("component").alias("c")), "node", "left")
