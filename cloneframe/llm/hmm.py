@@ -306,16 +306,21 @@ def _begin(table: DataFrame, corpus: np.ndarray, states: int, classes: int, leas
             for j in np.argsort(h, kind="stable")[:states].tolist():
                 d = fit[j]
                 seen = np.bincount(of_word[block.tokens[first[d] : first[d] + block.lengths[d]]], minlength=classes + 1)
-                best.append((int(h[j] >> np.uint64(1)), seen.astype("<u4").tobytes()))
+                best.append((int(h[j] >> np.uint64(1)), squeeze(seen)))
             best = sorted(best)[:states]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in best], pa.int64()), pa.array([x[1] for x in best], pa.binary())], names=["h", "seen"])
 
-    seeds = table.select("block", "held", "ids", "lengths", "vocab", "tokens").mapInArrow(run, "h long, seen binary").orderBy("h").limit(states).collect()
+    seeds = table.select("block", "held", "ids", "lengths", "vocab", "tokens").mapInArrow(run, "h long, seen binary")
+    scratch = Scratch(table.sparkSession)
+    seeds = scratch.put("seeds", seeds)
+    first = [r[0] for r in seeds.select("h").orderBy("h").limit(states).collect()]
+    seeds = seeds.filter(F.col("h") <= max(first, default=-1)).orderBy("h").collect()[:states]  # `states` rows, but for equal hashes
+    scratch.drop()
     emit = np.tile(corpus[:, None], (1, states)).astype(float)
     noise = 1 + 0.2 * (stream(8, emit.size).reshape(emit.shape).astype(float) / 2.0**64 - 0.5)
     emit *= noise
     for i, row in enumerate(seeds):
-        seen = np.frombuffer(row[1], "<u4").astype(float)
+        seen = unsqueeze(row[1]).astype(float)
         emit[:, i] = 0.5 * emit[:, i] + 0.5 * seen / seen.sum()
     emit /= emit.sum(0)
     move = np.full((states, states), (1 - STICK) / max(1, states - 1))
