@@ -4,7 +4,7 @@ Tokens are a text's words (A-Z lower-cased) and one end. A state emits one of `c
 the end has its own), and a class emits its words in proportion to their smoothed corpus counts. So the latent part
 has a fixed size, K states and K x classes shares, while word counts are exact and cover the whole vocabulary.
 
-1. Each task turns what it reads into blocks of some two million tokens: the block's distinct words once, most
+1. Each task turns what it reads into blocks of some million tokens: the block's distinct words once, most
    frequent first, and its documents as places in that list (small numbers mostly, so they compress to a fifth of
    the text). Blocks are written to the shared folder; all later steps read them, one block at a time.
 2. Word counts: every block sends its distinct words with its training counts, sorted and packed, to shards of the
@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 from cloneframe.llm.common import Scratch, keep
 from cloneframe.llm.words import batches, mix, stream
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 PART_TOKENS = 400_000
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 1_000_000
 DELTA = 0.5  # added to each count
 STICK = 0.98  # first chance to stay in a state
 
