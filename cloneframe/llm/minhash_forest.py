@@ -201,7 +201,7 @@ def _undecided(full: DataFrame, comp: DataFrame) -> DataFrame:
     return full.join(several, "bucket", "left_semi").select("id").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, trees: int = 24, depth: int = 3, near: int = 8, crowd: int = 3, levels: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, trees: int = 24, depth: int = 3, near: int = 8, crowd: int = 3, levels: int = 2) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) per row of docs."""
     scratch = Scratch(docs.sparkSession)
     sigs = scratch.put("signatures", signatures(docs, id_col, text_col, k, trees * depth))
@@ -217,15 +217,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
     comp = scratch.put("groups", components(_confirmed(best, texts, k, percent)))
 
+    pairs = _apart(pairs, comp)  # what the confirmed links have joined needs no look again
     missed = (1 - (percent / 100) ** depth) ** trees
     deep, turn = depth, 0
     while True:
-        # what the confirmed links have joined needs no look again
-        more = scratch.put(f"more{turn}", _confirmed(_apart(pairs, comp), texts, k, percent))
+        more = scratch.put(f"more{turn}", _confirmed(pairs, texts, k, percent))
         stars = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
         comp = scratch.put(f"groups{turn}", components(stars.unionByName(more)))
         again = scratch.put(f"undecided{turn}", _undecided(full, comp))
         scratch.drop("pairs", "crowded")
+        stars = more = None
         if turn + 1 == levels or again.isEmpty():
             break
         deep, turn = deep + depth, turn + 1
@@ -233,6 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         reps = signatures(texts.join(again, "id", "left_semi"), "id", "text", k, many * deep).select("id", "sig")
         reps = reps.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "sig", F.coalesce("component", "id").alias("c"))
         pairs, full = _candidates(scratch, scratch.put(f"deep{turn}", reps), many, deep, near, near)
+        pairs = pairs.select("a", "b")  # of different components by themselves
 
     named = sigs.select("id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
     named = named.join(comp.select("node", F.col("component").alias("c")), "node", "left")
