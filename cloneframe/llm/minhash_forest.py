@@ -224,10 +224,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = scratch.put(f"more{turn}", _confirmed(pairs, texts, k, percent))
         stars = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
         comp = scratch.put(f"groups{turn}", components(stars.unionByName(more)))
+        if turn + 1 == levels:
+            break
         again = scratch.put(f"undecided{turn}", _undecided(full, comp))
         scratch.drop("pairs", "crowded")
-        stars = more = None
-        if turn + 1 == levels or again.isEmpty():
+        if again.isEmpty():
             break
         deep, turn = deep + depth, turn + 1
         many = math.ceil(math.log(missed) / math.log(1 - (percent / 100) ** deep))
