@@ -28,7 +28,7 @@ def entries(coexpressed: DataFrame, targets: DataFrame, het: tuple[str, str], he
     rows = rows.withColumn("place", F.row_number().over(w.orderBy(F.desc("count"), "allele")))
     rows = rows.withColumn("list", F.sort_array(F.collect_list(F.struct("place", "r1", "r2", "allele", "c1", "c2")).over(w)))
     n = F.size("list")
-    flag = lambda i, a, b: (F.col("list")[i]["r1"] == a) & (F.col("list")[i]["r2"] == b)
+    flag = lambda i, a, b: (F.get("list", F.lit(i))["r1"] == a) & (F.get("list", F.lit(i))["r2"] == b)
     straight = (n == 2) & flag(0, True, False) & flag(1, False, True)
     crossed = (n == 2) & flag(0, False, True) & flag(1, True, False)
     single = F.exists("list", lambda x: x["r1"] != x["r2"])
@@ -39,7 +39,7 @@ def entries(coexpressed: DataFrame, targets: DataFrame, het: tuple[str, str], he
         .when(single & (true > 2), "duplication")
         .otherwise("unknown")
     )
-    item = lambda i, c: F.col("list")[i][c]
+    item = lambda i, c: F.get("list", F.lit(i))[c]
     pair = straight | crossed
     one = F.when(straight, item(0, "allele")).when(crossed, item(1, "allele")).when(F.col("r1"), F.col("allele")).otherwise("")
     two = F.when(straight, item(1, "allele")).when(crossed, item(0, "allele")).when(F.col("r2"), F.col("allele")).otherwise("")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloneframe.functions import alignment, cdr3, names, sequence
-from cloneframe.operators import clonoquery, clonotypes, consensus, copies, databases, discovery, filters, germline, haplotypes, usage
+from cloneframe.operators import assign, clonoquery, clonotypes, clusterplots, consensus, copies, databases, discovery, filters, germline, haplotypes, upstream, usage
 from cloneframe.plans.views import sql, view
 from cloneframe.sources.config import GermlineCriteria
 
@@ -314,3 +314,69 @@ pair("rename_nearest", NEAR, databases.rename, "found", "database_a")
 query("prefix_pairs", "prefixes", f"with p as (select * from {PRE}) select x.ord as short, y.ord as long from p x join p y on x.ord <> y.ord and starts_with(y.sequence, x.sequence) and (length(x.sequence) < length(y.sequence) or x.ord < y.ord)")(databases.prefix_pairs)
 query("prefix_union", "prefixes")(databases.union)
 query("distinct_sequences", "prefixes", f"select distinct sequence from {PRE}")(lambda df: df.select("sequence").distinct())
+
+# distances, upstream regions, kernels ----------------------------------------------------------------------------------
+
+DIST = f"with o as (select distinct v_call, cdr3 as a from {A} where cdr3 <> ''), c as (select v_call, max(cast(round_even(0.2e0 * length(a), 0) as int)) as cap from o group by 1) select v_call, x.a, y.a as b, cast(least(levenshtein(x.a, y.a), cap + 1) as int) as d from o x join o y using (v_call) join c using (v_call) where x.a < y.a"
+query("distance_matrix", "assignments", DIST)(lambda df: clusterplots.distance_pairs(df.filter("cdr3 <> ''"), "v_call", "cdr3"))
+UP = sql("leaders")
+query("upstream_longest", "leaders", f"select row_id, v_call, \"UTR\" as target from (select *, (list(length(\"UTR\") order by length(\"UTR\") desc) over (partition by v_call order by length(\"UTR\") desc rows between unbounded preceding and unbounded following)) as ls from {UP} where \"UTR\" <> '' and V_SHM <= 1) where length(\"UTR\") >= ls[least(10, len(ls))]")(lambda df: upstream.long_enough(filters.upstream(df, 1.0)).select("row_id", "v_call", "target"))
+query("upstream_target", "leaders", f"select row_id, concat(\"UTR\", leader) as target from {UP}")(lambda df: df.select("row_id", upstream.target(df, "UTR+leader").alias("target")))
+query("upstream_consensus", "leaders")(upstream.consensus)
+query("cluster_plots", "assignments")(lambda df: clusterplots.clusters(df.withColumn("V_nt", F.col("cdr3")), least=5, shown=60, ignore_j=True, strict=False).select("gene", "n_sequences", "n_clusters"))
+
+
+def _kernel(df: DataFrame) -> DataFrame:
+    """Affine alignment and change description of each string and its edited copy."""
+    import pandas as pd
+
+    from cloneframe.functions import kernels
+
+    def run(batches):
+        for pdf in batches:
+            made = [kernels.align(a[:40], b[:40]) for a, b in zip(pdf["s"], pdf["t"], strict=True)]
+            yield pd.DataFrame({"row_id": pdf["row_id"], "score": [m[2] for m in made], "errors": [m[3] for m in made], "change": [kernels.describe_change(a[:40], b[:40]) for a, b in zip(pdf["s"], pdf["t"], strict=True)]})
+
+    return df.select("row_id", "s", "t").mapInPandas(run, "row_id long, score long, errors long, change string")
+
+
+SUBST = "case when substr(s, 10, 1) = substr(t, 10, 1) then 0 else 1 end"
+query("affine_align", "strings", f"select row_id, cast(40 - 4 * {SUBST} as bigint) as score, cast({SUBST} as bigint) as errors, case when {SUBST} = 0 then '' else concat('10', substr(s, 10, 1), '>', substr(t, 10, 1)) end as change from {S}")(_kernel)
+
+
+def _discover(df: DataFrame, j: bool = False) -> DataFrame:
+    """Alleles of the assignments' genes, from pseudo reads of each gene's sequence."""
+    gene = F.expr("translate(md5(v_call), '0123456789abcdef', 'ACGTACGTACGTACGT')")
+    read = F.when(F.col("row_id") % 3 == 0, gene).otherwise(F.concat(F.substring(gene, 1, 9), F.expr("substr('ACGT', cast(row_id % 4 + 1 as int), 1)"), F.substring(gene, 11, 22)))
+    rows = df.withColumns({"V_nt": read, "V_CDR3_start": F.lit(28).cast("long"), "locus": F.lit("IGH"), "J_nt": F.expr("translate(md5(j_call), '0123456789abcdef', 'ACGTACGTACGTACGT')")})
+    if j:
+        db = df.filter("j_call <> ''").select(F.col("j_call").alias("name"), F.expr("translate(md5(j_call), '0123456789abcdef', 'ACGTACGTACGTACGT')").alias("sequence")).distinct()
+        return discovery.discover_j(rows, db)
+    db = df.select(F.col("v_call").alias("name"), gene.alias("sequence")).distinct()
+    return discovery.discover_v(rows, db)
+
+
+query("discover_v", "assignments")(_discover)
+query("discover_j", "assignments")(lambda df: _discover(df, True))
+HAPLOTYPE_COLUMNS = "block int, gene_type string, haplotype1 string, haplotype2 string, type string, count1 long, count2 long"
+
+
+def _haplotypes(df: DataFrame) -> DataFrame:
+    blocks = haplotypes.analyse(df.withColumns({"V_errors": F.lit(0), "J_errors": F.lit(0), "D_errors": F.lit(0)}))
+    return df.sparkSession.createDataFrame([(i, b.gene_type, *r) for i, b in enumerate(blocks) for r in b.rows], HAPLOTYPE_COLUMNS)
+
+
+query("haplotypes", "assignments")(_haplotypes)
+
+
+def _assign(df: DataFrame) -> DataFrame:
+    """Assignment of reads made of two of the strings' genes."""
+    genes = df.filter("row_id < 60").select(F.concat(F.lit("IGHV"), F.col("row_id").cast("string"), F.lit("*01")).alias("name"), F.col("s").alias("sequence"))
+    ends = df.filter("row_id between 60 and 90").select(F.concat(F.lit("IGHJ"), F.col("row_id").cast("string"), F.lit("*01")).alias("name"), F.substring("s", 1, 40).alias("sequence"))
+    mids = df.filter("row_id between 100 and 110").select(F.concat(F.lit("IGHD"), F.col("row_id").cast("string"), F.lit("*01")).alias("name"), F.substring("s", 1, 14).alias("sequence"))
+    v, j = genes.withColumn("k", F.expr("cast(substring(name, 5, length(name) - 7) as int)")), ends.withColumn("k", F.expr("cast(substring(name, 5, length(name) - 7) as int) - 60"))
+    reads = v.join(j.select(F.col("k"), F.col("sequence").alias("js")), "k").select(F.concat(F.lit("read"), F.col("k").cast("string")).alias("name"), F.concat("sequence", F.lit("ACCA"), "js").alias("sequence"))
+    return assign.assign(reads, genes, mids, ends).select("sequence_id", "v_call", "j_call", "v_identity", "j_sequence_start")
+
+
+query("assign_vdj", "strings")(_assign)
