@@ -1,66 +1,13 @@
-"""Shared-folder tables, release of shuffle files, and row keys."""
+"""What the operators share besides the library's scratch tables: keys of rows, and keys that repeat."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloneframe.plans.scratch import Scratch, keep, scratch_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset (tests), an own one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cloneframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-class Scratch:
-    """Tables in the shared folder that cut lineage. `drop` deletes them once no later step reads them."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.paths: dict[str, str] = {}
-
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        path = scratch_path(self.spark, name)
-        df.write.parquet(path)
-        self.paths[name] = path
-        schema = df.schema
-        del df
-        release(self.spark)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names or tuple(self.paths):
-            delete(self.spark, self.paths.pop(name))
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint for a table that the lazy result still reads; Spark's cleaner removes its files."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["Scratch", "keep", "repeated", "row_key", "scratch_path"]
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
