@@ -145,8 +145,8 @@ def repeated_spans(docs: DataFrame, size: int = 35, text_col: str = "text") -> D
     scratch.drop("half")
 
     open_ = three.filter("not settled").select("rk", "key", "loc", "ok")
-    met = three.filter("settled").join(open_.select("key").distinct(), "key", "left_semi")
-    met = met.groupBy("hc").agg(F.min(F.struct("rk", "loc", "ok")).alias("m")).select("m.rk", "m.loc", F.expr("m.ok + 4").cast("long").alias("ok"))
+    met = three.filter("settled").groupBy("hc").agg(F.min(F.struct("rk", "loc", "ok", "key")).alias("m")).select("m.*")
+    met = met.join(open_.select("key").distinct(), "key", "left_semi").select("rk", "loc", F.expr("ok + 4").cast("long").alias("ok"))
     asked = open_.select("rk", "loc", "ok").unionByName(met).distinct()
     asked = asked.groupBy("rk").agg(F.collect_list(F.struct("loc", "ok")).alias("list"))
     one = docs.select("_rk", text_col).join(asked.withColumnRenamed("rk", "_rk"), "_rk")
