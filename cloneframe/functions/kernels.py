@@ -216,7 +216,7 @@ def edits(a: str, b: str, cap: int) -> int:
 def upgma(d: np.ndarray) -> list[tuple[int, int, float, int]]:
     """Average-linkage merges (cluster, cluster, height, size); merge i makes cluster n + i."""
     n = len(d)
-    live, size = {i: d[i].astype(float).copy() for i in range(n)}, dict.fromkeys(range(n), 1)
+    size = dict.fromkeys(range(n), 1)
     table = np.full((2 * n - 1, 2 * n - 1), np.inf) if n else np.zeros((0, 0))
     table[:n, :n] = d
     np.fill_diagonal(table, np.inf)
@@ -232,7 +232,6 @@ def upgma(d: np.ndarray) -> list[tuple[int, int, float, int]]:
         size[new] = size[a] + size[b]
         alive = [*rest, new]
         out.append((a, b, h, size[new]))
-    del live
     return out
 
 
@@ -244,16 +243,15 @@ def cut_by_ratio(d: np.ndarray, least: int, ratio: float = 0.8, strict: bool = T
     if strict or n < 2:
         return out
     merges = upgma(d)
-    inside = {i: [i] for i in range(n)}
-    for i, (a, b, _, _) in enumerate(merges):
+    inside, above = {i: [i] for i in range(n)}, {}
+    for i, (a, b, h, _) in enumerate(merges):
         inside[n + i] = inside[a] + inside[b]
-    number, before = 0, merges[-1][2]
-    for i in range(len(merges) - 1, -1, -1):
-        h = merges[i][2]
+        above[a] = above[b] = h
+    number = 0
+    for i in range(len(merges) - 2, -1, -1):  # all but the last merge, which has none above it
         rows = inside[n + i]
-        if before and h / before < ratio and len(rows) >= least and not any(out[r] for r in rows):
+        if above[n + i] and merges[i][2] / above[n + i] < ratio and len(rows) >= least and not any(out[r] for r in rows):
             number += 1
             for r in rows:
                 out[r] = number
-        before = h or before
     return out

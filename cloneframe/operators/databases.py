@@ -25,13 +25,12 @@ def rename(found: DataFrame, database: DataFrame) -> DataFrame:
 
 def pair_identical(a: DataFrame, b: DataFrame) -> DataFrame:
     """(category, a_name, b_name, sequence): identical (one to one; the last of b's equals stands for them), only_a, only_b."""
-    last = b.withColumn("_n", F.row_number().over(Window.partitionBy("sequence").orderBy(F.desc("ord")))).filter("_n = 1").select("sequence", F.col("name").alias("b_name"), F.col("ord").alias("b_ord"))
-    first = a.withColumn("_n", F.row_number().over(Window.partitionBy("sequence").orderBy("ord"))).select("sequence", F.col("name").alias("a_name"), F.col("ord").alias("a_ord"), "_n")
-    both = first.join(last, (first.sequence == last.sequence) & (first._n == 1), "full_outer")
-    return both.select(
-        F.when(F.col("a_name").isNull(), "only_b").when(F.col("b_name").isNull(), "only_a").otherwise("identical").alias("category"),
-        "a_name", "b_name", F.coalesce(first.sequence, last.sequence).alias("sequence"), "a_ord", "b_ord",
-    )
+    newest, first = Window.partitionBy("sequence").orderBy(F.desc("ord")), Window.partitionBy("sequence").orderBy("ord")
+    y = b.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").select(F.col("sequence").alias("_y"), F.col("name").alias("b_name"), F.col("ord").alias("b_ord"))
+    x = a.withColumn("_n", F.row_number().over(first)).select(F.col("sequence").alias("_x"), F.col("name").alias("a_name"), F.col("ord").alias("a_ord"), "_n")
+    both = x.join(y, (F.col("_x") == F.col("_y")) & (F.col("_n") == 1), "full_outer")
+    kind = F.when(F.col("a_name").isNull(), "only_b").when(F.col("b_name").isNull(), "only_a").otherwise("identical")
+    return both.select(kind.alias("category"), "a_name", "b_name", F.coalesce("_x", "_y").alias("sequence"), "a_ord", "b_ord")
 
 
 def cost(a: Column, b: Column) -> Column:
