@@ -86,13 +86,13 @@ def discover_v(df: DataFrame, database: DataFrame, ignore_j: bool = False, d_cov
         df = df.filter(F.coalesce("J_SHM", F.lit(0.0)) == 0)
     big = df.groupBy("v_call").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MIN_GROUP)
     df = df.filter("coalesce(v_call, '') <> ''").join(big.select("v_call"), "v_call", "left_semi")
-    starts = df.filter("V_CDR3_start > 0").groupBy("v_call").agg(F.mode("V_CDR3_start", True).alias("CDR3_start"))
-    cut = lambda c: F.when(F.col("CDR3_start").between(1, F.length(c)), F.left(c, F.col("CDR3_start").cast("int"))).otherwise(F.col(c))
-    df = df.join(starts, "v_call", "left").na.fill(0, ["CDR3_start"]).withColumn("_cut", cut("V_nt"))
+    starts = df.filter("V_CDR3_start > 0").groupBy("v_call").agg(F.mode("V_CDR3_start", True).alias("_start"))
+    cut = lambda c: F.when(F.col("_start").between(1, F.length(c)), F.left(c, F.col("_start").cast("int"))).otherwise(F.col(c))
+    df = df.join(starts, "v_call", "left").na.fill(0, ["_start"]).withColumn("_cut", cut("V_nt"))
     found = siblings(df, database, threshold, seed, program)
     found = found.unionByName(readded(df, found, database)).filter("consensus <> ''")
     found = found.filter(F.length("consensus") - F.length(F.replace("consensus", F.lit("N"), F.lit(""))) <= MAX_N)
-    found = found.join(df.select("v_call", "CDR3_start").distinct(), "v_call").withColumn("_cut", cut("consensus"))
+    found = found.join(df.select("v_call", "_start").distinct(), "v_call").withColumn("_cut", cut("consensus"))
     by = ["v_call", "label"]
     in_windows = windows(df).withColumnRenamed("window", "label").join(found.select(*by), by, "left_semi")
     of_db = df.filter("V_errors = 0").withColumn("label", F.lit("db")).join(found.filter("label = 'db'").select(*by), by, "left_semi")
@@ -118,7 +118,7 @@ def discover_v(df: DataFrame, database: DataFrame, ignore_j: bool = False, d_cov
     labels = F.create_map(*(F.lit(v) for i, (_, _, n) in enumerate([*WINDOWS, (0, 0, "db")]) for v in (n, i)))
     out = out.withColumn("idx", F.row_number().over(Window.orderBy("v_call", labels[F.col("label")])).cast("long"))  # candidates of one locus
     out = unique_names(out)
-    return out.select("idx", "name", F.col("v_call").alias("source"), "chain", F.col("label").alias("cluster"), "cluster_size", "Js", "CDR3s", "exact", "full_exact", "barcodes_exact", "Ds_exact", "Js_exact", "CDR3s_exact", "clonotypes", "CDR3_exact_ratio", "CDR3_shared_ratio", "N_bases", "database_diff", "database_changes", "has_stop", "CDR3_start", "consensus")
+    return out.select("idx", "name", F.col("v_call").alias("source"), "chain", F.col("label").alias("cluster"), "cluster_size", "Js", "CDR3s", "exact", "full_exact", "barcodes_exact", "Ds_exact", "Js_exact", "CDR3s_exact", "clonotypes", "CDR3_exact_ratio", "CDR3_shared_ratio", "N_bases", "database_diff", "database_changes", "has_stop", F.col("_start").alias("CDR3_start"), "consensus")
 
 
 def unique_names(df: DataFrame, order: str = "idx") -> DataFrame:
