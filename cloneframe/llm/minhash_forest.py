@@ -214,10 +214,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = scratch.put("texts", texts.join(need.hint("merge"), "id", "left_semi"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     best = both.groupBy("a").agg(F.max(F.struct("n", F.xxhash64("a", "b").alias("h"), "b")).alias("m"))
-    best = best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+    best = scratch.put("best", best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct())
     comp = scratch.put("groups", components(_confirmed(best, texts, k, percent)))
 
-    pairs = _apart(pairs, comp)  # what the confirmed links have joined needs no look again
+    pairs = scratch.put("apart", _apart(pairs, comp))  # what the confirmed links have joined needs no look again
+    seen = best.unionByName(pairs)
     missed = (1 - (percent / 100) ** depth) ** trees
     deep, turn = depth, 0
     while True:
@@ -235,7 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         reps = signatures(texts.join(again, "id", "left_semi"), "id", "text", k, many * deep).select("id", "sig")
         reps = reps.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "sig", F.coalesce("component", "id").alias("c"))
         pairs, full = _candidates(scratch, scratch.put(f"deep{turn}", reps), many, deep, near, near)
-        pairs = pairs.select("a", "b")  # of different components by themselves
+        pairs = pairs.select("a", "b").join(seen, ["a", "b"], "left_anti")  # of different components by themselves
 
     named = sigs.select("id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
     named = named.join(comp.select("node", F.col("component").alias("c")), "node", "left")
