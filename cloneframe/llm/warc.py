@@ -45,11 +45,11 @@ _LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
 def typed(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int = LEAST) -> DataFrame:
     """id, url, payload, digest, bytes, refers_to (null for a response)."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256))).withColumn("bytes", F.octet_length("payload").cast("long"))
     # digests that occur once need no response; a hot one combines in the map tasks
     firsts = rows.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     joined = rows.join(firsts.hint("merge"), "digest", "left")  # left side splits where a payload is hot
-    return joined.select("id", "url", "payload", "digest", "bytes", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    return joined.select("id", "url", "payload", F.lower(F.hex("digest")).alias("digest"), "bytes", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def record(row_type: Column) -> Column:
@@ -65,9 +65,7 @@ def record(row_type: Column) -> Column:
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", clean),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        line("X-Payload-Length", F.col("bytes").cast("string")),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.concat(F.lit("<"), uri(F.col("refers_to")), F.lit(">"))))).otherwise(""),
-        line("Content-Type", F.lit("text/html")),
+        F.when(revisit, F.concat(line("X-Payload-Length", F.col("bytes").cast("string")), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.concat(F.lit("<"), uri(F.col("refers_to")), F.lit(">"))))).otherwise(""),
         line("Content-Length", F.when(revisit, "0").otherwise(F.col("bytes").cast("string"))),
         F.lit("\r\n"),
         F.when(revisit, "").otherwise(F.col("payload")),
