@@ -12,10 +12,12 @@ there. Rows at the borders of partitions meet in a second, small pass.
 Depth adapts by region: buckets with more than near + 1 entries whose links, once confirmed, leave them in several
 components are undecided. Their members alone go into a further forest, `depth` deeper and with as many trees as keep
 the chance of a miss; there only entries of different components are candidates, up to `near` places apart, so the
-candidates lie where components meet. That goes on until no bucket is undecided, or for `levels` forests.
+candidates lie where components meet. That goes on until no bucket is undecided, or for `levels` forests. Entries of
+the deeper forests carry CODE bytes of their signature, and pairs that agree in fewer than a pair at the similarity
+would, but for 5.1 standard deviations (2e-7), are no candidates.
 
-Candidates are confirmed on full sets. First the most frequent candidate of each class is, then, of the others, those
-whose ends the confirmed links have not joined yet; confirming more could not change a component. With similarity
+Candidates are confirmed on full sets. First the FIRST most frequent candidates of each class are, then, of the others,
+those whose ends the confirmed links have not joined yet; confirming more could not change a component. With similarity
 s, a link is missed in buckets of up to near + 1 entries with probability (1 - s**depth)**trees: 2e-6 at 0.75.
 
 Cases: a text with fewer words than k is one shingle; without words or null, n_shingles is 0, it is linked with
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloneframe.llm.common import Scratch, keep
@@ -38,6 +40,8 @@ from cloneframe.llm.words import batches, mix, shingles, stream
 from cloneframe.operators.components import components
 
 TAIL = 5
+FIRST = 4
+CODE, DEVIATIONS = 128, 5.1
 
 
 def distinct_shingles(words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,9 +81,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, size: int) -
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n_shingles long, s1 long, s2 long, sig binary")
 
 
-def _entries(reps: DataFrame, trees: int, depth: int) -> DataFrame:
-    """Row per tree: bucket, tail, id, c (its component so far)."""
-    schema = pa.schema([("bucket", pa.int64()), ("tail", pa.binary()), ("id", pa.int64()), ("c", pa.int64())])
+def _entries(reps: DataFrame, trees: int, depth: int, code: int) -> DataFrame:
+    """Row per tree: bucket, tail, id, c (its component so far), code (so many bytes of the signature)."""
+    schema = pa.schema([("bucket", pa.int64()), ("tail", pa.binary()), ("id", pa.int64()), ("c", pa.int64()), ("code", pa.binary())])
     size = trees * depth
     salt = stream(5, trees)
 
@@ -88,37 +92,42 @@ def _entries(reps: DataFrame, trees: int, depth: int) -> DataFrame:
             if not b.num_rows:
                 continue
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, size)
+            low = pa.array([x.tobytes() for x in (sig[:, :code] & 255).astype(np.uint8)], pa.binary())
             for t in range(trees):
                 key = np.full(len(sig), salt[t], np.uint64)
                 for d in range(depth):
                     key = mix(key ^ sig[:, t * depth + d])
                 rest = np.ascontiguousarray(sig[:, (t * depth + depth + np.arange(TAIL) * (depth + 1)) % size].astype(">u4"))
                 tail = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * TAIL), len(rest), [None, pa.py_buffer(rest)]).cast(pa.binary())
-                yield pa.record_batch([pa.array(key.view(np.int64)), tail, b.column(0), b.column(2)], schema=schema)
+                yield pa.record_batch([pa.array(key.view(np.int64)), tail, b.column(0), b.column(2), low], schema=schema)
 
-    return reps.select("id", "sig", "c").mapInArrow(run, "bucket long, tail binary, id long, c long")
+    return reps.select("id", "sig", "c").mapInArrow(run, "bucket long, tail binary, id long, c long, code binary")
 
 
-def _neighbours(ordered: DataFrame, near: int, crowd: int, borders: bool) -> DataFrame:
-    """Pairs (a, b) of entries of one bucket, near places apart among its first, crowd among the others. Besides, with
+def _neighbours(ordered: DataFrame, near: int, crowd: int, borders: bool, code: int, agree: int) -> DataFrame:
+    """Pairs (a, b) of entries of one bucket, near places apart among its first, crowd among the others, whose codes
+    agree in `agree` bytes. Besides, with
     b null: members of buckets with more than near + 1 entries (tail null) and, with borders, the partition's first and
     last entries (with their tail)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("tail", pa.binary()), ("c", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("tail", pa.binary()), ("c", pa.int64()), ("code", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kx = np.zeros((0, code), np.uint8)
         kb, kt, ki, kc = np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64)
         told, passed = 0, 0  # passed: entries of the last bucket so far
 
-        def border(bucket, tail, i, c):
-            return pa.record_batch([pa.array(i), pa.nulls(len(i), pa.int64()), pa.array(bucket), tail, pa.array(c)], schema=schema)
+        def border(bucket, tail, i, c, x):
+            return pa.record_batch([pa.array(i), pa.nulls(len(i), pa.int64()), pa.array(bucket), tail, pa.array(c), pa.array([y.tobytes() for y in x], pa.binary())], schema=schema)
 
         for b in it:
             bucket, ids, comp = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy()
+            codes = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(len(ids), code)
             if borders and told < near:
                 n = near - told
-                yield border(bucket[:n], b.column(1).slice(0, n), ids[:n], comp[:n])
+                yield border(bucket[:n], b.column(1).slice(0, n), ids[:n], comp[:n], codes[:n])
                 told += min(n, len(ids))
             allb, alli, allc = np.concatenate([kb, bucket]), np.concatenate([ki, ids]), np.concatenate([kc, comp])
+            allx = np.concatenate([kx, codes])
             old = len(kb)
             head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
             place = np.arange(len(bucket)) - np.repeat(head, np.diff(np.append(head, len(bucket))))
@@ -135,21 +144,24 @@ def _neighbours(ordered: DataFrame, near: int, crowd: int, borders: bool) -> Dat
                     same = same[place[same + w - old] <= near]
                 x, y = alli[same], alli[same + w]
                 go = allc[same] != allc[same + w]
+                if agree:
+                    go &= (allx[same] == allx[same + w]).sum(1) >= agree
                 if go.any():
                     x, y = x[go], y[go]
-                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary()), pa.nulls(len(x), pa.int64())], schema=schema)
+                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary()), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary())], schema=schema)
             late = np.flatnonzero(place > near) + old
             over = np.flatnonzero(place == near + 1) + old
             full = np.concatenate([late, *([over - w for w in range(1, near + 2)] if len(over) else [])])
             if len(full):
-                yield border(allb[full], pa.nulls(len(full), pa.binary()), alli[full], allc[full])
+                yield border(allb[full], pa.nulls(len(full), pa.binary()), alli[full], allc[full], allx[full, :0])
             kt = pa.concat_arrays([kt, b.column(1)])
             kb, ki, kc = allb[-near - 1 :], alli[-near - 1 :], allc[-near - 1 :]
+            kx = allx[-near - 1 :]
             kt = pa.array(kt.slice(max(0, len(kt) - near - 1)).to_pylist(), pa.binary())
         if borders and len(ki):
-            yield border(kb, kt, ki, kc)
+            yield border(kb, kt, ki, kc, kx)
 
-    return ordered.mapInArrow(run, "a long, b long, bucket long, tail binary, c long")
+    return ordered.mapInArrow(run, "a long, b long, bucket long, tail binary, c long, code binary")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -173,13 +185,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _candidates(scratch: Scratch, reps: DataFrame, trees: int, depth: int, near: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+def _candidates(scratch: Scratch, reps: DataFrame, trees: int, depth: int, near: int, crowd: int, code: int = 0, agree: int = 0) -> tuple[DataFrame, DataFrame]:
     """(pairs a, b, n trees; members of crowded buckets: bucket, id) of one forest. reps: id, sig, c."""
     order = ("bucket", "tail", "id")
-    entries = _entries(reps, trees, depth).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = scratch.put("neighbours", _neighbours(entries, near, crowd, True).groupBy("a", "b", "bucket", "tail", "c").agg(F.count(F.lit(1)).alias("n")))
-    rest = found.filter("b is null and tail is not null").select("bucket", "tail", F.col("a").alias("id"), "c").repartition(1).sortWithinPartitions(*order)
-    rest = _neighbours(rest, near, crowd, False).filter("b is not null").select("a", "b", F.lit(1).cast("long").alias("n"))
+    entries = _entries(reps, trees, depth, code).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = scratch.put("neighbours", _neighbours(entries, near, crowd, True, code, agree).groupBy("a", "b", "bucket", "tail", "c", "code").agg(F.count(F.lit(1)).alias("n")))
+    rest = found.filter("b is null and tail is not null").select("bucket", "tail", F.col("a").alias("id"), "c", "code").repartition(1).sortWithinPartitions(*order)
+    rest = _neighbours(rest, near, crowd, False, code, agree).filter("b is not null").select("a", "b", F.lit(1).cast("long").alias("n"))
     pairs = found.filter("b is not null").select("a", "b", "n").unionByName(rest)
     pairs = scratch.put("pairs", pairs.groupBy("a", "b").agg(F.sum("n").alias("n")))
     full = scratch.put("crowded", found.filter("b is null and tail is null").select("bucket", F.col("a").alias("id")))
@@ -213,13 +225,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = scratch.put("texts", texts.join(need.hint("merge"), "id", "left_semi"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    best = both.groupBy("a").agg(F.max(F.struct("n", F.xxhash64("a", "b").alias("h"), "b")).alias("m"))
-    best = scratch.put("best", best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct())
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), F.xxhash64("a", "b"), "b"))
+    best = both.withColumn("_r", rank).filter(F.col("_r") <= FIRST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    best = scratch.put("best", best.distinct())
     comp = scratch.put("groups", components(_confirmed(best, texts, k, percent)))
 
     pairs = scratch.put("apart", _apart(pairs, comp))  # what the confirmed links have joined needs no look again
     seen = best.unionByName(pairs)
     missed = (1 - (percent / 100) ** depth) ** trees
+    share = percent / 100 + (1 - percent / 100) / 256  # of equal bytes at the similarity
+    agree = math.floor(CODE * share - DEVIATIONS * math.sqrt(CODE * share * (1 - share)))
     deep, turn = depth, 0
     while True:
         more = scratch.put(f"more{turn}", _confirmed(pairs, texts, k, percent))
@@ -235,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         many = math.ceil(math.log(missed) / math.log(1 - (percent / 100) ** deep))
         reps = signatures(texts.join(again, "id", "left_semi"), "id", "text", k, many * deep).select("id", "sig")
         reps = reps.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "sig", F.coalesce("component", "id").alias("c"))
-        pairs, full = _candidates(scratch, scratch.put(f"deep{turn}", reps), many, deep, near, near)
+        pairs, full = _candidates(scratch, scratch.put(f"deep{turn}", reps), many, deep, near, near, CODE, agree)
         pairs = pairs.select("a", "b").join(seen, ["a", "b"], "left_anti")  # of different components by themselves
 
     named = sigs.select("id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
