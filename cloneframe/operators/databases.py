@@ -48,16 +48,18 @@ def similar_costs(rest_a: DataFrame, rest_b: DataFrame, most: int = 20) -> DataF
 
 
 def compare(a: DataFrame, b: DataFrame, most: int = 20) -> dict[str, list]:
-    """identical, renamed, similar, only_a, only_b; names, in file order. Similar ones pair greedily by cost."""
+    """identical, renamed, similar, only_a, only_b; names, in file order. Similar ones pair greedily by cost, and also
+    have their edits."""
     first = pair_identical(a, b)
     rest_a = first.filter("category = 'only_a'").select(F.col("a_ord").alias("ord"), F.col("a_name").alias("name"), "sequence")
     rest_b = first.filter("category = 'only_b'").select(F.col("b_ord").alias("ord"), F.col("b_name").alias("name"), "sequence")
     used_a, used_b, similar = set(), set(), []
+    text = {("a", r.ord): r.sequence for r in rest_a.collect()} | {("b", r.ord): r.sequence for r in rest_b.collect()}
     for r in similar_costs(rest_a, rest_b, most).orderBy("cost", "a_ord", "b_ord").collect():  # two gene databases
         if r.a_ord not in used_a and r.b_ord not in used_b:
             used_a.add(r.a_ord)
             used_b.add(r.b_ord)
-            similar.append((r.a_name, r.b_name))
+            similar.append((r.a_name, r.b_name, show_edits(text["a", r.a_ord], text["b", r.b_ord])))
     same = [(r.a_name, r.b_name) for r in first.filter("category = 'identical'").orderBy("a_ord").collect()]
     return {
         "identical": same,
@@ -68,6 +70,14 @@ def compare(a: DataFrame, b: DataFrame, most: int = 20) -> dict[str, list]:
     }
 
 
+def show_edits(a: str, b: str) -> str:
+    """The common length of two sequences, aligned at the end with fewer mismatches, mismatches as {a → b}."""
+    n = min(len(a), len(b))
+    pairs = [list(zip(x, y, strict=True)) for x, y in ((a[:n], b[:n]), (a[len(a) - n :], b[len(b) - n :]))]
+    best = min(pairs, key=lambda p: sum(x != y for x, y in p))
+    return "".join(x if x == y else f"{{{x} → {y}}}" for x, y in best)
+
+
 def exit_code(diff: dict[str, list]) -> int:
     return int(any(diff[k] for k in ("similar", "only_a", "only_b")))
 
@@ -78,7 +88,10 @@ def report(diff: dict[str, list]) -> str:
     out = [f"{a} vs {b} records. {n['only_a']} lost, {n['only_b']} gained, {n['identical'] - n['renamed']} identical, {n['renamed']} different name, {n['similar']} similar"]
     for title, mark, key in (("Only in A", "-", "only_a"), ("Only in B", "+", "only_b"), ("Different name (sequence identical)", "=", "renamed"), ("Similar", "~", "similar")):
         if diff[key]:
-            out += ["", f"## {title}", *(f"{mark} {x if isinstance(x, str) else ' -- '.join(x)}" for x in diff[key])]
+            out += ["", f"## {title}"]
+            for x in diff[key]:
+                out.append(f"{mark} {x if isinstance(x, str) else ' -- '.join(x[:2])}")
+                out += [*x[2:], ""] if key == "similar" else []
     return "\n".join(out) + "\n"
 
 

@@ -143,6 +143,8 @@ def test_databases(spark):
     diff = databases.compare(a, b)
     assert (len(diff["identical"]), diff["renamed"], diff["only_a"], diff["only_b"], databases.exit_code(diff)) == (2, [("a2", "x2")], ["a3"], ["b3"], 1)
     assert databases.exit_code(databases.compare(a, a)) == 0 and databases.report(diff).startswith("3 vs 3 records. 1 lost, 1 gained, 1 identical, 1 different name, 0 similar")
+    near = databases.compare(records(spark, ("a", "ACGTACGT")), records(spark, ("b", "ACGTTCGT")))
+    assert near["similar"] == [("a", "b", "ACGT{A → T}CGT")] and "~ a -- b\nACGT{A → T}CGT" in databases.report(near)
     dup = databases.duplicates(records(spark, ("a", "AC"), ("b", "AC"), ("a", "GG"))).collect()
     assert {tuple(r) for r in dup} == {("name", "a", None), ("sequence", "b", "a")}
     named = databases.rename(records(spark, ("x", "ACGTACGG"), ("y", "ACGTACGT")), records(spark, ("V2*01", "ACGTACGT"), ("V9*01", "TTTTTTTT")))
