@@ -131,18 +131,19 @@ def repeated_spans(docs: DataFrame, size: int = 35, text_col: str = "text") -> D
     run = F.expr(f"loc & {MAX_WORDS - 1}")
 
     level = anchors(docs, size, text_col)
-    level = scratch.put("quarter", level.join(repeated(level, "key"), "key", "left_semi"))
+    # keys are written before the joins: a join whose sides are plain exchanges can split a hot key's rows
+    level = scratch.put("quarter", level.join(scratch.put("keys", repeated(level, "key")), "key", "left_semi"))
     two = level
     for c, ok in (("hl", "okl"), ("hr", "okr")):
-        two = two.join(repeated(level, c).withColumn(ok, F.lit(True)), c, "left")
+        two = two.join(scratch.put(c, repeated(level, c)).withColumn(ok, F.lit(True)), c, "left")
     quarter, half = -(-size // 4), -(-size // 2)
     # a window starts `back` to 0.. before its anchor; with neither double window repeated inside reach, none lives
     reach_left, reach_right = back >= half - quarter, (back - run) <= size - half
     two = two.filter((F.col("okl") & reach_left) | (F.col("okr") & reach_right))
     two = scratch.put("half", two.select("rk", "key", "hc", "loc", (F.when(F.col("okl"), 1).otherwise(0) + F.when(F.col("okr"), 2).otherwise(0)).cast("long").alias("ok")))
-    scratch.drop("quarter")
-    three = scratch.put("full", two.join(repeated(two, "hc").withColumn("settled", F.lit(True)), "hc", "left").select("rk", "key", "hc", "loc", "ok", F.coalesce("settled", F.lit(False)).alias("settled")))
-    scratch.drop("half")
+    scratch.drop("quarter", "keys", "hl", "hr")
+    three = scratch.put("full", two.join(scratch.put("runs", repeated(two, "hc")).withColumn("settled", F.lit(True)), "hc", "left").select("rk", "key", "hc", "loc", "ok", F.coalesce("settled", F.lit(False)).alias("settled")))
+    scratch.drop("half", "runs")
 
     open_ = three.filter("not settled").select("rk", "key", "loc", "ok")
     met = three.filter("settled").groupBy("hc").agg(F.min(F.struct("rk", "loc", "ok", "key")).alias("m")).select("m.*")
@@ -151,7 +152,7 @@ def repeated_spans(docs: DataFrame, size: int = 35, text_col: str = "text") -> D
     asked = asked.groupBy("rk").agg(F.collect_list(F.struct("loc", "ok")).alias("list"))
     one = docs.select("_rk", text_col).join(asked.withColumnRenamed("rk", "_rk"), "_rk")
     win = scratch.put("windows", _windows(one, size, text_col))
-    hits = win.filter("judge").join(repeated(win, "key", "h"), ["key", "h"], "left_semi").select("rk", F.col("p").alias("start"), F.lit(size).cast("long").alias("length"))
+    hits = win.filter("judge").join(scratch.put("twice", repeated(win, "key", "h")), ["key", "h"], "left_semi").select("rk", F.col("p").alias("start"), F.lit(size).cast("long").alias("length"))
     runs = three.filter("settled").select("rk", begin.alias("start"), (run + size).alias("length"))
     spans = hits.unionByName(runs).groupBy("rk").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     out = keep(spans)
