@@ -12,7 +12,8 @@ there. Rows at the borders of partitions meet in a second, small pass.
 Depth adapts by region: buckets with more than near + 1 entries whose links, once confirmed, leave them in several
 components are undecided. Their members alone go into a further forest, `depth` deeper and with as many trees as keep
 the chance of a miss; there only entries of different components are candidates, up to `near` places apart, so the
-candidates lie where components meet. That goes on until no bucket is undecided, or for `levels` forests. Entries of
+candidates lie where components meet. That goes on until no bucket is undecided, or for `levels` forests; what is
+undecided then is joined exactly, on prefixes of the full sets in order of rising frequency. Entries of
 the deeper forests carry CODE bytes of their signature, and pairs that agree in fewer than a pair at the similarity
 would, but for 5.1 standard deviations (2e-7), are no candidates.
 
@@ -122,8 +123,8 @@ def _neighbours(ordered: DataFrame, near: int, crowd: int, borders: bool, code:
         for b in it:
             bucket, ids, comp = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy()
             codes = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(len(ids), code)
-            if borders and told < near:
-                n = near - told
+            if borders and told < near + 1:
+                n = near + 1 - told
                 yield border(bucket[:n], b.column(1).slice(0, n), ids[:n], comp[:n], codes[:n])
                 told += min(n, len(ids))
             allb, alli, allc = np.concatenate([kb, bucket]), np.concatenate([ki, ids]), np.concatenate([kc, comp])
@@ -191,11 +192,12 @@ def _candidates(scratch: Scratch, reps: DataFrame, trees: int, depth: int, near:
     entries = _entries(reps, trees, depth, code).repartitionByRange(*order).sortWithinPartitions(*order)
     found = scratch.put("neighbours", _neighbours(entries, near, crowd, True, code, agree).groupBy("a", "b", "bucket", "tail", "c", "code").agg(F.count(F.lit(1)).alias("n")))
     rest = found.filter("b is null and tail is not null").select("bucket", "tail", F.col("a").alias("id"), "c", "code").repartition(1).sortWithinPartitions(*order)
-    rest = _neighbours(rest, near, crowd, False, code, agree).filter("b is not null").select("a", "b", F.lit(1).cast("long").alias("n"))
-    pairs = found.filter("b is not null").select("a", "b", "n").unionByName(rest)
+    rest = scratch.put("borders", _neighbours(rest, near, crowd, False, code, agree).select("a", "b", "bucket"))
+    pairs = found.filter("b is not null").select("a", "b", "n").unionByName(rest.filter("b is not null").select("a", "b", F.lit(1).cast("long").alias("n")))
     pairs = scratch.put("pairs", pairs.groupBy("a", "b").agg(F.sum("n").alias("n")))
-    full = scratch.put("crowded", found.filter("b is null and tail is null").select("bucket", F.col("a").alias("id")))
-    scratch.drop("neighbours")
+    full = found.filter("b is null and tail is null").select("bucket", F.col("a").alias("id"))
+    full = scratch.put("crowded", full.unionByName(rest.filter("b is null").select("bucket", F.col("a").alias("id"))).distinct())
+    scratch.drop("neighbours", "borders")
     return pairs, full
 
 
@@ -213,6 +215,46 @@ def _undecided(full: DataFrame, comp: DataFrame) -> DataFrame:
     return full.join(several, "bucket", "left_semi").select("id").distinct()
 
 
+def _tokens(texts: DataFrame, k: int) -> DataFrame:
+    """Row per distinct shingle of each text: id, r (of the set), n (its size), h."""
+    schema = pa.schema([("id", pa.int64()), ("r", pa.int64()), ("n", pa.int64()), ("h", pa.int64())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ids = b.column(0).to_numpy()
+            for r, e, words in batches(b.column(1), lower=True):
+                h, first = distinct_shingles(words, k)
+                n = np.diff(first)
+                sums = np.zeros(len(h) + 1, np.uint64)
+                np.cumsum(mix(h + np.uint64(11)), out=sums[1:])
+                made = (ids[r:e], (sums[first[1:]] - sums[first[:-1]]).view(np.int64), n)
+                yield pa.record_batch([*(pa.array(np.repeat(x, n)) for x in made), pa.array(h.view(np.int64))], schema=schema)
+
+    return texts.select("id", "text").mapInArrow(run, "id long, r long, n long, h long")
+
+
+def _exact(scratch: Scratch, texts: DataFrame, comp: DataFrame, k: int, percent: int) -> DataFrame:
+    """Every pair (a, b) of texts in different components whose sets can reach percent.
+
+    A set's shingles are ordered by how many of the sets have them. Two sets meet at their first common one, where
+    what is left of either bounds the intersection, so the last shingles of a set, the frequent ones, are not joined.
+    """
+    tokens = scratch.put("tokens", _tokens(texts, k).distinct())
+    often = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    rank = F.row_number().over(Window.partitionBy("id", "r").orderBy("f", "h"))
+    # shingles of one set alone come first; they only move the places of the others
+    shared = tokens.join(often, "h").withColumn("left", F.count(F.lit(1)).over(Window.partitionBy("id", "r")) - rank + 1)
+    shared = shared.filter(F.col("left") * 100 >= F.col("n") * percent).select("id", "n", "h", "left")
+    shared = shared.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "n", "h", "left", F.coalesce("component", "id").alias("c"))
+    shared = scratch.put("prefixes", shared)
+    scratch.drop("tokens")
+    # of two sets the smaller one's intersection is 2 * percent / (100 + percent) of it or more
+    small = shared.filter(F.col("left") * (100 + percent) >= F.col("n") * (2 * percent)).select("h", *(F.col(x).alias(f"{x}1") for x in ("id", "n", "left", "c")))
+    met = small.join(shared, "h").filter("c1 <> c and (n1 < n or n1 = n and id1 < id)")
+    met = met.filter(F.least("left1", "left") * (100 + percent) >= (F.col("n1") + F.col("n")) * percent)
+    return met.select(F.least("id1", "id").alias("a"), F.greatest("id1", "id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, trees: int = 24, depth: int = 3, near: int = 8, crowd: int = 3, levels: int = 2) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) per row of docs."""
     scratch = Scratch(docs.sparkSession)
@@ -240,12 +282,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = scratch.put(f"more{turn}", _confirmed(pairs, texts, k, percent))
         stars = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
         comp = scratch.put(f"groups{turn}", components(stars.unionByName(more)))
-        if turn + 1 == levels:
-            break
         again = scratch.put(f"undecided{turn}", _undecided(full, comp))
         scratch.drop("pairs", "crowded")
         if again.isEmpty():
             break
+        if turn + 1 == levels:
+            met = scratch.put("met", _exact(scratch, texts.join(again, "id", "left_semi"), comp, k, percent))
+            more = scratch.put("last", _confirmed(met, texts, k, percent))
+            stars = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            comp = scratch.put("groups_last", components(stars.unionByName(more)))
+            break
         deep, turn = deep + depth, turn + 1
         many = math.ceil(math.log(missed) / math.log(1 - (percent / 100) ** deep))
         reps = signatures(texts.join(again, "id", "left_semi"), "id", "text", k, many * deep).select("id", "sig")

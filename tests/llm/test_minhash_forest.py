@@ -81,3 +81,14 @@ def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(1000, 1200)] + [(5, 5), (9, None)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 100 for i in range(100, 161)}, 7: 7, **{i: 7 for i in range(1000, 1200)}}
+
+
+def test_buckets_undecided_after_the_last_forest_are_joined_exactly(spark):
+    shared = [f"s{i}" for i in range(85)]
+    rows = []
+    for d in range(150):  # a crowd of likeness 0.69; each text has one link of 0.77
+        own = [f"o{d}x{i}" for i in range(18)]
+        rows += [(d, " ".join(shared + own)), (1000 + d, " ".join([*shared, *own[:5], *(f"p{d}x{i}" for i in range(13))]))]
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], SCHEMA)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, near=1, crowd=1).collect()}
+    assert got == {d: d % 1000 for d, _ in rows}
