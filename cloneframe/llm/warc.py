@@ -38,7 +38,7 @@ END = b"\r\n\r\n"
 DATE = "2020-01-01T00:00:00Z"  # archives made from a table have no capture time
 LEAST = 100
 RANGE = 4 << 20
-HEADER = 1 << 16  # most bytes of a record's header block
+HEADER = 1 << 16  # bytes read at first for a header block; longer ones are read on
 _LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
 
 
@@ -86,7 +86,7 @@ def _open(uri: str) -> pa.NativeFile:
 
 def _header(data: bytes, at: int) -> tuple[int, int] | None:
     """(start of the block, its length) of a record whose version line begins at `at`."""
-    end = data.find(END, at, at + HEADER)
+    end = data.find(END, at)
     if end < 0:
         return None
     found = _LENGTH.findall(data, at, end)
@@ -96,10 +96,16 @@ def _header(data: bytes, at: int) -> tuple[int, int] | None:
 def candidates(data: bytes, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, successor) of each possible record that begins in data[start:stop], both relative to data."""
     at, place, after = data.find(MAGIC, start), [], []
+    end, lengths = -1, []
     while 0 <= at < stop:
-        if found := _header(data, at):
+        if end < at:  # version lines before one end share it
+            end = data.find(END, at)
+            if end < 0:
+                break
+            lengths = [(m.start(), int(m[1])) for m in _LENGTH.finditer(data, at, end)]
+        if lengths and lengths[-1][0] >= at and (len(lengths) == 1 or lengths[-2][0] < at):
             place.append(at)
-            after.append(found[0] + found[1] + len(END))
+            after.append(end + len(END) + lengths[-1][1] + len(END))
         at = data.find(MAGIC, at + 1)
     return np.array(place, np.int64), np.array(after, np.int64)
 
@@ -132,7 +138,10 @@ def entries(ranges: DataFrame, size: int) -> DataFrame:
             for uri, total, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 with _open(uri) as f:
                     data = f.read_at(min(size + HEADER + len(MAGIC), total - start), start)
-                stop = min(size, total - start)
+                    stop = min(size, total - start)
+                    last = data.rfind(MAGIC, 0, stop + len(MAGIC) - 1)
+                    while last >= 0 and data.find(END, last) < 0 and len(data) < total - start:
+                        data += f.read_at(min(len(data), total - start - len(data)), start + len(data))
                 place, after = candidates(data, 0, stop)
                 out = jump(place, after, stop)
                 ok = out >= 0
@@ -195,8 +204,10 @@ def read(spark: SparkSession, path: str, size: int = RANGE, with_payload: bool =
                     at = first
                     while at < stop:
                         head = _header(data, at - base) if data.startswith(MAGIC, at - base) else None
-                        if head is None or base + head[0] + head[1] > base + len(data):
-                            want = HEADER if head is None else head[0] - (at - base) + head[1]
+                        while head is None or head[0] + head[1] > len(data):
+                            if base == at and len(data) == total - at:
+                                raise ValueError(f"broken record in {uri} at {at}")
+                            want = (2 * len(data) if base == at else HEADER) if head is None else head[0] - (at - base) + head[1]
                             base, data = at, f.read_at(min(max(want, size), total - at), at)
                             head = _header(data, 0)
                         lo, n = head

@@ -66,3 +66,12 @@ def test_broken_chain_and_empty(spark, tmp_path):
         warc.read(spark, f"file://{tmp_path}/bad.warc")
     warc.write(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/none")
     assert warc.read(spark, f"file://{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("size", [700, 1 << 20])
+def test_long_urls(spark, tmp_path, size):
+    rows = [(i, "data:," + "x" * (100_000 if i % 3 == 1 else 9), "<p>" * 50_000 if i == 4 else f"text {i}") for i in range(8)]
+    path = f"file://{tmp_path}/w"
+    warc.write(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA).repartition(2), path)
+    got = warc.read(spark, path, size).collect()
+    assert sorted((r.id, r.url, r.payload.decode()) for r in got) == rows
