@@ -7,10 +7,10 @@ return the columns of `documents`.
 from __future__ import annotations
 
 from public_tokenizers import path
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloneframe.llm.common import scratch_path
+from cloneframe.llm.common import Scratch, scratch_path
 from cloneframe.llm.minhash_forest import near_duplicates
 from cloneframe.llm.packing import pack
 from cloneframe.llm.pii import pseudonymise
@@ -26,10 +26,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id; a row that repeats goes too."""
-    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("n_chars")
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*docs.columns)
+    """One row of each group of near duplicates, that with the smallest id (null is the largest), then the least n_chars.
+
+    Rows are told apart by their place in that order, so rows of one id or none go by their texts alone. Texts without
+    words are no group; of them, a row that repeats goes.
+    """
+    scratch = Scratch(spark)
+    order = (F.col("doc_id").asc_nulls_last(), F.col("n_chars").asc(), F.xxhash64("text").asc())
+    rows = scratch.put("rows", docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()))
+    kept = near_duplicates(rows.select("_row", "text"), "_row").filter("kept")
+    whole, bare = (rows.join(kept.filter(f"n_shingles {n} 0").select("_row").hint("merge"), "_row", "left_semi") for n in (">", "="))
+    return whole.unionByName(bare.dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,3 +87,13 @@ def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "substring_dedup", "private_values", "packing"]
     with pytest.raises(KeyError):
         dict(corpus_pipeline.STAGES)["none"]
+
+
+def test_near_dedup_decides_by_row(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(40)) for _ in range(5)]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[1]), (2, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3] + " more"), (3, texts[4]), (4, ""), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    want = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (3, texts[4]), (4, ""), (None, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
