@@ -14,7 +14,11 @@ the reachable entry of each and emits its records; what is not on the chain is p
 than at the file's end raises an error.
 
 Of records with equal payloads of at least `least` bytes, that with the smallest id is the response, the others are
-revisits without a block, which name it. Cases: null payload counts as empty; repeated rows of the smallest id are
+revisits without a block, which name it. Digests and ids alone are shuffled to find the revisits, and these are written
+from them. A bitmap of the revisits' (digest, id) tells what is surely a response, which goes from the scan to the sink; a
+second one, of the responses whose bit the first has set by chance, tells what is surely a revisit. Only rows that both
+bitmaps hold are joined with their payload. Bitmaps have 16 bits a row and at most MOST_BITS; past that more rows are
+joined, with the same result. Cases: null payload counts as empty; repeated rows of the smallest id are
 all responses; a null id takes part as the largest; an empty table gives an archive set without records; extra
 columns are ignored.
 """
@@ -33,23 +37,52 @@ from pyspark.sql import functions as F
 
 from cloneframe.llm.common import Scratch, keep
 
+PAGE_BITS = 1 << 15  # of one row of a bitmap, as Spark's bitmap functions have it
+MOST_BITS = 1 << 30  # 128 MiB
 MAGIC = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
 DATE = "2020-01-01T00:00:00Z"  # archives made from a table have no capture time
 LEAST = 100
 RANGE = 4 << 20
 HEADER = 1 << 16  # bytes read at first for a header block; longer ones are read on
+SCHEMES = {"s3a": "s3", "s3n": "s3"}  # Hadoop's names of what pyarrow calls otherwise
 _LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
 
 
-def typed(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int = LEAST) -> DataFrame:
-    """id, url, payload, digest, bytes, refers_to (null for a response)."""
+def keys_of(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
+    """id, url, payload, digest (binary), bytes per row."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256))).withColumn("bytes", F.octet_length("payload").cast("long"))
+    return rows.withColumn("digest", F.unhex(F.sha2("payload", 256))).withColumn("bytes", F.octet_length("payload").cast("long"))
+
+
+def revisits_of(keys: DataFrame, least: int) -> DataFrame:
+    """keys' rows that revisit another record, and refers_to, that record's id."""
     # digests that occur once need no response; a hot one combines in the map tasks
-    firsts = rows.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    joined = rows.join(firsts.hint("merge"), "digest", "left")  # left side splits where a payload is hot
-    return joined.select("id", "url", "payload", F.lower(F.hex("digest")).alias("digest"), "bytes", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    firsts = keys.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null").drop("n")
+    return keys.join(firsts.hint("merge"), "digest").filter(~F.col("id").eqNullSafe(F.col("refers_to")))  # left side splits where a digest is hot
+
+
+def bits_for(rows: int) -> int:
+    """Size of a bitmap of so many rows: a power of two, 16 bits a row, MOST_BITS at most."""
+    return min(MOST_BITS, max(PAGE_BITS, 1 << (16 * rows - 1).bit_length()))
+
+
+def bitmap(rows: DataFrame, bits: int) -> DataFrame:
+    """page, map: the set bits of the rows' (digest, id), in at most bits / PAGE_BITS rows of 4 KiB."""
+    return _placed(rows, bits).groupBy("page").agg(F.expr("bitmap_construct_agg(bit)").alias("map"))
+
+
+def _placed(rows: DataFrame, bits: int) -> DataFrame:
+    place = F.pmod(F.xxhash64("digest", "id"), F.lit(bits))
+    return rows.withColumn("page", F.floor(place / PAGE_BITS).cast("long")).withColumn("bit", F.pmod(place, F.lit(PAGE_BITS)))
+
+
+def _marked(rows: DataFrame, bitmap_: DataFrame, bits: int, name: str) -> DataFrame:
+    """rows and whether their bit is set. The bitmap has at most MOST_BITS / 8 bytes, so it may be broadcast."""
+    at = F.conv(F.hex(F.substring(F.col("map"), (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    set_ = F.coalesce(F.expr("getbit(coalesce(byte, 0), cast(bit % 8 as int))") == 1, F.lit(False))
+    joined = _placed(rows, bits).join(F.broadcast(bitmap_), "page", "left").withColumn("byte", at)
+    return joined.withColumn(name, set_).drop("page", "bit", "map", "byte")
 
 
 def record(row_type: Column) -> Column:
@@ -74,13 +107,40 @@ def record(row_type: Column) -> Column:
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST, per_file: int = 5000) -> None:
     """Archives of at most per_file records in the folder path."""
-    kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
-    rows = typed(pages, id_col, url_col, payload_col, least).select(record(kind).alias("value"))
+    scratch = Scratch(pages.sparkSession)
+    whole = keys_of(pages, id_col, url_col, payload_col)
+    keys = scratch.put("keys", whole.drop("payload"))
+    back = scratch.put("revisits", revisits_of(keys, least))
+    n = back.count()
+    if n:
+        who = back.select("digest", "id").distinct()
+        one = bits_for(n)
+        first = scratch.put("bitmap1", bitmap(back, one))
+        taken = _marked(keys.select("digest", "id"), first, one, "hit").filter("hit")
+        taken = scratch.put("taken", _without(taken, who).select("digest", "id"))
+        two = bits_for(taken.count())
+        second = scratch.put("bitmap2", bitmap(taken, two))
+        marked = _marked(_marked(whole, first, one, "hit"), second, two, "doubt")
+        sure = marked.filter("not hit")
+        whole = sure.unionByName(_without(marked.filter("hit and doubt"), who)).select("id", "url", "payload", "digest", "bytes")
+    text = lambda digest: F.lower(F.hex(digest))
+    rows = whole.withColumn("digest", text("digest")).withColumn("refers_to", F.lit(None).cast("long")).select(record(F.lit("response")).alias("value"))
+    if n:
+        again = back.withColumn("digest", text("digest")).withColumn("payload", F.lit(""))
+        rows = rows.unionByName(again.select(record(F.lit("revisit")).alias("value")))
     rows.write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).text(path)
+    scratch.drop()
+
+
+def _without(rows: DataFrame, who: DataFrame) -> DataFrame:
+    """rows whose (digest, id) is not in who."""
+    other = who.select(F.col("digest").alias("_d"), F.col("id").alias("_k")).hint("merge")
+    return rows.join(other, (F.col("digest") == F.col("_d")) & F.col("id").eqNullSafe(F.col("_k")), "left_anti")
 
 
 def _open(uri: str) -> pa.NativeFile:
-    system, path = fs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition(":")
+    system, path = fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
     return system.open_input_file(path)
 
 
@@ -173,10 +233,11 @@ def reachable(candidate: DataFrame, scratch: Scratch) -> DataFrame:
     return now
 
 
-def read(spark: SparkSession, path: str, size: int = RANGE, with_payload: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, size: int = RANGE, with_payload: bool = True, tasks: int = 20_000) -> DataFrame:
     """Records on the chain of every archive under path: uri, at, id, url, record_type, payload_digest (as the
     header names it), payload_bytes (of the block; of the header for a revisit), refers_to, block_digest (SHA-256 of
-    the block read), and payload (binary; null for a revisit)."""
+    the block read), and payload (binary; null for a revisit). A task reads its ranges one after another; there are `tasks`
+    at most."""
     scratch = Scratch(spark)
     ranges = scratch.put("ranges", _ranges(spark, path, size))
     found = reachable(scratch.put("entries", entries(ranges, size)), scratch)
@@ -184,7 +245,7 @@ def read(spark: SparkSession, path: str, size: int = RANGE, with_payload: bool =
     starts = found.select("uri").distinct().count()
     if ends or starts != ranges.select("uri").distinct().count():
         raise ValueError(f"broken record chain in an archive under {path}")
-    walk = keep(found.filter("at < size").select("uri", "size", "at").repartition(max(1, ranges.count()), "uri", "at"))
+    walk = keep(found.filter("at < size").select("uri", "size", "at").repartition(max(1, min(tasks, ranges.count())), "uri", "at"))
     scratch.drop()
     names = ["uri", "at", "id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "block_digest", *["payload"] * with_payload]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * with_payload]

@@ -46,6 +46,16 @@ def test_round_trip_rejects_magic_in_payloads(spark, tmp_path, size):
             assert hashlib.sha256(r.payload).hexdigest() == r.payload_digest == r.block_digest
 
 
+@pytest.mark.parametrize("bits", [1, 32, 1 << 16])
+def test_full_bitmaps_only_join_more(spark, tmp_path, monkeypatch, bits):
+    rows = rows_of(80)
+    monkeypatch.setattr(warc, "bits_for", lambda n: bits)
+    path = f"file://{tmp_path}/w"
+    warc.write(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA).repartition(3), path)
+    got = warc.read(spark, path, with_payload=False).collect()
+    assert sorted([(r.id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=str) == brute(rows)
+
+
 def test_jump_is_the_walk():
     rng = random.Random(1)
     place = np.array(sorted(rng.sample(range(1000), 200)))
@@ -70,7 +80,7 @@ def test_broken_chain_and_empty(spark, tmp_path):
 
 @pytest.mark.parametrize("size", [700, 1 << 20])
 def test_long_urls(spark, tmp_path, size):
-    rows = [(i, "data:," + "x" * (100_000 if i % 3 == 1 else 9), "<p>" * 50_000 if i == 4 else f"text {i}") for i in range(8)]
+    rows = [(i, "data:," + "x" * (1_000_000 if i == 7 else 100_000 if i % 3 == 1 else 9), "<p>" * 50_000 if i == 4 else f"text {i}") for i in range(8)]
     path = f"file://{tmp_path}/w"
     warc.write(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA).repartition(2), path)
     got = warc.read(spark, path, size).collect()
