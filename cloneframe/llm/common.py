@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from cloneframe.plans.scratch import Scratch, keep, scratch_path
 
-__all__ = ["Scratch", "keep", "repeated", "row_key", "scratch_path"]
+__all__ = ["Scratch", "fresh", "keep", "repeated", "row_key", "scratch_path"]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """Key of a row by id and text. Equal rows share it, as their results are equal; rows of one id with other texts do not."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
 
 def repeated(df: DataFrame, *keys: str) -> DataFrame:

@@ -12,8 +12,10 @@ international and North American telephone numbers, valid dates with four-digit
 social security numbers, IBANs with a right checksum, values after token / password / secret / api key and `=` or
 `:`, and access key ids. Numbers that fail their test stay as they are.
 
-Cases: null stays null, empty stays empty; ties and repeated rows get the same pseudonyms; an empty table gives an
-empty table; all columns pass through, and n_private (long) is added.
+Cases: null stays null, empty stays empty; values and texts of any length take time in proportion to it; ties and
+repeated rows get the same pseudonyms; an empty table gives an empty table; all columns pass through, whatever their
+names, and n_private (long) is added. It counts values that changed: a value that its permutation maps to itself is
+not told from one that failed its test.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloneframe.llm.common import fresh
+
 ROUNDS = 6
 FIRST_YEAR, YEARS = 1900, 200
-WALK = 24
+WALK = 64  # a step fails for 2 dates in 5 at most, so all do for none in 1e25; such a value would stay as it is
 
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"
+# a repeated group must be possessive here: Java matches any other with a stack frame a turn
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?=[A-Za-z0-9.\-]*?\.[A-Za-z]{2})[A-Za-z0-9]+(?:[.\-]+[A-Za-z0-9]+)*+"
 LABEL = r"(?<![A-Za-z])(?i:token|password|passwd|pwd|secret|api[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 SECRET = LABEL + r"[A-Za-z0-9+/_\-]{8,}"
 ACCESS = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
@@ -45,20 +50,21 @@ def _once(value: Column, use) -> Column:
 
 
 def _chars(s: Column) -> Column:
-    return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(s) > 0, F.split(s, "")).otherwise(F.array().cast("array<string>"))
 
 
 def permute(values: Column, moduli: Column, key: str, kind: str) -> Column:
     """Feistel permutation of an integer array, each place modulo its own modulus (1: the place stays 0)."""
 
     def turn(now: Column, r: Column) -> Column:
-        other = F.array_join(F.transform(now, lambda x, i: F.when(i % 2 == r % 2, x.cast("string")).otherwise("")), ",")
+        # hashed once a round, so that a long value takes linear time
+        other = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), F.array_join(F.transform(now, lambda x, i: F.when(i % 2 == r % 2, x.cast("string")).otherwise("")), ",")), 256)
         return _once(
             other,
             lambda o: F.transform(
                 F.arrays_zip(now.alias("x"), moduli.alias("m")),
-                lambda z, i: F.when(i % 2 == r % 2, z["x"]).otherwise(
-                    (z["x"] + F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), i.cast("string"), o), 256), 1, 12), 16, 10).cast("long")) % z["m"]
+                lambda z, i: F.when((i % 2 == r % 2) | (z["m"] == 1), z["x"]).otherwise(
+                    (z["x"] + F.conv(F.substring(F.sha2(F.concat_ws("|", o, i.cast("string")), 256), 1, 12), 16, 10).cast("long")) % z["m"]
                 ),
             ),
         )
@@ -147,7 +153,8 @@ def _walk(values: Column, moduli: list[int], ok, key: str, kind: str) -> Column:
     """Permuted once, then again until ok: a permutation of the values that are ok."""
     mods = F.array(*(F.lit(m).cast("long") for m in moduli))
     first = permute(values, mods, key, kind)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda v, _: F.when(ok(v), v).otherwise(permute(v, mods, key, kind)))
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda v, _: F.when(ok(v), v).otherwise(permute(v, mods, key, kind)))
+    return _once(last, lambda v: F.when(ok(v), v).otherwise(values))
 
 
 def _date(s: Column, key: str) -> Column:
@@ -251,11 +258,13 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """docs with private values in text_col replaced, and n_private, the number of values replaced."""
     if "n_private" in docs.columns:
         raise ValueError("column n_private is made here; rename yours")
-    text = F.col(text_col)
-    found = docs.withColumn("_found", F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), 0)))
-    made = found.withColumn("_made", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key))))
+    text = F.col(f"`{text_col}`")
+    work = fresh(docs, "_values")  # found and made, in one column whose name no column of docs has
+    found = docs.withColumn(work, F.struct(F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), 0)).alias("found")))
+    old = F.col(work)["found"]
+    made = found.withColumn(work, F.struct(old.alias("found"), F.when(F.size(old) > 0, F.transform(old, lambda m: pseudonym(m, key))).alias("made")))
+    new = F.col(work)["made"]
     # zip_with pads the shorter list with null; the texts between matches are one more than the matches
-    joined = F.array_join(F.flatten(F.zip_with(F.split(text, ANY, -1), F.col("_made"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    n = F.aggregate(F.zip_with("_found", "_made", lambda a, b: F.when(a != b, 1).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
-    out = made.select(*(F.when(F.col("_made").isNotNull(), joined).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), F.coalesce(n, F.lit(0).cast("long")).alias("n_private"))
-    return out
+    joined = F.array_join(F.flatten(F.zip_with(F.split(text, ANY, -1), new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    n = F.aggregate(F.zip_with(old, new, lambda a, b: F.when(a != b, 1).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return made.select(*(F.when(new.isNotNull(), joined).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), F.coalesce(n, F.lit(0).cast("long")).alias("n_private"))

@@ -1,4 +1,7 @@
+import hashlib
+import random
 import re
+from datetime import date, timedelta
 
 import pytest
 
@@ -57,3 +60,72 @@ def test_empty_table_and_clash(spark):
     assert run(spark, []) == []
     with pytest.raises(ValueError):
         pseudonymise(spark.createDataFrame([], "text string, n_private long"), "k")
+
+
+def plain(values, moduli, key, kind, rounds=6):
+    """The Feistel network in plain Python."""
+    now = list(values)
+    for r in range(1, rounds + 1):
+        side = ",".join(str(x) if i % 2 == r % 2 else "" for i, x in enumerate(now))
+        seed = hashlib.sha256(f"{key}|{kind}|{r}|{side}".encode()).hexdigest()
+        add = [int(hashlib.sha256(f"{seed}|{i}".encode()).hexdigest()[:12], 16) for i in range(len(now))]
+        now = [x if i % 2 == r % 2 or m == 1 else (x + a) % m for i, (x, m, a) in enumerate(zip(now, moduli, add, strict=True))]
+    return now
+
+
+def plain_text(s, key, kind):
+    low = [48 if c.isdigit() else 97 if c.islower() else 65 if c.isupper() else 0 for c in s]
+    mods = [10 if c.isdigit() else 26 if c.isalpha() else 1 for c in s]
+    new = plain([ord(c) - a if a else 0 for c, a in zip(s, low, strict=True)], mods, key, kind)
+    return "".join(chr(a + v) if a else c for c, a, v in zip(s, low, new, strict=True))
+
+
+def test_against_plain_feistel(spark):
+    rng = random.Random(5)
+    mails = ["".join(rng.choice("abcXYZ019._-") for _ in range(rng.randint(1, 12))).strip("._-") + "m@host-" + str(i) + ".example.org" for i in range(60)]
+    got = [t for _, t in run(spark, mails)]
+    assert got == [plain_text(m[:-4], "k", "email") + ".org" for m in mails]
+    ips = [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(60)]
+    assert [t for _, t in run(spark, ips)] == [".".join(map(str, plain(map(int, p.split(".")), [256] * 4, "k", "ip"))) for p in ips]
+    ssns = [f"{rng.randrange(1, 600):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}" for _ in range(60)]
+
+    def ssn(s):
+        v = [int(x) for x in s.split("-")]
+        while True:
+            v = plain(v, [1000, 100, 10000], "k", "ssn")
+            if v[0] not in (0, 666) and v[0] < 900 and v[1] and v[2]:
+                return f"{v[0]:03d}-{v[1]:02d}-{v[2]:04d}"
+
+    assert [t for _, t in run(spark, ssns)] == [ssn(s) for s in ssns]
+    cards = []
+    for _ in range(40):
+        body = "".join(rng.choice("0123456789") for _ in range(15))
+        cards += [body + c for c in "0123456789" if luhn(body + c)]
+    assert [t for _, t in run(spark, cards)] == [next(b + c for b in [plain_text(s[:-1], "k", "card")] for c in "0123456789" if luhn(b + c)) for s in cards]
+    days = [date(1900, 1, 1) + timedelta(rng.randrange(73049)) for _ in range(60)]
+
+    def day(d):
+        v = [d.year - 1900, d.month - 1, d.day - 1]
+        while True:
+            v = plain(v, [200, 12, 31], "k", "date")
+            try:
+                return date(v[0] + 1900, v[1] + 1, v[2] + 1).isoformat()
+            except ValueError:
+                continue
+
+    assert [t for _, t in run(spark, [d.isoformat() for d in days])] == [day(d) for d in days]
+
+
+def test_very_long_values_and_texts(spark):
+    n = 1_000_000
+    texts = ["x@" + "a." * n + "1", "x@" + "a." * n + "com", "x@" + "a-" * n, "7" * n, "1." * n, " " * n, "token=" + "xy1" * 50_000, "+1 " * 100_000, "@" * n, "a." * n + "@", "x@" + "a." * 20_000 + "com b@c.org"]
+    got = run(spark, texts)
+    assert [g[0] for g in got] == [0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 2]
+    assert all(len(g[1]) == len(t) for g, t in zip(got, texts, strict=True))
+    assert got[6][1] == "token=" + plain_text("xy1" * 50_000, "k", "secret")
+
+
+def test_own_columns_are_left_alone(spark):
+    df = spark.createDataFrame([("mail a.b@c.com", "f", "m", "v")], "text string, _found string, _made string, _values string")
+    row = pseudonymise(df, "k").first()
+    assert (row._found, row._made, row._values, row.n_private) == ("f", "m", "v", 1) and "a.b@c.com" not in str(row)
