@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -50,3 +51,43 @@ def test_single_and_empty(spark):
     one = spark.createDataFrame([(1, "a b c")], SCHEMA)
     assert [r.near_next for r in fingerprints(one).collect()] == [1.0]
     assert fingerprints(one.limit(0)).count() == 0
+
+
+def plain_hashes(spark, texts):
+    """Sorted retained hashes of each text, from a plain list of its shingles."""
+    out = []
+    for t in texts:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+        shingles = sorted({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 5 else {" ".join(w)} if w else set())
+        rows = spark.createDataFrame([(x,) for x in shingles], "s string").select(F.xxhash64("s")).collect() if shingles else []
+        out.append(sorted(r[0] for r in rows if -(2**60) <= r[0] < 2**60))
+    return out
+
+
+def test_sketches_and_likeness_by_brute_force(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(400)}" for _ in range(900)]
+    texts = [" ".join(base[: rng.randrange(900)] + [f"x{rng.randrange(50)}" for _ in range(rng.randrange(60))]) for _ in range(12)] + ["", "a", "a b c d e", "a b c d e f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    kept = plain_hashes(spark, texts)
+    got = {r.doc_id: r for r in fingerprints(docs).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].fingerprint.split(":")[1] == ",".join(f"{h & (2**64 - 1):x}" for h in kept[i]) and got[i].fingerprint.startswith(f"{len(kept[i])}-")
+        j = (i - 1) % len(texts)
+        half = len(t) // 2
+        e = t[: len(t) - half] + texts[j][:half]
+        ke = plain_hashes(spark, [e])[0]
+        like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0.0
+        assert abs(got[i].near_next - (1.0 if texts[j] == t else like(kept[i], kept[j]))) < 1e-12
+        assert abs(got[i].near_edited - (1.0 if e == t else like(kept[i], ke))) < 1e-12
+
+
+def test_hot_and_null_ids(spark):
+    rng = random.Random(4)
+    rows = [(5 if i % 3 else None if i % 2 else i, "".join(rng.choice("ab,é") for _ in range(rng.randint(0, 5)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    small = with_next(docs, "doc_id", "text", per_bucket=6, most_buckets=20)
+    order = sorted(((-(1 << 63) if d is None else d, t) for d, t in rows), reverse=True)
+    want = [(d, t, order[(i + 1) % len(order)][1]) for i, (d, t) in enumerate(order)]
+    got = [(-(1 << 63) if r.doc_id is None else r.doc_id, r.text, r.following) for r in small.collect()]
+    assert sorted(got) == sorted(want)
