@@ -42,6 +42,7 @@ from cloneframe.operators.components import components
 
 TAIL = 5
 FIRST = 4
+HOT = 1000
 CODE, DEVIATIONS = 128, 5.1
 
 
@@ -255,12 +256,23 @@ def _exact(scratch: Scratch, texts: DataFrame, comp: DataFrame, k: int, percent:
     return met.select(F.least("id1", "id").alias("a"), F.greatest("id1", "id").alias("b")).distinct()
 
 
+def _with_class(sigs: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, n_shingles, node per row of sigs. Classes of more than one row in HOT are HOT at most, so they are broadcast,
+    and no task gets the rows of a hot one."""
+    rows = sigs.select("id", "n_shingles", "s1", "s2")
+    big = classes.filter(F.col("rows") * HOT > F.lit(sigs.count())).select("s1", "s2", F.col("node").alias("hot"))
+    marked = rows.join(F.broadcast(big), ["s1", "s2"], "left")
+    small = classes.join(F.broadcast(big), ["s1", "s2"], "left_anti").select("s1", "s2", "node")
+    rest = marked.filter("hot is null").drop("hot").join(small.hint("merge"), ["s1", "s2"], "left")
+    return marked.filter("hot is not null").select("id", "n_shingles", F.col("hot").alias("node")).unionByName(rest.select("id", "n_shingles", "node"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, trees: int = 24, depth: int = 3, near: int = 8, crowd: int = 3, levels: int = 2) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) per row of docs."""
     scratch = Scratch(docs.sparkSession)
     sigs = scratch.put("signatures", signatures(docs, id_col, text_col, k, trees * depth))
-    classes = sigs.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("id").alias("node"))
-    reps = sigs.filter("n_shingles > 0").join(classes.withColumnRenamed("node", "id"), ["s1", "s2", "id"], "left_semi").withColumn("c", F.col("id"))
+    classes = scratch.put("classes", sigs.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("rows")))
+    reps = sigs.filter("n_shingles > 0").join(classes.select("s1", "s2", F.col("node").alias("id")), ["s1", "s2", "id"], "left_semi").withColumn("c", F.col("id"))
     pairs, full = _candidates(scratch, reps, trees, depth, near, crowd)
 
     need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -299,7 +311,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs, full = _candidates(scratch, scratch.put(f"deep{turn}", reps), many, deep, near, near, CODE, agree)
         pairs = pairs.select("a", "b").join(seen, ["a", "b"], "left_anti")  # of different components by themselves
 
-    named = sigs.select("id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
+    named = _with_class(sigs, classes)
     named = named.join(comp.select("node", F.col("component").alias("c")), "node", "left")
     group = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.coalesce("c", "node"))
     out = keep(named.select(F.col("id").alias(id_col), "n_shingles", group.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull())))

@@ -12,7 +12,7 @@ splits hot keys.
 
 Cases: null or empty text has no words (n_words 0, text kept as it is); texts below `words` words are never
 changed; a window that repeats inside one document counts as repeated, overlapping or not; equal rows remove each
-other's windows; an empty table gives an empty table; further columns pass through.
+other's windows; an empty table gives an empty table; further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloneframe.llm.common import Scratch, keep, repeated, row_key
+from cloneframe.llm.common import Scratch, fresh, keep, repeated, row_key
 from cloneframe.llm.words import Prefix, Words, batches
 
 SPAN_BITS = 12  # window spans fit in so many bits; see loc
@@ -77,7 +77,7 @@ def _anchor_columns(words: Words, size: int) -> tuple[np.ndarray, ...]:
     return row, key, hl, hr, hc, loc
 
 
-def anchors(docs: DataFrame, size: int, text_col: str) -> DataFrame:
+def anchors(docs: DataFrame, size: int, text_col: str, row_col: str) -> DataFrame:
     """Row per anchor: rk, key (level one), hl and hr (level two), hc (the run), loc (anchor, reach back, run length)."""
     schema = pa.schema([(c, pa.int64()) for c in ("rk", "key", "hl", "hr", "hc", "loc")])
 
@@ -89,11 +89,11 @@ def anchors(docs: DataFrame, size: int, text_col: str) -> DataFrame:
                 if len(row):
                     yield pa.record_batch([pa.array(rk[r + row]), *(pa.array(c.view(np.int64)) for c in cols)], schema=schema)
 
-    return docs.select("_rk", text_col).mapInArrow(run, "rk long, key long, hl long, hr long, hc long, loc long")
+    return docs.select(f"`{row_col}`", f"`{text_col}`").mapInArrow(run, "rk long, key long, hl long, hr long, hc long, loc long")
 
 
-def _windows(joined: DataFrame, size: int, text_col: str) -> DataFrame:
-    """Row per full window of the given anchors: key, h, rk, p, judge (false: there to be met only)."""
+def _windows(joined: DataFrame, size: int) -> DataFrame:
+    """Row per full window of the given anchors (rk, text, list): key, h, rk, p, judge (false: there to be met only)."""
     schema = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("rk", pa.int64()), ("p", pa.int64()), ("judge", pa.bool_())])
     quarter, half = -(-size // 4), -(-size // 2)
 
@@ -117,11 +117,11 @@ def _windows(joined: DataFrame, size: int, text_col: str) -> DataFrame:
                 cols = [pre.of(a[at], a[at] + quarter).view(np.int64), pre.of(p, p + size).view(np.int64), rk[r + row[at]], p - begin[at]]
                 yield pa.record_batch([*map(pa.array, cols), pa.array(ok[at] & 4 == 0)], schema=schema)
 
-    return joined.select("_rk", text_col, "list").mapInArrow(run, "key long, h long, rk long, p long, judge boolean")
+    return joined.select("rk", "text", "list").mapInArrow(run, "key long, h long, rk long, p long, judge boolean")
 
 
-def repeated_spans(docs: DataFrame, size: int = 35, text_col: str = "text") -> DataFrame:
-    """Word spans covered by repeated windows: rk, spans (start, length; they may overlap). docs has _rk, of common.row_key."""
+def repeated_spans(docs: DataFrame, size: int = 35, text_col: str = "text", row_col: str = "rk") -> DataFrame:
+    """Word spans covered by repeated windows: rk, spans (start, length; they may overlap). docs' row_col is of common.row_key."""
     if not 4 <= size < MAX_WORDS:
         raise ValueError(f"size must be from 4 to {MAX_WORDS - 1}")
     spark = docs.sparkSession
@@ -130,7 +130,7 @@ def repeated_spans(docs: DataFrame, size: int = 35, text_col: str = "text") -> D
     begin = F.expr(f"shiftright(loc, {2 * SPAN_BITS})") - back
     run = F.expr(f"loc & {MAX_WORDS - 1}")
 
-    level = anchors(docs, size, text_col)
+    level = anchors(docs, size, text_col, row_col)
     # keys are written before the joins: a join whose sides are plain exchanges can split a hot key's rows
     level = scratch.put("quarter", level.join(scratch.put("keys", repeated(level, "key")), "key", "left_semi"))
     two = level
@@ -150,8 +150,8 @@ def repeated_spans(docs: DataFrame, size: int = 35, text_col: str = "text") -> D
     met = met.join(open_.select("key").distinct(), "key", "left_semi").select("rk", "loc", F.expr("ok + 4").cast("long").alias("ok"))
     asked = open_.select("rk", "loc", "ok").unionByName(met).distinct()
     asked = asked.groupBy("rk").agg(F.collect_list(F.struct("loc", "ok")).alias("list"))
-    one = docs.select("_rk", text_col).join(asked.withColumnRenamed("rk", "_rk"), "_rk")
-    win = scratch.put("windows", _windows(one, size, text_col))
+    one = docs.select(F.col(f"`{row_col}`").alias("rk"), F.col(f"`{text_col}`").alias("text")).join(asked, "rk")
+    win = scratch.put("windows", _windows(one, size))
     hits = win.filter("judge").join(scratch.put("twice", repeated(win, "key", "h")), ["key", "h"], "left_semi").select("rk", F.col("p").alias("start"), F.lit(size).cast("long").alias("length"))
     runs = three.filter("settled").select("rk", begin.alias("start"), (run + size).alias("length"))
     spans = hits.unionByName(runs).groupBy("rk").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
@@ -170,19 +170,20 @@ def _cover(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def remove_repeats(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col cut to the words outside repeated windows (joined by one space where anything goes; else as
     it was), and n_words, n_removed (long), kept_sha256 (of the kept words joined by one space)."""
-    keyed = docs.withColumn("_rk", row_key(id_col, text_col))
-    joined = keyed.join(repeated_spans(keyed, size, text_col).withColumnRenamed("rk", "_rk"), "_rk", "left").drop("_rk")
-    names = [c for c in docs.columns if c != text_col]
     made = ["n_words", "n_removed", "kept_sha256"]
     if clash := set(made) & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are made here; rename yours")
+    names = [c for c in docs.columns if c != text_col]
+    rk, spans_col = fresh(docs, "rk"), fresh(docs, "spans")
+    keyed = docs.withColumn(rk, row_key(id_col, text_col))
+    joined = keyed.join(repeated_spans(keyed, size, text_col, rk).withColumnsRenamed({"rk": rk, "spans": spans_col}), rk, "left")
     kinds = {f.name: f for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c].dataType.simpleString()}" for c in names), f"`{text_col}` string, n_words long, n_removed long, kept_sha256 string"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for r, e, words in batches(b.column(text_col)):
-                part, spans = b.slice(r, e - r), b.column("spans").slice(r, e - r)
+                part, spans = b.slice(r, e - r), b.column(spans_col).slice(r, e - r)
                 source = part.column(text_col)
                 n = np.diff(words.first)
                 text, gone, sha = [], [], []
@@ -201,4 +202,4 @@ def remove_repeats(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text
                     text.append(kept.decode() if gone[-1] else source[i].as_py())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=[*names, text_col, *made])
 
-    return joined.select(*names, text_col, "spans").mapInArrow(run, schema)
+    return joined.select(*(f"`{c}`" for c in [*names, text_col, spans_col])).mapInArrow(run, schema)
