@@ -30,6 +30,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cloneframe.llm.common import map_arrow
+
 BLOCK = 3
 SURGE = 80
 SHARE = 0.3
@@ -256,11 +258,11 @@ def extract(pages: DataFrame, html_col: str = "html", carry: list[str] | None =
     if clash := {"text", "n_chars"} & set(carry):
         raise ValueError(f"columns {sorted(clash)} are made here; rename yours")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "text string, n_chars long"])
+    fields = [*((c, kinds[c]) for c in carry), ("text", "string"), ("n_chars", "long")]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             text = [main_text(x.as_py()) for x in b.column(len(carry))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], pa.array(text, pa.string()), pa.array(map(len, text), pa.int64(), size=len(text))], names=[*carry, "text", "n_chars"])
 
-    return pages.select(*(f"`{c}`" for c in carry), html_col).mapInArrow(run, schema)
+    return map_arrow(pages.select(*(f"`{c}`" for c in [*carry, html_col])), run, fields)

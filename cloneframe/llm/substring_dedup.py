@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloneframe.llm.common import Scratch, fresh, keep, repeated, row_key
+from cloneframe.llm.common import Scratch, fresh, keep, map_arrow, repeated, row_key
 from cloneframe.llm.words import Prefix, Words, batches
 
 SPAN_BITS = 12  # window spans fit in so many bits; see loc
@@ -178,7 +178,7 @@ def remove_repeats(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text
     keyed = docs.withColumn(rk, row_key(id_col, text_col))
     joined = keyed.join(repeated_spans(keyed, size, text_col, rk).withColumnsRenamed({"rk": rk, "spans": spans_col}), rk, "left")
     kinds = {f.name: f for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c].dataType.simpleString()}" for c in names), f"`{text_col}` string, n_words long, n_removed long, kept_sha256 string"])
+    fields = [*((c, kinds[c].dataType.simpleString()) for c in names), (text_col, "string"), ("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -202,4 +202,4 @@ def remove_repeats(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text
                     text.append(kept.decode() if gone[-1] else source[i].as_py())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=[*names, text_col, *made])
 
-    return joined.select(*(f"`{c}`" for c in [*names, text_col, spans_col])).mapInArrow(run, schema)
+    return map_arrow(joined.select(*(f"`{c}`" for c in [*names, text_col, spans_col])), run, fields)
