@@ -7,9 +7,9 @@ has a fixed size, K states and K x classes shares, while word counts are exact a
 1. Each task turns what it reads into blocks of some million tokens: the block's distinct words once, most
    frequent first, and its documents as places in that list (small numbers mostly, so they compress to a fifth of
    the text). Blocks are written to the shared folder; all later steps read them, one block at a time.
-2. Word counts: every block sends its distinct words with its training counts, sorted and packed, to shards of the
-   hash range. A shard merges them and sends each block the corpus counts of its words. A block names a word once,
-   so a frequent word costs a place a block, and the number of shards follows the number of words sent.
+2. Word counts: every block sends a row per distinct word with its training count. Counts are summed by word, and each
+   block gets its words' sums back by a join. A block names a word once, so a frequent word costs a row a block; no
+   step holds more than the words of one block.
 3. Baum-Welch: each pass runs the scaled forward and backward recursions over every training document, many documents
    side by side, and sums expected starts, transitions and emissions; tasks send their sums, which add up to at most
    (classes + K + 2) rows. States start from the class shares of K training documents with the smallest hashes,
@@ -42,7 +42,6 @@ from cloneframe.llm.words import batches, mix, stream
 
 BLOCK_TOKENS = 1_000_000
 PART_TOKENS = 400_000
-SHARD_WORDS = 1_000_000
 DELTA = 0.5  # added to each count
 STICK = 0.98  # first chance to stay in a state
 
@@ -72,7 +71,7 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-BLOCK_SCHEMA = "block long, ids binary, held binary, lengths binary, vocab binary, tokens binary, n_vocab long, n_train long, train_docs long"
+BLOCK_SCHEMA = "block long, ids binary, held binary, lengths binary, vocab binary, tokens binary, n_train long, train_docs long"
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -89,7 +88,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         vocab, tokens = vocab[order], place[tokens]
         known = np.array([0 if i is None else i for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], np.uint8).tobytes()
         train = int((lengths[held == 0] + 1).sum())
-        cols = [block, known, held.tobytes(), lengths.tobytes(), vocab.astype("<u8").tobytes(), squeeze(tokens), len(vocab), train, int((held == 0).sum())]
+        cols = [block, known, held.tobytes(), lengths.tobytes(), vocab.astype("<u8").tobytes(), squeeze(tokens), train, int((held == 0).sum())]
         return pa.RecordBatch.from_arrays([pa.array([c]) for c in cols], names=[f.split()[0] for f in BLOCK_SCHEMA.split(", ")])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,46 +142,29 @@ def _blocks_of(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Block]]:
             yield row, Block.of(row)
 
 
-def counts(table: DataFrame, shards: int, classes: int) -> DataFrame:
-    """Rows (block, shard, totals) with the corpus counts of a block's words, int64 in ascending order of the words; and rows
-    with block null whose totals are, per class, the training count and the number of distinct training words."""
-    width = (1 << 64) // shards + 1
+def words_of(table: DataFrame) -> DataFrame:
+    """word, block, n: row per distinct word of a block and its training count there."""
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, block in _blocks_of(it):
-            order = np.argsort(block.vocab)
-            vocab, own = block.vocab[order], block.train_counts()[order]
-            cuts = np.searchsorted(vocab, np.array([min(s * width, (1 << 64) - 1) for s in range(1, shards)], np.uint64))
-            words, n = np.split(vocab, cuts), np.split(own, cuts)
-            full = [s for s in range(shards) if len(words[s])]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([row["block"]] * len(full), pa.int64()), pa.array([words[s].tobytes() for s in full], pa.binary()), pa.array([n[s].astype("<u4").tobytes() for s in full], pa.binary())], names=["shard", "block", "words", "n"])
-
-    def merge(group: pa.Table) -> pa.Table:
-        shard = group.column("shard")[0].as_py()
-        words = [np.frombuffer(x, "<u8") for x in group.column("words").to_pylist()]
-        n = [np.frombuffer(x, "<u4") for x in group.column("n").to_pylist()]
-        vocab, place = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate(n), minlength=len(vocab)).astype("<i8")
-        cls = word_class(vocab, classes)
-        summary = np.concatenate([np.bincount(cls, weights=total, minlength=classes), np.bincount(cls[total > 0], minlength=classes)]).astype("<i8")
-        out = [x.tobytes() for x in np.split(total[place], np.cumsum([len(w) for w in words])[:-1])]
-        return pa.table({"block": pa.array([*group.column("block").to_pylist(), None], pa.int64()), "shard": pa.array([shard] * (len(out) + 1), pa.int64()), "totals": pa.array([*out, summary.tobytes()], pa.binary())})
-
-    sent = table.select("block", "held", "ids", "lengths", "vocab", "tokens").mapInArrow(send, "shard long, block long, words binary, n binary")
-    return sent.groupBy("shard").applyInArrow(merge, "block long, shard long, totals binary")
-
-
-def _class_sums(total: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per class, training tokens and distinct training words."""
+            yield pa.RecordBatch.from_arrays([pa.array(block.vocab.view(np.int64)), pa.array(np.full(len(block.vocab), row["block"], np.int64)), pa.array(block.train_counts())], names=["word", "block", "n"])
+
+    return table.select("block", "held", "ids", "lengths", "vocab", "tokens").mapInArrow(send, "word long, block long, n long")
+
+
+def _class_sums(totals: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per class, training tokens and distinct training words. totals: word, total."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(2 * classes, np.int64)
+        n, d = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
         for b in it:
-            for t in b.column(0).to_pylist():
-                sums += np.frombuffer(t, "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(sums[:classes]), pa.array(sums[classes:])], names=["class", "n", "d"])
+            cls, total = word_class(b.column(0).to_numpy().view(np.uint64), classes), b.column(1).to_numpy()
+            n += np.bincount(cls, weights=total, minlength=classes).astype(np.int64)
+            d += np.bincount(cls[total > 0], minlength=classes)
+        full = np.flatnonzero(d)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(n[full]), pa.array(d[full])], names=["class", "n", "d"])
 
-    rows = total.filter("block is null").select("totals").mapInArrow(run, "class long, n long, d long").groupBy("class").agg(F.sum("n"), F.sum("d")).collect()  # a row per class
+    rows = totals.select("word", "total").mapInArrow(run, "class long, n long, d long").groupBy("class").agg(F.sum("n"), F.sum("d")).collect()  # a row per class
     n, d = np.zeros(classes), np.zeros(classes)
     for r in rows:
         n[r[0]], d[r[0]] = r[1], r[2]
@@ -341,15 +323,16 @@ def train(table: DataFrame, corpus: np.ndarray, states: int, classes: int, passe
     return model
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 8, classes: int = 1 << 15, passes: int = 3, prior: float = 2000.0) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) per row of docs."""
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 8, classes: int = 1 << 15, passes: int = 3, prior: float = 2000.0, tasks: int = 20_000) -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) per row of docs. Blocks are scored one after
+    another in at most `tasks` tasks."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark)
     table = scratch.put("blocks", blocks(docs, id_col, text_col))
-    sent, n_train, train_docs = table.agg(F.coalesce(F.sum("n_vocab"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("train_docs"), F.lit(0))).first()
-    shards = max(1, -(-sent // SHARD_WORDS))
-    total = scratch.put("counts", counts(table, shards, classes))
-    in_class, distinct = _class_sums(total, classes)
+    many, n_train, train_docs = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("train_docs"), F.lit(0))).first()
+    sent = scratch.put("words", words_of(table))
+    totals = scratch.put("totals", sent.groupBy("word").agg(F.sum("n").alias("total")))
+    in_class, distinct = _class_sums(totals, classes)
     v = float(distinct.sum()) + (train_docs > 0)
     mass = np.append(in_class + DELTA * (distinct + 1), train_docs + DELTA)  # of a class; the last is the end's
     model = train(table, mass / mass.sum(), states, classes, passes, prior)
@@ -357,22 +340,21 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base_end = np.log10((train_docs + DELTA) / (n_train + DELTA * (v + 1)))
     end_known = int(train_docs > 0)
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    slim = ["block", "held", "ids", "lengths", "tokens", "class", "place"]
+    slim = ["block", "held", "ids", "lengths", "tokens", "place"]
 
     def slimmed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each word's class and place in ascending order instead of the word itself."""
+        """Each word's place in ascending order instead of the word itself."""
         for row, block in _blocks_of(it):
             place = np.empty(len(block.vocab), np.uint32)
             place[np.argsort(block.vocab)] = np.arange(len(block.vocab))
-            extra = [squeeze(word_class(block.vocab, classes).astype(np.uint32)), squeeze(place)]
-            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in [*(row[k] for k in slim[:5]), *extra]], names=slim)
+            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in [*(row[k] for k in slim[:5]), squeeze(place)]], names=slim)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         row = {k: v[0] for k, v in left.to_pydict().items()}
         block = Block.of(row)
-        of_word = unsqueeze(row["class"]).astype(np.int64)
-        parts = sorted(zip(right.column("shard").to_pylist(), right.column("totals").to_pylist(), strict=True))
-        c = np.frombuffer(b"".join(p[1] for p in parts), "<i8")[unsqueeze(row["place"])]
+        word, total = (right.column(c).to_numpy() for c in ("word", "total"))
+        order = np.argsort(word.view(np.uint64))[unsqueeze(row["place"])]
+        of_word, c = word_class(word.view(np.uint64)[order], classes), total[order]
         word_base = np.log10((c + DELTA) / (n_train + DELTA * (v + 1)))
         word_share = np.log10((c + DELTA) / mass[of_word])
         n = len(block.lengths)
@@ -391,8 +373,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         cols = [pa.array(block.ids, pa.int64()), pa.array(block.held == 1), pa.array(block.lengths + 1), pa.array(known), pa.array(np.full(n, n_train)), pa.array(base), pa.array(score)]
         return pa.table(cols, names=names)
 
-    whole = table.select("block", "held", "ids", "lengths", "vocab", "tokens").mapInArrow(slimmed, "block long, held binary, ids binary, lengths binary, tokens binary, class binary, place binary")
-    meet = whole.groupBy("block").cogroup(total.filter("block is not null").groupBy("block"))
+    whole = table.select("block", "held", "ids", "lengths", "vocab", "tokens").mapInArrow(slimmed, "block long, held binary, ids binary, lengths binary, tokens binary, place binary")
+    met = sent.select("word", "block").join(totals, "word").select("block", "word", "total")
+    tasks = max(1, min(many, tasks))
+    meet = whole.repartition(tasks, "block").groupBy("block").cogroup(met.repartition(tasks, "block").groupBy("block"))
     out = meet.applyInArrow(run, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     out = keep(out)
     scratch.drop()

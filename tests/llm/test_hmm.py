@@ -60,7 +60,7 @@ def rows_of():
 def test_base_and_held_out_score(spark, monkeypatch):
     rows = rows_of()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(hmm, "SHARD_WORDS", 50)
+    monkeypatch.setattr(hmm, "BLOCK_TOKENS", 900)
     got = score_documents(docs, states=2, classes=64).collect()
     words = [(d, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))) for d, t in rows]
     out = [zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1 for d, _ in rows]
@@ -90,3 +90,43 @@ def test_no_training_and_empty(spark):
     blank = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")
     assert [(x.n_tokens, x.n_known) for x in score_documents(blank, states=2, classes=8).collect()] == [(1, 1), (1, 1)]
     assert score_documents(docs.limit(0), states=2, classes=8).count() == 0
+
+
+def test_training_and_score_by_brute_force(spark, monkeypatch):
+    """Counts summed over blocks and partitions, and scores, equal those of one plain pass over all documents."""
+    docs_rows = [(i, " ".join(t.split()[:7]) if t else t) for i, t in rows_of()[:40]]
+    docs = spark.createDataFrame(docs_rows, "doc_id long, text string").repartition(3)
+    classes, states, prior = 8, 2, 5.0
+    monkeypatch.setattr(hmm, "BLOCK_TOKENS", 60)
+    models = []
+    inner = hmm.train
+    monkeypatch.setattr(hmm, "train", lambda table, corpus, *a: models.append((inner(table, corpus, states, classes, 0, prior), corpus, inner(table, corpus, *a))) or models[0][2])
+    got = {r.doc_id: r for r in score_documents(docs, states=states, classes=classes, passes=2, prior=prior).collect()}
+    begin, corpus, end = models[0]
+
+    from cloneframe.llm.words import batches
+    import pyarrow as pa
+
+    seqs, hashes, count = {}, {}, collections.Counter()
+    for d, t in docs_rows:
+        w = next((x for *_, x in batches(pa.array([t or ""]), lower=True)), None)
+        hashes[d] = w.hashes if w is not None else np.zeros(0, np.uint64)
+        seqs[d] = [*hmm.word_class(hashes[d], classes).tolist(), classes]
+        if not hmm.held_out(d):
+            count.update(hashes[d].tolist())
+    model = Hmm(begin.start, begin.move, begin.emit.astype(float))
+    for _ in range(2):
+        starts, pairs, emits = np.zeros(states), np.zeros((states, states)), np.zeros((classes + 1, states))
+        for d, s in seqs.items():
+            if not hmm.held_out(d):
+                _, a, b, c = plain(model, s)
+                starts, pairs, emits = starts + a, pairs + b, emits + c
+        move, start = pairs + 0.1, starts + 0.1
+        model = Hmm(start / start.sum(), move / move.sum(1, keepdims=True), (emits + prior * corpus[:, None]) / (emits.sum(0) + prior))
+    assert np.allclose(end.emit, model.emit, rtol=1e-3) and np.allclose(end.move, model.move, rtol=1e-3) and np.allclose(end.start, model.start, rtol=1e-3)
+    docs_in = sum(not hmm.held_out(d) for d in seqs)
+    mass = [0.5 * (1 + sum(hmm.word_class(np.array([w], np.uint64), classes)[0] == c for w in count)) + sum(n for w, n in count.items() if hmm.word_class(np.array([w], np.uint64), classes)[0] == c) for c in range(classes)]
+    assert np.allclose(corpus, np.array([*mass, docs_in + 0.5]) / (sum(mass) + docs_in + 0.5))
+    for d, s in seqs.items():
+        want = math.log10(plain(model, s)[0]) + sum(math.log10((count[w] + 0.5) / mass[c]) for w, c in zip(hashes[d].tolist(), s, strict=False))
+        assert abs(got[d].score - want) < 1e-3 * abs(want), d
