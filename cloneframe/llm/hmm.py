@@ -374,7 +374,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table(cols, names=names)
 
     whole = table.select("block", "held", "ids", "lengths", "vocab", "tokens").mapInArrow(slimmed, "block long, held binary, ids binary, lengths binary, tokens binary, place binary")
-    met = sent.select("word", "block").join(totals, "word").select("block", "word", "total")
+    met = scratch.put("met", sent.select("word", "block").join(totals, "word").select("block", "word", "total"))
+    scratch.drop("words", "totals")
     tasks = max(1, min(many, tasks))
     meet = whole.repartition(tasks, "block").groupBy("block").cogroup(met.repartition(tasks, "block").groupBy("block"))
     out = meet.applyInArrow(run, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
