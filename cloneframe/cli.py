@@ -119,7 +119,7 @@ def _clusterplot(a, spark) -> int:
     tables.write_table(found.select("gene", "n_sequences", "n_clusters"), a.out)
     if a.heatmap:
         for r in found.orderBy("gene").toLocalIterator():
-            print(clusterplots.heatmap(r.gene, r.distances))
+            print(clusterplots.heatmap(r))
     return 0
 
 

@@ -60,17 +60,22 @@ def end_in_j(s: Column, locus: str) -> Column:
 
 
 def find_in_read(s: Column, locus: str) -> Column:
-    """struct(start, end): zero-based bounds of the CDR3 in the frame where it starts first; (0, 0) if there is none."""
+    """struct(start, end): zero-based bounds of the CDR3 in the frame where it starts first, each frame having its first
+    pattern that matches; (0, 0) if there is none."""
     none = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
-    for pattern in reversed(READ.get(locus, ())):
-        found = []
-        for f in range(3):
-            aa = translate(F.substring(s, F.lit(f + 1), F.length(s)))
-            cdr3 = F.regexp_extract(aa, pattern, 1)
-            lead = pattern[: pattern.index("(", 1) if not pattern.startswith("[CDY](?!") else pattern.index("(.")]
-            at = F.regexp_instr(aa, F.lit(pattern)) - 1
-            before = F.length(F.regexp_extract(F.substring(aa, at + 1, F.length(aa)), f"^{lead}", 0))
-            start = 3 * (at + before) + f
-            found.append(F.when((at >= 0) & (F.length(cdr3) > 0), F.struct(start.cast("int").alias("start"), (start + 3 * F.length(cdr3)).cast("int").alias("end"))))
-        none = F.coalesce(F.array_min(F.array(*found)), none)
-    return none
+    if locus not in READ:
+        return none
+    return F.coalesce(F.array_min(F.array(*(_in_frame(s, locus, f) for f in range(3)))), none)
+
+
+def _in_frame(s: Column, locus: str, f: int) -> Column:
+    aa = translate(F.substring(s, F.lit(f + 1), F.length(s)))
+    found = []
+    for pattern in READ[locus]:
+        cdr3 = F.regexp_extract(aa, pattern, 1)
+        lead = pattern[: pattern.index("(", 1) if not pattern.startswith("[CDY](?!") else pattern.index("(.")]
+        at = F.regexp_instr(aa, F.lit(pattern)) - 1
+        before = F.length(F.regexp_extract(F.substring(aa, at + 1, F.length(aa)), f"^{lead}", 0))
+        start = 3 * (at + before) + f
+        found.append(F.when(at >= 0, F.struct(start.cast("int").alias("start"), (start + 3 * F.length(cdr3)).cast("int").alias("end"))))
+    return F.coalesce(*found)

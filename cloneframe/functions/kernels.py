@@ -82,6 +82,31 @@ def describe_change(ref: str, query: str) -> str:
     return "; ".join(out)
 
 
+def gap_widths(ref_row: str, size: int) -> np.ndarray:
+    """Bases inserted before each place of an ungapped reference of so many bases, and after it."""
+    wide = np.zeros(size + 1, np.int64)
+    at = 0
+    for c in ref_row:
+        if c == "-":
+            wide[at] += 1
+        else:
+            at += 1
+    return wide
+
+
+def spread(ref_row: str, row: str, wide: Sequence[int]) -> str:
+    """row with gaps for wide[i] inserted bases before place i of the reference."""
+    parts, at, held = [], 0, []
+    for c, q in zip(ref_row + "$", row + "$", strict=True):
+        if c == "-":
+            held.append(q)
+            continue
+        parts.append("".join(held).ljust(int(wide[at]), "-"))
+        parts.append(q if c != "$" else "")
+        at, held = at + 1, []
+    return "".join(parts)
+
+
 def star_alignment(sequences: Sequence[str]) -> list[str]:
     """Rows of one length: each sequence aligned to the most frequent length's first, gaps merged. No external program."""
     if len({len(s) for s in sequences}) <= 1:
@@ -92,28 +117,8 @@ def star_alignment(sequences: Sequence[str]) -> list[str]:
     top = max(lengths, key=lambda n: (lengths[n], n))
     center = next(s for s in sequences if len(s) == top)
     rows = {s: align(center, s)[:2] for s in set(sequences)}
-    wide = np.zeros(len(center) + 1, np.int64)  # most inserted bases before each place of the center
-    for ref, _ in rows.values():
-        at, run = 0, 0
-        for c in ref + "$":
-            if c == "-":
-                run += 1
-            else:
-                wide[at] = max(wide[at], run)
-                at, run = at + 1, 0
-    out = []
-    for s in sequences:
-        ref, row = rows[s]
-        parts, at, held = [], 0, []
-        for c, q in zip(ref + "$", row + "$", strict=True):
-            if c == "-":
-                held.append(q)
-                continue
-            parts.append("".join(held).ljust(int(wide[at]), "-"))
-            parts.append(q if c != "$" else "")
-            at, held = at + 1, []
-        out.append("".join(parts))
-    return out
+    wide = np.max([gap_widths(ref, len(center)) for ref, _ in rows.values()], axis=0)
+    return [spread(*rows[s], wide) for s in sequences]
 
 
 Aligner = Callable[[Sequence[str]], list[str]]

@@ -27,21 +27,24 @@ def resolved_codons() -> dict[str, str]:
 
 def chars(s: Column) -> Column:
     """Array of a string's characters; empty for the empty string."""
-    return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(s) > 0, F.split(s, "")).otherwise(F.array().cast("array<string>"))
 
 
-def _codon(c: Column) -> Column:
-    place = lambda i: F.instr(F.lit(BASES), F.substring(c, i, 1)) - 1
-    plain = F.substring(F.lit(CODE), (16 * place(1) + 4 * place(2) + place(3) + 1).cast("int"), F.lit(1))
-    wide = F.create_map(*(F.lit(x) for pair in resolved_codons().items() for x in pair))
-    return F.when(c.rlike("^[ACGT]{3}$"), plain).otherwise(F.coalesce(F.try_element_at(wide, c), F.lit("X")))
+def _upper(s: Column) -> Column:
+    return F.replace(F.upper(s), F.lit("U"), F.lit("T"))
 
 
 def translate(s: Column) -> Column:
     """Amino acids of the codons from the first base on; the last one or two bases are left out."""
-    up = F.replace(F.upper(s), F.lit("U"), F.lit("T"))
-    n = F.floor(F.length(s) / 3).cast("int")
-    return F.when(n < 1, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _codon(F.substring(up, 3 * i - 2, F.lit(3)))), ""))
+    up = _upper(s)
+    codons = F.sequence(F.lit(1), F.floor(F.length(s) / 3).cast("int"))
+    # a codon's bases as a number to base 4 are its place in the code; only strings with other letters need the map
+    digits = F.translate(up, BASES, "0123")
+    plain = F.transform(codons, lambda i: F.substring(F.lit(CODE), F.conv(F.substring(digits, 3 * i - 2, F.lit(3)), 4, 10).cast("int") + 1, F.lit(1)))
+    code = {**{a + b + c: CODE[16 * i + 4 * j + k] for i, a in enumerate(BASES) for j, b in enumerate(BASES) for k, c in enumerate(BASES)}, **resolved_codons()}
+    known = F.create_map(*(F.lit(x) for pair in code.items() for x in pair))
+    wide = F.transform(codons, lambda i: F.coalesce(F.try_element_at(known, F.substring(up, 3 * i - 2, F.lit(3))), F.lit("X")))
+    return F.when(F.length(s) < 3, "").otherwise(F.array_join(F.when(up.rlike("[^ACGT]"), wide).otherwise(plain), ""))
 
 
 def reverse_complement(s: Column) -> Column:
@@ -49,7 +52,8 @@ def reverse_complement(s: Column) -> Column:
 
 
 def has_stop(s: Column) -> Column:
-    return F.contains(translate(s), F.lit("*"))
+    """Whether translate(s) has a stop: a codon of stops alone in the first frame."""
+    return _upper(s).rlike(r"^(?:[\s\S]{3})*?(?:TA[AGR]|T[GR]A)")
 
 
 def edit_distance(a: Column, b: Column, most: int | None = None) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cloneframe.functions import alignment, cdr3, names
 from cloneframe.functions.sequence import translate
+from cloneframe.operators.small import small
 
 SEGMENTS = ("V", "D", "J")
 LOCI_OF = {"Ig": ("IGH", "IGK", "IGL"), "TCR": ("TRA", "TRB", "TRG", "TRD")}
@@ -51,12 +52,12 @@ def augment(df: DataFrame, v: DataFrame, d: DataFrame, j: DataFrame, sequence_ty
     for s, db in zip(SEGMENTS, (v, d, j), strict=True):
         p = s.lower()
         full = aliases(db).join(db.select("name", F.length("sequence").alias(f"_{p}_len")), "name").select(F.col("alias").alias(f"{p}_call"), F.col("name").alias(f"_{p}_name"), f"_{p}_len")
-        df = df.join(F.broadcast(full), f"{p}_call", "left")  # some hundred alleles
+        df = df.join(small(full, "gene database"), f"{p}_call", "left")
         g = _have(df, f"{p}_germline_alignment", "")
         df = df.withColumns({f"{s}_errors": alignment.errors(g, _have(df, f"{p}_sequence_alignment", "")), f"{s}_covered": alignment.coverage(g, F.coalesce(f"_{p}_len", F.lit(0)))})
         if s != "D":
             at = anchors(db, s, loci).select(F.col("name").alias(f"_{p}_name"), "locus", F.col("anchor").alias(f"_{p}_anchor"))
-            df = df.join(F.broadcast(at), [f"_{p}_name", "locus"], "left")  # some hundred alleles
+            df = df.join(small(at, "gene database"), [f"_{p}_name", "locus"], "left")
     df = _cdr3(df)
     df = df.withColumn("V_nt", F.replace(_have(df, "v_sequence_alignment", ""), F.lit("-"), F.lit("")))
     df = df.withColumn("d_support", _have(df, "d_support", float("inf")).cast("double"))

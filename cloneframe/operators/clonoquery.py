@@ -20,11 +20,15 @@ class Core:
     stop: int
 
 
+def allowed(n: Column, mismatches: float, core: Core | None = None) -> Column:
+    """Most mismatches of a CDR3 of n bases: a number, or below 1 a share of the length."""
+    return F.floor((n - (core.start if core else 0)) * mismatches).cast("int") if mismatches < 1 else F.lit(int(mismatches))
+
+
 def similar(s: Column, t: Column, mismatches: float, core: Core | None = None) -> Column:
-    """One length, and few mismatches: a number, or below 1 a share of the length."""
+    """One length, and few mismatches."""
     n = F.length(s)
-    most = (n - (core.start if core else 0)) * mismatches if mismatches < 1 else F.lit(float(mismatches))
-    near = (n == F.length(t)) & F.when(n == F.length(t), hamming(s, t) <= most).otherwise(False)
+    near = (n == F.length(t)) & F.when(n == F.length(t), hamming(s, t) <= allowed(n, mismatches, core)).otherwise(False)
     if core is None:
         return near
     outside = lambda x: (F.left(x, F.lit(core.start)), F.substring(x, F.lit(core.stop + 1), F.length(x)))
@@ -32,13 +36,26 @@ def similar(s: Column, t: Column, mismatches: float, core: Core | None = None) -
     return near & ((a == c) | (b == d))
 
 
+def _sliced(rows: DataFrame, text: str, mismatches: float, core: Core | None) -> DataFrame:
+    """Distinct (v_call, j_call, text), once per slice of the text; there is one slice more than mismatches."""
+    one = rows.select("v_call", "j_call", F.col("cdr3").alias(text)).distinct()
+    n = F.length(text)
+    most = F.greatest(allowed(n, mismatches, core), F.lit(-1))
+    bound = lambda i: F.floor(n * i / (most + 1)).cast("int")
+    made = F.transform(F.sequence(F.lit(0), F.greatest(most, F.lit(0))), lambda i: F.struct(i.alias("part"), F.substring(F.col(text), bound(i) + 1, bound(i + 1) - bound(i)).alias("slice")))
+    return one.filter(most >= 0).select("v_call", "j_call", text, n.alias("_n"), F.explode(made).alias("s")).select("v_call", "j_call", text, "_n", "s.part", "s.slice")
+
+
 def matches(query: DataFrame, ref: DataFrame, mismatches: float = 1, core: Core | None = None, min_count: int = 0, key: str = "row_id") -> DataFrame:
-    """(query_id, and ref's columns) of every match; equal V, J and CDR3 length are join keys."""
-    q = query.filter("coalesce(v_call, '') <> ''").select(F.col(key).alias("query_id"), "v_call", "j_call", F.col("cdr3").alias("_q"), F.length("cdr3").alias("_n"))
+    """(query_id, and ref's columns) of every match. Distinct CDR3s of one V, J and length with few mismatches agree in
+    one of their slices, so they meet by an equi-join on it; their rows are joined back."""
+    q = query.filter("coalesce(v_call, '') <> ''").select(F.col(key).alias("query_id"), "v_call", "j_call", "cdr3")
     if min_count and "count" in ref.columns:
         ref = ref.filter(F.col("count") >= min_count)
-    found = q.join(ref.withColumn("_n", F.length("cdr3")), ["v_call", "j_call", "_n"])
-    return found.filter(similar(F.col("_q"), F.col("cdr3"), mismatches, core)).select("query_id", *ref.columns)
+    pairs = _sliced(q, "_q", mismatches, core).join(_sliced(ref, "_r", mismatches, core), ["v_call", "j_call", "_n", "part", "slice"])
+    pairs = pairs.filter(similar(F.col("_q"), F.col("_r"), mismatches, core)).select("v_call", "j_call", "_q", "_r").distinct()
+    found = q.withColumnRenamed("cdr3", "_q").join(pairs, ["v_call", "j_call", "_q"]).select("query_id", "v_call", "j_call", F.col("_r").alias("cdr3"))
+    return found.join(ref, ["v_call", "j_call", "cdr3"]).select("query_id", *ref.columns)
 
 
 def counts(query: DataFrame, found: DataFrame, key: str = "row_id") -> DataFrame:

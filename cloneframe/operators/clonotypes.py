@@ -30,10 +30,25 @@ def hamming_links(nodes: DataFrame, by: list[str], text: str, key: str, most: in
 
 
 def edit_links(nodes: DataFrame, by: list[str], text: str, key: str, most: int) -> DataFrame:
-    """(a, b) keys of nodes with equal `by` and texts within `most` edits; lengths then differ by no more than that."""
-    right = nodes.withColumnsRenamed({text: "_text", key: "_key"})
-    pairs = nodes.join(right, by).filter((F.col(key) < F.col("_key")) & (F.abs(F.length(text) - F.length("_text")) <= most))
-    return pairs.filter(edit_distance(F.col(text), F.col("_text"), most) <= most).select(F.col(key).alias("a"), F.col("_key").alias("b")).distinct()
+    """(a, b) keys of nodes with equal `by` and texts within `most` edits.
+
+    Of the shorter text's most + 1 slices one stands in the longer text, moved by no more places than there are edits
+    before it and, counted from the end, after it. So the longer one's pieces at those few places meet the slices.
+    """
+    one = nodes.select(*by, F.col(text).alias("_text"), F.col(key).alias("_key"), F.length(text).alias("_m"))
+    short = one.select(*by, "_text", "_key", F.col("_m").alias("_n"), F.explode(slices(F.col("_text"), most + 1)).alias("_s"))
+    short = short.select(*by, "_n", F.col("_s.part").alias("_part"), F.col("_s.text").alias("_piece"), F.col("_text").alias("_short"), F.col("_key").alias("_a"))
+    part, n, m = F.col("_part"), F.col("_n"), F.col("_m")
+    begin, end = (F.floor(n * (part + i) / (most + 1)).cast("int") for i in (0, 1))
+    low = F.greatest(F.lit(0), begin - part, begin + m - n - (most - part))
+    high = F.least(m - (end - begin), begin + part, begin + m - n + (most - part))
+    long = one.withColumn("_n", F.explode(F.sequence(F.greatest(F.lit(0), m - most), m))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    long = long.select(*by, "_n", "_part", "_text", "_key", (end - begin).alias("_size"), F.explode(places).alias("_at"))
+    long = long.select(*by, "_n", "_part", F.substring("_text", F.col("_at") + 1, F.col("_size")).alias("_piece"), "_text", "_key").distinct()
+    pairs = short.join(long, [*by, "_n", "_part", "_piece"]).filter(F.col("_a") != F.col("_key"))
+    pairs = pairs.select(F.least("_a", "_key").alias("a"), F.greatest("_a", "_key").alias("b"), "_short", "_text").dropDuplicates(["a", "b"])
+    return pairs.filter(edit_distance(F.col("_short"), F.col("_text"), most) <= most).select("a", "b")
 
 
 def linked(nodes: DataFrame, links: DataFrame, key: str, name: str) -> DataFrame:

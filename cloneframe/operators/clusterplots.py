@@ -10,7 +10,8 @@ from cloneframe.functions import kernels
 from cloneframe.functions.names import call_column
 from cloneframe.operators.discovery import sampled
 
-SHADES = " .:*#"
+# Fixed value: the shades, from equal to farthest.
+SHADES = " ░▒▓█"
 
 
 def clusters(df: DataFrame, gene_type: str = "V", genes: list[str] | None = None, least: int = 200, shown: int = 300, least_cluster: int = 5, ignore_j: bool = False, strict: bool = True, seed: int = 1) -> DataFrame:
@@ -44,12 +45,13 @@ def distance_pairs(df: DataFrame, by: str, text: str, band: float = 0.2) -> Data
     return pairs.select(by, "a", "b", F.least(F.levenshtein("a", "b"), F.col("_cap") + 1).alias("d"))
 
 
-def heatmap(gene: str, distances: list[list[float]], width: int = 60, height: int = 30) -> str:
-    """Text picture of a distance matrix, darker where sequences are closer."""
-    n = len(distances)
-    top = max((x for r in distances for x in r), default=0) or 1
-    row_step, col_step = max(1, -(-n // height)), max(1, -(-n // width))
-    out = [f"{gene}: {n} sequences"]
-    for i in range(0, n, row_step):
-        out.append("".join(SHADES[min(len(SHADES) - 1, int((1 - distances[i][j] / top) * len(SHADES)))] for j in range(0, n, col_step)))
-    return "\n".join(out) + "\n"
+def heatmap(result, width: int = 60, height: int = 30) -> str:
+    """Text picture of a row of clusters(): the darker, the farther apart; every so many-th row and column is shown."""
+    d = result["distances"]
+    n = len(d)
+    top = max((x for r in d for x in r), default=0) or 1
+    out = [f"{result['gene']}: {result['n_sequences']} sequences, {result['n_clusters']} clusters", f"Distance matrix {n}×{n}"]
+    last = len(SHADES) - 1
+    for i in range(0, n, max(1, n // height)):
+        out.append("".join(SHADES[min(last, round(d[i][j] / top * last))] for j in range(0, n, max(1, n // width))))
+    return "\n".join(out)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from cloneframe.functions import sequence as seq
 from cloneframe.functions.names import group_header
+from cloneframe.operators.clonotypes import hamming_links
 from cloneframe.operators.components import components
-from cloneframe.operators.consensus import column_consensus
+from cloneframe.operators.consensus import column_consensus, star_rows
+from cloneframe.plans.scratch import keep
 
 LENGTH_STEP = 2
 CONSENSUS_LEAST, CONSENSUS_SHARE = 3, 0.501
@@ -48,23 +50,28 @@ def length_sessions(rows: DataFrame, by: list[str], step: int = LENGTH_STEP) ->
 def cdr3_groups(rows: DataFrame) -> DataFrame:
     """rows with group: CDR3s of a barcode chained by one mismatch (the smallest ord of the chain)."""
     nodes = rows.groupBy("barcode", "cdr3").agg(F.min("ord").alias("_node"))
-    right = nodes.withColumnsRenamed({"cdr3": "_c", "_node": "_k"})
-    near = F.when(F.length("cdr3") == F.length("_c"), seq.edit_distance(F.col("cdr3"), F.col("_c"), 1) <= 1).otherwise(False)
-    links = nodes.join(right, "barcode").filter((F.col("_node") < F.col("_k")) & near).select(F.col("_node").alias("a"), F.col("_k").alias("b"))
-    found = components(links).withColumnsRenamed({"node": "_node", "component": "_root"})
+    found = components(hamming_links(nodes, ["barcode"], "cdr3", "_node", 1)).withColumnsRenamed({"node": "_node", "component": "_root"})
     nodes = nodes.join(found, "_node", "left").select("barcode", "cdr3", F.coalesce("_root", "_node").alias("group"))
     return rows.join(nodes, ["barcode", "cdr3"])
 
 
 def representatives(rows: DataFrame, by: list[str], consensus: bool = True) -> DataFrame:
-    """(by.., name, sequence, size): the first read of a group; of three or more, the column consensus unless it has N."""
-    one = rows.groupBy(*by).agg(F.min_by("name", "ord").alias("name"), F.min_by("sequence", "ord").alias("_first"), F.count(F.lit(1)).alias("size"), F.min("ord").alias("ord"))
+    """(by.., name, sequence, size): the first read of a group; of three or more, the column consensus of its aligned
+    reads unless it has N. Those are named consensus1, consensus2 .. in the order of `by`."""
+    one = rows.groupBy(*by).agg(F.min_by("name", "ord").alias("name"), F.min_by("sequence", "ord").alias("_first"), F.count(F.lit(1)).alias("size"))
     if not consensus:
         return one.withColumnRenamed("_first", "sequence")
     big = rows.join(one.filter(F.col("size") >= CONSENSUS_LEAST).select(*by), by, "left_semi")
-    made = column_consensus(big, by, "sequence", CONSENSUS_SHARE, "N")
-    use = F.when(~F.contains("consensus", F.lit("N")), F.col("consensus"))
-    return one.join(made, by, "left").withColumn("sequence", F.coalesce(use, "_first")).withColumn("name", F.when(use.isNotNull(), F.concat(F.lit("consensus"), F.col("ord").cast("string"))).otherwise(F.col("name"))).drop("_first", "consensus")
+    made = column_consensus(star_rows(big, by, "sequence", "ord"), by, "aligned", CONSENSUS_SHARE, "N")
+    # places in the order, from the places in each part of it
+    named = keep(made.filter(~F.contains("consensus", F.lit("N"))).repartitionByRange(*by).sortWithinPartitions(*by).select(*by, "consensus", F.monotonically_increasing_id().alias("_id")))
+    part = F.shiftright("_id", 33)
+    sizes = named.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    named = named.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_place", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1)
+    out = one.join(named.select(*by, "consensus", "_place"), by, "left")
+    return out.select(*by, F.coalesce(F.concat(F.lit("consensus"), F.col("_place").cast("string")), "name").alias("name"), F.coalesce("consensus", "_first").alias("sequence"), "size")
 
 
 def group_reads(reads: DataFrame, barcode_length: int, cdr3: Column | None = None, trim_g: bool = False, min_length: int = 0, consensus: bool = True) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloneframe.functions import names, sequence
+from cloneframe.operators.components import components
+from cloneframe.operators.small import bounded
 
 
 def sanitize(records: DataFrame) -> DataFrame:
@@ -15,12 +17,15 @@ def sanitize(records: DataFrame) -> DataFrame:
 
 def rename(found: DataFrame, database: DataFrame) -> DataFrame:
     """found with name: the gene of the nearest database sequence (the first of equals) and a number by distance."""
-    pairs = found.select(F.col("ord").alias("_o"), F.col("sequence").alias("_s")).crossJoin(F.broadcast(database.select(F.col("name").alias("_d"), F.col("sequence").alias("_t"), F.col("ord").alias("_p"))))  # a gene database: some hundred alleles
-    near = pairs.withColumn("dist", F.levenshtein("_s", "_t")).groupBy("_o").agg(F.min_by(F.struct("_d", "dist"), F.struct("dist", "_p")).alias("m"))
-    near = near.select(F.col("_o").alias("ord"), names.gene_of(F.col("m._d")).alias("gene"), F.col("m.dist").alias("distance"))
+    genes = database.agg(F.sort_array(F.collect_list(F.struct(F.col("ord").alias("p"), F.col("name").alias("d"), F.col("sequence").alias("t")))).alias("_g"))  # one row
+    bounded(database, "gene database")
+    # every found sequence goes through the list of genes in its own row
+    dist = F.transform("_g", lambda g: F.struct(F.levenshtein(F.col("sequence"), g["t"]).alias("dist"), g["p"].alias("p"), g["d"].alias("d")))
+    near = found.select("ord", "sequence").join(F.broadcast(genes)).select("ord", F.array_min(dist).alias("m")).filter("m is not null")
+    near = near.select("ord", names.gene_of(F.col("m.d")).alias("gene"), F.col("m.dist").alias("distance"))
     rank = F.row_number().over(Window.partitionBy("gene").orderBy("distance", "ord"))
     named = found.join(near, "ord").withColumn("_n", rank)
-    return named.withColumn("new_name", F.concat("gene", F.lit("*"), F.lpad(F.col("_n").cast("string"), 2, "0"))).drop("_n")
+    return named.withColumn("new_name", F.concat("gene", F.lit("*"), F.format_string("%02d", "_n"))).drop("_n")
 
 
 def pair_identical(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -53,6 +58,8 @@ def compare(a: DataFrame, b: DataFrame, most: int = 20) -> dict[str, list]:
     first = pair_identical(a, b)
     rest_a = first.filter("category = 'only_a'").select(F.col("a_ord").alias("ord"), F.col("a_name").alias("name"), "sequence")
     rest_b = first.filter("category = 'only_b'").select(F.col("b_ord").alias("ord"), F.col("b_name").alias("name"), "sequence")
+    bounded(a, "first database")
+    bounded(b, "second database")
     used_a, used_b, similar = set(), set(), []
     text = {("a", r.ord): r.sequence for r in rest_a.collect()} | {("b", r.ord): r.sequence for r in rest_b.collect()}
     for r in similar_costs(rest_a, rest_b, most).orderBy("cost", "a_ord", "b_ord").collect():  # two gene databases
@@ -82,6 +89,7 @@ def exit_code(diff: dict[str, list]) -> int:
     return int(any(diff[k] for k in ("similar", "only_a", "only_b")))
 
 
+# The wording of the report, which other programs read.
 def report(diff: dict[str, list]) -> str:
     n = {k: len(v) for k, v in diff.items()}
     a, b = (n["identical"] + n[k] + n["similar"] for k in ("only_a", "only_b"))
@@ -105,12 +113,14 @@ def duplicates(records: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(records: DataFrame) -> DataFrame:
-    """(short, long) ord of records of which one's sequence begins the other's, blocked by the shortest length's prefix."""
-    least = records.agg(F.min(F.length("sequence")).alias("k"))
-    cut = records.crossJoin(F.broadcast(least)).withColumn("_p", F.expr("left(sequence, k)")).drop("k")  # one row
-    other = cut.select("_p", F.col("ord").alias("_o"), F.col("sequence").alias("_s"))
-    pairs = cut.join(other, "_p").filter((F.col("ord") != F.col("_o")) & F.startswith("_s", "sequence") & ((F.length("sequence") < F.length("_s")) | (F.col("ord") < F.col("_o"))))
-    return pairs.select(F.col("ord").alias("short"), F.col("_o").alias("long"))
+    """(short, long) ord of records of which one's sequence begins the other's; of equal ones, the earlier is short.
+    Each record meets the records of every length up to its own by its prefix of that length."""
+    lengths = records.agg(F.collect_set(F.length("sequence")).alias("_ls"))  # one row: lengths that occur
+    cut = records.join(F.broadcast(lengths)).select("ord", "sequence", F.explode(F.filter("_ls", lambda n: n <= F.length("sequence"))).alias("_n"))
+    cut = cut.select(F.col("ord").alias("long"), F.length("sequence").alias("_m"), F.left("sequence", F.col("_n")).alias("_p"))
+    short = records.select(F.col("ord").alias("short"), F.col("sequence").alias("_p"))
+    pairs = short.join(cut, "_p").filter((F.col("short") != F.col("long")) & ((F.length("_p") < F.col("_m")) | (F.col("short") < F.col("long"))))
+    return pairs.select("short", "long")
 
 
 def merge_prefixes(rows: list[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -130,12 +140,13 @@ def merge_prefixes(rows: list[tuple[str, str]]) -> list[tuple[str, str]]:
 
 
 def union(records: DataFrame) -> DataFrame:
-    """Ordered union of many databases' records (name, sequence, ord). Blocks that share no prefix are independent."""
-    least = records.agg(F.min(F.length("sequence")).alias("k"))
-    cut = records.crossJoin(F.broadcast(least)).withColumn("block", F.expr("left(sequence, k)"))  # one row
+    """Ordered union of many databases' records (name, sequence, ord). Records that no chain of prefixes links are
+    independent, so each chain is folded by itself, in order."""
+    linked = components(prefix_pairs(records).select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b")))
+    grouped = records.select("name", "sequence", "ord").join(linked.withColumnRenamed("node", "ord"), "ord", "left").withColumn("block", F.coalesce("component", "ord")).drop("component")
 
     def fold(pdf):
         pdf = pdf.sort_values("ord")
         return type(pdf)(merge_prefixes(list(zip(pdf["name"], pdf["sequence"], strict=True))), columns=["name", "sequence"])
 
-    return cut.groupBy("block").applyInPandas(fold, "name string, sequence string").orderBy("name")
+    return grouped.groupBy("block").applyInPandas(fold, "name string, sequence string").orderBy("name", "sequence")

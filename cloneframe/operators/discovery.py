@@ -13,6 +13,7 @@ import pandas as pd
 from cloneframe.functions import kernels, sequence
 from cloneframe.functions.names import gene_of
 from cloneframe.operators.clonotypes import count_by_edits
+from cloneframe.operators.small import bounded, small
 
 # Fixed values of the method.
 MIN_GROUP, MIN_EXPRESSED, MOST_SAMPLED = 5, 10, 1600
@@ -42,7 +43,7 @@ def siblings(df: DataFrame, database: DataFrame, threshold: float = 0.6, seed: i
     """(v_call, label, consensus): of each window with enough rows. A consensus that begins its database sequence, or
     is begun by it, is that sequence."""
     rows = windows(df).join(sibling_sizes(df).select("v_call", "window"), ["v_call", "window"], "left_semi")
-    rows = sampled(rows, ["v_call", "window"], MOST_SAMPLED, seed).select("v_call", "window", "V_nt", "_rank")
+    rows = sampled(rows.filter("coalesce(V_nt, '') <> ''"), ["v_call", "window"], MOST_SAMPLED, seed).select("v_call", "window", "V_nt", "_rank")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         s = pdf.sort_values("_rank")["V_nt"].tolist()
@@ -50,7 +51,7 @@ def siblings(df: DataFrame, database: DataFrame, threshold: float = 0.6, seed: i
         return pd.DataFrame({"v_call": [pdf["v_call"].iloc[0]], "label": [pdf["window"].iloc[0]], "consensus": [made]})
 
     found = rows.groupBy("v_call", "window").applyInPandas(fold, "v_call string, label string, consensus string")
-    db = F.broadcast(database.select(F.col("name").alias("v_call"), F.col("sequence").alias("_db")))  # some hundred alleles
+    db = small(database.select(F.col("name").alias("v_call"), F.col("sequence").alias("_db")), "gene database")
     near = F.startswith("_db", "consensus") | F.startswith("consensus", "_db")
     return found.join(db, "v_call", "left").select("v_call", "label", F.when((F.col("consensus") != "") & near, F.col("_db")).otherwise(F.col("consensus")).alias("consensus"))
 
@@ -108,7 +109,7 @@ def discover_v(df: DataFrame, database: DataFrame, ignore_j: bool = False, d_cov
     chain = sibling_rows.groupBy(*by).agg(F.mode("locus", True).alias("chain")) if "locus" in df.columns else found.select(*by, F.lit("").alias("chain"))
     out = found.join(w, by).join(e, by, "left").join(full_exact, by, "left").join(chain, by, "left")
     out = out.na.fill(0, ["exact", "barcodes_exact", "Ds_exact", "Js_exact", "CDR3s_exact", "clonotypes", "full_exact", "CDR3_shared_ratio"])
-    db = F.broadcast(database.select(F.col("name").alias("v_call"), F.col("sequence").alias("_db")))  # some hundred alleles
+    db = small(database.select(F.col("name").alias("v_call"), F.col("sequence").alias("_db")), "gene database")
     change = F.pandas_udf(lambda a, b: pd.Series([kernels.describe_change(x, y) if x and y and x != y else "" for x, y in zip(a, b, strict=True)]), "string")
     out = out.join(db, "v_call", "left").withColumn("database_diff", F.coalesce(F.levenshtein("_db", "consensus"), F.lit(-1)))
     out = out.filter((F.col("database_diff") <= 0) | (F.col("exact") >= 2))
@@ -128,22 +129,27 @@ def unique_names(df: DataFrame, order: str = "idx") -> DataFrame:
     return df.withColumn("_n", n).withColumn("name", F.concat("name", letter)).drop("_n")
 
 
-def discover_j(df: DataFrame, database: DataFrame, threshold: float = 0.6, allele_ratio: float = 0.2, cross_ratio: float = 0.1, seed: int = 1, program: str = "builtin") -> DataFrame:
-    """(name, source, exact, CDR3s_exact, consensus) of J alleles, from rows without an error."""
-    rows = df.filter("coalesce(j_call, '') <> '' and J_errors = 0 and coalesce(J_nt, '') <> ''")
-    stats = rows.groupBy("j_call").agg(F.count(F.lit(1)).alias("exact"), F.count_distinct(F.when(F.col("cdr3") != "", F.col("cdr3"))).alias("CDR3s_exact")).filter(F.col("exact") >= J_LEAST)
-    some = sampled(rows.join(stats.select("j_call"), "j_call", "left_semi"), ["j_call"], MOST_SAMPLED, seed)
+def discover_j(df: DataFrame, database: DataFrame, threshold: float = 0.6, allele_ratio: float = 0.2, cross_ratio: float = 0.1, seed: int = 1, program: str = "builtin", most: int = 1000) -> DataFrame:
+    """(name, source, exact, CDR3s_exact, consensus) of J alleles, from rows without an error: their J
+    sequence is J_nt or, without that column, j_sequence_alignment without gaps. A consensus is of `most` rows at most."""
+    if "J_nt" not in df.columns:
+        df = df.withColumn("J_nt", F.replace(F.coalesce("j_sequence_alignment", F.lit("")), F.lit("-"), F.lit("")))
+    exact = df.filter("coalesce(j_call, '') <> '' and J_errors = 0")
+    rows = exact.filter("coalesce(J_nt, '') <> ''")
+    stats = exact.groupBy("j_call").agg(F.count(F.lit(1)).alias("exact"), F.count_distinct(F.when(F.col("cdr3") != "", F.col("cdr3"))).alias("CDR3s_exact")).filter(F.col("exact") >= J_LEAST)
+    some = sampled(rows.join(stats.select("j_call"), "j_call", "left_semi"), ["j_call"], most, seed)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = kernels.iterative_consensus(pdf.sort_values("_rank")["J_nt"].tolist(), threshold, kernels.aligner(program), MOST_SAMPLED)
+        made = kernels.iterative_consensus(pdf.sort_values("_rank")["J_nt"].tolist(), threshold, kernels.aligner(program), most)
         return pd.DataFrame({"j_call": [pdf["j_call"].iloc[0]], "consensus": [made]})
 
     made = some.select("j_call", "J_nt", "_rank").groupBy("j_call").applyInPandas(fold, "j_call string, consensus string")
     found = stats.join(made, "j_call").filter("consensus <> ''")
-    db = F.broadcast(database.select(F.col("name").alias("j_call"), F.col("sequence").alias("_db")))  # some dozen alleles
+    db = small(database.select(F.col("name").alias("j_call"), F.col("sequence").alias("_db")), "gene database")
     found = found.join(db, "j_call", "left")
     same = F.startswith("_db", "consensus") | F.startswith("consensus", "_db")
     found = found.withColumn("name", F.when(same, F.col("j_call")).otherwise(sequence.unique_name(F.col("j_call"), F.col("consensus"))))
+    found = unique_names(found.select("*", F.struct("j_call").alias("_by")), "_by")
     kept = j_allele_ratio(found.select("name", F.col("j_call").alias("source"), "exact", "CDR3s_exact", "consensus"), allele_ratio)
     return j_cross_mapping(kept, cross_ratio)
 
@@ -166,8 +172,9 @@ def j_cross_pairs(found: DataFrame, ratio: float = 0.1) -> DataFrame:
 
 def j_cross_mapping(found: DataFrame, ratio: float = 0.1) -> DataFrame:
     """found without alleles that a more frequent, standing one explains; pairs are walked from the most frequent on."""
+    bounded(found, "J candidates", 5000)
     gone: set[str] = set()
-    for r in j_cross_pairs(found, ratio).orderBy(F.desc("ref_exact"), "ref", "cand").collect():  # alleles of a locus
+    for r in j_cross_pairs(found, ratio).orderBy(F.desc("ref_exact"), "ref", "cand").collect():  # of checked size
         if r.ref not in gone:
             gone.add(r.cand)
     return found.filter(~F.col("name").isin(list(gone))) if gone else found

@@ -69,9 +69,10 @@ class Block:
         self.het = self.het[::-1]
         self.rows = [(b, a, k, m, n) for a, b, k, n, m in self.rows]
 
+    # The column names and the comment line.
     def tsv(self, header: bool = False) -> str:
         top = ["\t".join(("haplotype1", "haplotype2", "type", "count1", "count2"))] if header else []
-        return "\n".join([*top, f"# {self.gene_type} haplotypes from {self.het[0]} and {self.het[1]}", *("\t".join(map(str, r)) for r in self.rows)]) + "\n"
+        return "\n".join([*top, f"# {self.gene_type} haplotype from {self.het[0]} and {self.het[1]}", *("\t".join(map(str, r)) for r in self.rows)]) + "\n"
 
 
 def analyse(df: DataFrame, d_evalue: float = 1e-4, d_coverage: float = 65.0, restrict: DataFrame | None = None, genes: list[str] | None = None, v_gene: str | None = None, strict: bool = True) -> list[Block]:
@@ -80,7 +81,14 @@ def analyse(df: DataFrame, d_evalue: float = 1e-4, d_coverage: float = 65.0, res
     rows = filters.haplotype(df, d_evalue, d_coverage)
     if restrict is not None:
         rows = filters.restrict(rows, restrict)
-    rows = rows.cache()
+    rows = rows.persist()
+    try:
+        return _search(rows, genes, v_gene, strict)
+    finally:
+        rows.unpersist()
+
+
+def _search(rows: DataFrame, genes: list[str] | None, v_gene: str | None, strict: bool) -> list[Block]:
     expressed = {g: usage.expression_by_gene(rows, g) for g in "VDJ"}
     hets = {g: [tuple(r.alleles) for r in usage.heterozygous(expressed[g]).collect()] or [None] for g in "VJ"}
     if v_gene:

@@ -98,8 +98,10 @@ class Run:
         new_j = j
         if n == 1:
             js = c.j_discovery
-            if "J_nt" in kept.columns:
-                found_j = self.stage(f"{at}/new_J", lambda: discovery.discover_j(kept, j, c.consensus_threshold / 100, js.allele_ratio, js.cross_mapping_ratio, c.seed, c.multialign_program))
+            if "J_nt" in kept.columns or "j_sequence_alignment" in kept.columns:
+                found_j = self.stage(f"{at}/new_J", lambda: discovery.discover_j(kept, j, c.consensus_threshold / 100, js.allele_ratio, js.cross_mapping_ratio, c.seed, c.multialign_program, c.subsample))
+                if not self.done(f"{self.root}/{at}/new_J.fasta"):
+                    fastx.write(found_j.select("name", F.col("consensus").alias("sequence")), f"{self.root}/{at}/new_J.fasta", "name")
                 if js.propagate and not found_j.isEmpty():
                     new_j = found_j.select("name", F.col("consensus").alias("sequence"), F.lit(0).cast("long").alias("ord"))
         self.stage(f"{at}/clusterplots", lambda: clusterplots.clusters(kept, ignore_j=c.ignore_j, seed=c.seed).select("gene", "n_sequences", "n_clusters"))

@@ -164,7 +164,7 @@ def test_merging(spark):
 
 
 def test_heatmap_and_upstream(spark):
-    assert "2 sequences" in clusterplots.heatmap("G", [[0.0, 1.0], [1.0, 0.0]])
+    assert clusterplots.heatmap({"gene": "G", "n_sequences": 2, "n_clusters": 0, "distances": [[0.0, 1.0], [1.0, 0.5]]}) == "G: 2 sequences, 0 clusters\nDistance matrix 2×2\n █\n█▒"
     df = spark.createDataFrame([(i, "V1", 0.0, "ACGT" * 3 + "A" * (i % 3)) for i in range(30)], "row_id long, v_call string, V_SHM double, UTR string")
     assert upstream.long_enough(df).count() == 10
     with pytest.raises(ValueError):
