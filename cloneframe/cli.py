@@ -60,7 +60,7 @@ def _clonotypes(a, spark) -> int:
     tables.write_table(out, a.out)
     if a.members:
         found = clonotypes.divergence(df, m) if a.mindiffrate else clonotypes.members(df, m)
-        tables.write_text(tables.blocks(found, "clonotype_id", ["row_id"]), a.members)
+        tables.write_text(tables.blocks(found, "clonotype_id", ["row_id"], header=True), a.members)
     return 0
 
 

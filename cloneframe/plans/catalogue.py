@@ -128,23 +128,23 @@ query("count_clonotypes", "assignments", EDIT + "select v_call, count(distinct c
 
 # clonoquery ----------------------------------------------------------------------------------------------------------
 
-PAIRS = f"select q.row_id as query_id, r.row_id as row_id, r.V_SHM from {A} q join (select * from {A}) r on q.v_call = r.v_call and q.j_call = r.j_call and length(q.cdr3) = length(r.cdr3) where q.v_call <> '' and q.row_id % 20 = 3 and r.row_id % 20 <> 3 and {{near}}".replace(" assignments q join", " q join").replace(" assignments) r", " z) r")
-PAIRS = PAIRS.replace(f"{A}) r", f"{A}) r")
+APART = "case when q.cdr3 = '' then 0 else hamming(q.cdr3, r.cdr3) end"
+PAIRS = f"select q.row_id as query_id, r.row_id as row_id, r.V_SHM from (select * from {A}) q join (select * from {A}) r on q.v_call = r.v_call and q.j_call = r.j_call and length(q.cdr3) = length(r.cdr3) where q.v_call <> '' and q.row_id % 20 = 0 and {{near}}"
 
 
 def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The query rows of a search, and all others."""
-    return df.filter("row_id % 20 = 3"), df.filter("row_id % 20 <> 3")
+    """The query rows of a search, whose ids are divisible by 20, and all rows."""
+    return df.filter("row_id % 20 = 0"), df
 
 
 def _found(df: DataFrame, mismatches: float, core: clonoquery.Core | None = None) -> DataFrame:
     return clonoquery.matches(*_split(df), mismatches, core).select("query_id", "row_id", "V_SHM")
 
 
-query("clonoquery", "assignments", PAIRS.format(near="hamming(q.cdr3, r.cdr3) <= 1"))(lambda df: _found(df, 1))
-query("clonoquery_frac", "assignments", PAIRS.format(near="hamming(q.cdr3, r.cdr3) <= 0.2e0 * length(q.cdr3)"))(lambda df: _found(df, 0.2))
-query("clonoquery_core", "assignments", PAIRS.format(near="hamming(q.cdr3, r.cdr3) <= 3 and (substr(q.cdr3, 1, 4) = substr(r.cdr3, 1, 4) or substr(q.cdr3, 9) = substr(r.cdr3, 9))"))(lambda df: _found(df, 3, clonoquery.Core(4, 8)))
-query("clonoquery_summary", "assignments", f"select q.row_id as query_id, count(m.row_id) as size, coalesce(round_even(avg(m.V_SHM), 2), 0) as \"avg_V_SHM\" from {A.replace(') assignments', ') q')} left join ({PAIRS.format(near='hamming(q.cdr3, r.cdr3) <= 1')}) m on m.query_id = q.row_id where q.v_call <> '' and q.row_id % 20 = 3 group by 1")(
+query("clonoquery", "assignments", PAIRS.format(near=f"{APART} <= 1"))(lambda df: _found(df, 1))
+query("clonoquery_frac", "assignments", PAIRS.format(near=f"{APART} <= floor(0.2e0 * length(q.cdr3))"))(lambda df: _found(df, 0.2))
+query("clonoquery_core", "assignments", PAIRS.format(near=f"{APART} <= 3 and (substr(q.cdr3, 1, 4) = substr(r.cdr3, 1, 4) or substr(q.cdr3, 9) = substr(r.cdr3, 9))"))(lambda df: _found(df, 3, clonoquery.Core(4, 8)))
+query("clonoquery_summary", "assignments", f"select q.row_id as query_id, count(m.row_id) as size, coalesce(round_even(avg(m.V_SHM), 2), 0) as \"avg_V_SHM\" from {A.replace(') assignments', ') q')} left join ({PAIRS.format(near=APART + ' <= 1')}) m on m.query_id = q.row_id where q.v_call <> '' and q.row_id % 20 = 0 group by 1")(
     lambda df: clonoquery.summary(_split(df)[0], _found(df, 1))
 )
 
@@ -173,7 +173,13 @@ def expression(name: str, text: str, made: Callable[[], dict[str, Column]]) -> N
     query(name, "strings", f"select row_id, {text} from {S}")(lambda df: df.select("row_id", *(c.alias(n) for n, c in made().items())))
 
 
-CODONS = "map {" + ", ".join(f"'{a}{b}{c}': '{sequence.CODE[16 * i + 4 * j + k]}'" for i, a in enumerate("TCAG") for j, b in enumerate("TCAG") for k, c in enumerate("TCAG")) + "}"
+# The standard genetic code by amino acid, apart from the library's own table.
+OF_AMINO = {
+    "F": "TTT TTC", "L": "TTA TTG CTT CTC CTA CTG", "I": "ATT ATC ATA", "M": "ATG", "V": "GTT GTC GTA GTG", "S": "TCT TCC TCA TCG AGT AGC", "P": "CCT CCC CCA CCG", "T": "ACT ACC ACA ACG",
+    "A": "GCT GCC GCA GCG", "Y": "TAT TAC", "*": "TAA TAG TGA", "H": "CAT CAC", "Q": "CAA CAG", "N": "AAT AAC", "K": "AAA AAG", "D": "GAT GAC", "E": "GAA GAG", "C": "TGT TGC", "W": "TGG",
+    "R": "CGT CGC CGA CGG AGA AGG", "G": "GGT GGC GGA GGG",
+}
+CODONS = "map {" + ", ".join(f"'{c}': '{a}'" for a, cs in OF_AMINO.items() for c in cs.split()) + "}"
 AMINO = f"array_to_string(list_transform(range(0, length(s) // 3), lambda i: ({CODONS})[substr(s, 3 * i + 1, 3)]), '')"
 expression("translate", f"{AMINO} as aa, contains({AMINO}, '*') as stop", lambda: dict(aa=sequence.translate(_c("s")), stop=sequence.has_stop(_c("s"))))
 expression("reverse_complement", "reverse(translate(s, 'ACGT', 'TGCA')) as rc", lambda: dict(rc=sequence.reverse_complement(_c("s"))))
@@ -194,8 +200,8 @@ def _barcodes() -> dict[str, Column]:
 
 
 expression("barcodes", "substr(s, 1, 8) as five, substr(s, 9) as five_rest, right(s, 8) as three, left(s, length(s) - 8) as three_rest, substr(s, 1, 5) as short, '' as short_rest", _barcodes)
-MERGE = "case when list_bool_or(list_transform(range(1, 21), lambda i: substr(s, i, 1) <> substr(t, i, 1) and substr(t, i, 1) <> 'N')) then null else substr(s, 1, 20) end"
-expression("merge_n", f"{MERGE} as merged", lambda: dict(merged=sequence.merge_n(F.substring("s", 1, 20), F.substring("t", 1, 20))))
+MERGE = "case when list_bool_or(list_transform(range(1, length(s) + 1), lambda i: substr(s, i, 1) <> substr(t, i, 1) and substr(t, i, 1) <> 'N')) then null else s end"
+expression("merge_n", f"{MERGE} as merged", lambda: dict(merged=sequence.merge_n(_c("s"), _c("t"))))
 ZIP = "least(length(g), length(q))"
 expression("alignment_errors", f"cast(len(list_filter(range(1, {ZIP} + 1), lambda i: substr(g, i, 1) <> substr(q, i, 1))) as bigint) as errors, 100.0e0 * length(replace(g, '-', '')) / 20 as coverage", lambda: dict(errors=alignment.errors(_c("g"), _c("q")), coverage=alignment.coverage(_c("g"), F.lit(20))))
 GAP = "length(replace(substr(g, 1, i), '-', ''))"
@@ -204,9 +210,57 @@ TAIL = f"right({AMINO}, 15)"
 HEAVY = r"regexp_extract({x}, '[FY][FHVWY]C([ADEGIKMNRSTV*]|$)')"
 expression("cdr3_anchor_k", f"cast(case when regexp_matches({TAIL}, '[FSVY][CFHNVY][CDFGLSW]') then 3 * (length({AMINO}) - length({TAIL}) + strpos({TAIL}, regexp_extract({TAIL}, '[FSVY][CFHNVY][CDFGLSW]')) + 2) else 0 end as int) as start", lambda: dict(start=cdr3.start_in_v(_c("s"), "IGK")))
 expression("cdr3_anchor_b", f"cast(case when contains(right({AMINO}, 8), 'C') then 3 * (length({AMINO}) - length(right({AMINO}, 8)) + strpos(right({AMINO}, 8), 'C')) else 0 end as int) as start", lambda: dict(start=cdr3.start_in_v(_c("s"), "TRB")))
-query("cdr3_anchors", "strings")(lambda df: df.select("row_id", *(cdr3.start_in_v(_c("s"), x).alias(f"start_{x}") for x in cdr3.LOCI), *(cdr3.end_in_j(_c("s"), x).alias(f"end_{x}") for x in cdr3.LOCI), cdr3.find_in_read(_c("s"), "IGH").alias("heavy"), cdr3.find_in_read(_c("s"), "IGK").alias("kappa")))
 FRAMES = [AMINO.replace("substr(s,", f"substr(substr(s, {f + 1}),").replace("length(s)", f"(length(s) - {f})") for f in range(3)]
 expression("cdr3_end", "cast(coalesce(" + ", ".join(f"case when strpos({a}, 'FG') > 0 then (strpos({a}, 'FG') - 1) * 3 + {f} end" for f, a in enumerate(FRAMES)) + ", 0) as int) as stop", lambda: dict(stop=cdr3.end_in_j(_c("s"), "IGK")))
+LIGHT = "regexp_matches(substr({a}, i, 3), '^[CDY][CFHSY][CFGW]$') and not regexp_matches(substr({a}, i + 1, 3), '^[CDY][CFHSY][CFGW]$')"  # a lookahead by places
+
+
+def _read_sql(a: str, f: int, locus: str) -> str:
+    """struct(start, end) of the CDR3 in frame f, whose amino acids are column a."""
+    if locus == "IGL":
+        return f"(list_transform(list_filter(range(1, length({a}) + 1), lambda i: {LIGHT.format(a=a)} and regexp_matches(substr({a}, i + 3), '^.{{4,15}}[FS]G')), lambda i: {{{{'start': 3 * (i + 2) + {f}, 'end': 3 * (i + 2 + length(regexp_extract(substr({a}, i + 3), '^(.{{4,15}})[FS]G', 1))) + {f}}}}}))[1]".replace("{{", "{").replace("}}", "}")
+    found = []
+    for lead, inner, tail in {"IGH": [("[FY][FHVWY]C", "[ADEGIKMNRSTV].{3,31}", "W[GAV]"), ("C", ".[RK].{3,30}", "[WF]G.G")], "IGK": [("[FSVY][CFHNVY][CDFGLSW]", ".{4,15}", "[FLV][GRV]")]}[locus]:
+        whole = f"regexp_extract({a}, '{lead}{inner}{tail}')"
+        start = f"(strpos({a}, {whole}) - 1 + {len(lead.split(']')) - 1 + lead.count('C') if lead[-1] == 'C' else 3})"
+        found.append(f"case when {whole} <> '' then {{'start': 3 * {start} + {f}, 'end': 3 * ({start} + length(regexp_extract({a}, '{lead}({inner}){tail}', 1))) + {f}}} end")
+    return f"coalesce({', '.join(found)})"
+
+
+def _best_sql(locus: str) -> str:
+    return f"coalesce(list_min(list_filter([{', '.join(_read_sql(f'a{f}', f, locus) for f in range(3))}], lambda x: x is not null)), {{'start': 0, 'end': 0}})"
+
+
+AMINOS = f"(select row_id, {', '.join(f'{x} as a{f}' for f, x in enumerate(FRAMES))} from {S})"
+READS_SQL = "select row_id, " + ", ".join(f"cast({k}.start as int) as {k}_start, cast({k}.end as int) as {k}_end" for k in ("heavy", "kappa", "lambda_")) + f" from (select row_id, {_best_sql('IGH')} as heavy, {_best_sql('IGK')} as kappa, {_best_sql('IGL')} as lambda_ from {AMINOS})"
+
+
+def _in_reads(df: DataFrame) -> DataFrame:
+    made = df.select("row_id", *(cdr3.find_in_read(_c("s"), x).alias(n) for n, x in (("heavy", "IGH"), ("kappa", "IGK"), ("lambda_", "IGL"))))
+    return made.select("row_id", *(F.col(f"{n}.{e}").alias(f"{n}_{e}") for n in ("heavy", "kappa", "lambda_") for e in ("start", "end")))
+
+
+query("cdr3_in_reads", "strings", READS_SQL)(_in_reads)
+T15, H15, T8 = "right(a0, 15)", "length(a0) - length(right(a0, 15))", "right(a0, 8)"
+
+
+def _after(pattern: str) -> str:
+    """Bases before the end of a pattern's first match in the tail."""
+    return f"case when regexp_matches({T15}, '{pattern}') then 3 * ({H15} + strpos({T15}, regexp_extract({T15}, '{pattern}')) - 1 + length(regexp_extract({T15}, '{pattern}'))) end"
+
+
+HEAVY_V = f"case when regexp_matches({T15}, '[FY][FHVWY]C([ADEGIKMNRSTV*]|$)') then 3 * ({H15} + case when regexp_extract({T15}, '[FY][FHVWY]C([ADEGIKMNRSTV*]|$)', 1) = '' then length({T15}) else strpos({T15}, regexp_extract({T15}, '[FY][FHVWY]C([ADEGIKMNRSTV*]|$)')) + 2 end) when regexp_matches({T15}, 'C.[RK]') then 3 * ({H15} + strpos({T15}, regexp_extract({T15}, 'C.[RK]'))) end"
+LIGHT_V = f"3 * ({H15} + (list_filter(range(1, length({T15}) + 1), lambda i: {LIGHT.format(a=T15)}))[1] + 2)"
+V_SQL = {"IGH": HEAVY_V, "IGK": _after("[FSVY][CFHNVY][CDFGLSW]"), "IGL": LIGHT_V, "TRA": f"case when contains({T8}, 'C') then 3 * (length(a0) - length({T8}) + strpos({T8}, 'C')) end", "TRG": _after("[YFH]C"), "TRD": _after("[YFH]C")}
+V_SQL["TRB"] = V_SQL["TRA"]
+
+
+def _j_sql(pattern: str) -> str:
+    return "coalesce(" + ", ".join(f"case when regexp_matches(a{f}, '{pattern}') then 3 * (strpos(a{f}, regexp_extract(a{f}, '{pattern}')) - 1) + {f} end" for f in range(3)) + ", 0)"
+
+
+ANCHORS = "select row_id, " + ", ".join([*(f"cast(coalesce({V_SQL[x]}, 0) as int) as \"start_{x}\"" for x in cdr3.LOCI), *(f"cast({_j_sql('W[GAV]' if x == 'IGH' else 'FG')} as int) as \"end_{x}\"" for x in cdr3.LOCI)]) + f" from {AMINOS}"
+query("cdr3_anchors", "strings", ANCHORS)(lambda df: df.select("row_id", *(cdr3.start_in_v(_c("s"), x).alias(f"start_{x}") for x in cdr3.LOCI), *(cdr3.end_in_j(_c("s"), x).alias(f"end_{x}") for x in cdr3.LOCI)))
 
 # consensus -----------------------------------------------------------------------------------------------------------
 
@@ -223,7 +277,7 @@ query("consensus_columns", "aligned", CONSENSUS)(lambda df: consensus.column_con
 
 # discovery -----------------------------------------------------------------------------------------------------------
 
-LABELS = "list_filter([" + ", ".join(f"case when V_SHM >= {lo} and V_SHM < {hi} then '{n}' end" for lo, hi, n in discovery.WINDOWS) + "], lambda x: x is not null)"
+LABELS = "list_filter([" + "".join(f"case when V_SHM >= {lo} and V_SHM < {lo + 2} then '{lo}-{lo + 2}' end, " for lo in (0, 2, 4, 6, 8, 10, 12, 14, 16, 18)) + "case when V_SHM >= 0 and V_SHM < 100 then 'all' end], lambda x: x is not null)"
 query("window_siblings", "assignments", f"select v_call, w as \"window\", count(*) as n from (select v_call, unnest({LABELS}) as w from {A}) group by 1, 2 having count(*) >= 5")(discovery.sibling_sizes)
 
 
@@ -271,10 +325,19 @@ p as (select r.idx as ref, x.idx as cand, coalesce(
 query("germline_pairs", "candidates", PAIR + "select * from p where reason is not null")(lambda df: germline.pair_reasons(_annotated(df), CRITERIA))
 query("germline_filtered", "candidates")(lambda df: germline.eliminate(_annotated(df), CRITERIA).select("idx", "is_filtered", "why_filtered"))
 query("dedup_consensus", "candidates", f"select idx, name, consensus from {C} qualify row_number() over (partition by consensus order by cluster_size desc, name, idx) = 1")(lambda df: germline.best_per_consensus(df).select("idx", "name", "consensus"))
-query("unique_names", "candidates", f"select idx, concat(name, case when n > 1 then chr(cast(63 + n as int)) else '' end) as name from (select idx, name, row_number() over (partition by name order by idx) as n from {C} where idx < 500) ")(lambda df: discovery.unique_names(df.select("idx", "name").filter("idx < 500")))
+query("unique_names", "candidates", f"select idx, concat(name, case when n > 1 then chr(cast(63 + n as int)) else '' end) as name from (select idx, name, row_number() over (partition by name order by idx) as n from (select idx, concat(name, 'r', cast(floor(idx / 500) as int)) as name from {C}))")(
+    lambda df: discovery.unique_names(df.select("idx", F.concat("name", F.lit("r"), F.floor(F.col("idx") / 500).cast("int").cast("string")).alias("name")))
+)
 query("j_allele_filter", "j_candidates", f"select name, source, exact from {J} qualify exact >= 0.2 * max(exact) over (partition by split_part(source, '*', 1))")(lambda df: discovery.j_allele_ratio(df).select("name", "source", "exact"))
 query("j_cross_pairs", "j_candidates", f"with c as (select * from {J}) select r.name as ref, x.name as cand, r.exact as ref_exact from c r join c x on (-r.exact, r.name) < (-x.exact, x.name) where hamming(right(r.consensus, 4), right(x.consensus, 4)) <= 1 and r.exact + x.exact > 0 and x.exact / (r.exact + x.exact) < 0.1")(discovery.j_cross_pairs)
-query("j_cross_map", "j_candidates")(lambda df: discovery.j_cross_mapping(df).select("name", "exact"))
+JWALK = f"""
+with recursive c as (select * from {J}),
+pairs as (select r.name as ref, x.name as cand, row_number() over (order by r.exact desc, r.name, x.name) as n from c r join c x on (-r.exact, r.name) < (-x.exact, x.name)
+  where hamming(right(r.consensus, 4), right(x.consensus, 4)) <= 1 and r.exact + x.exact > 0 and x.exact / (r.exact + x.exact) < 0.1),
+walk as (select cast(0 as bigint) as n, cast([] as varchar[]) as gone union all select p.n, case when list_contains(gone, p.ref) then gone else list_append(gone, p.cand) end from walk join pairs p on p.n = walk.n + 1)
+select name, exact from c where not list_contains((select gone from walk order by n desc limit 1), name)
+"""
+query("j_cross_map", "j_candidates", JWALK)(lambda df: discovery.j_cross_mapping(df).select("name", "exact"))
 
 # databases -----------------------------------------------------------------------------------------------------------
 
@@ -308,11 +371,21 @@ query("db_duplicates", "database_a", f"select 'name' as kind, name, null as othe
 NEAR = f"""
 with p as (select f.*, d.name as d, d.ord as dord, levenshtein(f.sequence, d.sequence) as dist from (select * from {FOUND}) f, (select * from {DA}) d),
 n as (select *, split_part(d, '*', 1) as gene from p qualify row_number() over (partition by ord order by dist, dord) = 1)
-select ord, name, sequence, gene, cast(dist as int) as distance, concat(gene, '*', lpad(cast(row_number() over (partition by gene order by dist, ord) as varchar), 2, '0')) as new_name from n
+select ord, name, sequence, gene, cast(dist as int) as distance, concat(gene, '*', printf('%02d', row_number() over (partition by gene order by dist, ord))) as new_name from n
 """
 pair("rename_nearest", NEAR, databases.rename, "found", "database_a")
 query("prefix_pairs", "prefixes", f"with p as (select * from {PRE}) select x.ord as short, y.ord as long from p x join p y on x.ord <> y.ord and starts_with(y.sequence, x.sequence) and (length(x.sequence) < length(y.sequence) or x.ord < y.ord)")(databases.prefix_pairs)
-query("prefix_union", "prefixes")(databases.union)
+UNION = f"""
+with recursive p as (select *, row_number() over (order by ord) as n from {PRE}),
+walk as (select cast(0 as bigint) as n, cast([] as struct(name varchar, s varchar)[]) as kept
+  union all select p.n, case when len(list_filter(kept, lambda k: starts_with(k.s, p.sequence) or starts_with(p.sequence, k.s))) = 0 then list_append(kept, {{'name': p.name, 's': p.sequence}})
+    else list_append(list_filter(kept, lambda k: not (starts_with(k.s, p.sequence) or starts_with(p.sequence, k.s))),
+      {{'name': list_filter(kept, lambda k: starts_with(k.s, p.sequence) or starts_with(p.sequence, k.s))[-1].name,
+        's': list_max(list_append(list_transform(list_filter(kept, lambda k: starts_with(k.s, p.sequence) or starts_with(p.sequence, k.s)), lambda k: {{'n': length(k.s), 's': k.s}}), {{'n': length(p.sequence), 's': p.sequence}})).s}}) end
+  from walk join p on p.n = walk.n + 1)
+select u.name as name, u.s as sequence from (select unnest(kept) as u from walk where n = (select max(n) from walk))
+"""
+query("prefix_union", "prefixes", UNION)(databases.union)
 query("distinct_sequences", "prefixes", f"select distinct sequence from {PRE}")(lambda df: df.select("sequence").distinct())
 
 # distances, upstream regions, kernels ----------------------------------------------------------------------------------
@@ -320,28 +393,33 @@ query("distinct_sequences", "prefixes", f"select distinct sequence from {PRE}")(
 DIST = f"with o as (select distinct v_call, cdr3 as a from {A} where cdr3 <> ''), c as (select v_call, max(cast(round_even(0.2e0 * length(a), 0) as int)) as cap from o group by 1) select v_call, x.a, y.a as b, cast(least(levenshtein(x.a, y.a), cap + 1) as int) as d from o x join o y using (v_call) join c using (v_call) where x.a < y.a"
 query("distance_matrix", "assignments", DIST)(lambda df: clusterplots.distance_pairs(df.filter("cdr3 <> ''"), "v_call", "cdr3"))
 UP = sql("leaders")
-query("upstream_longest", "leaders", f"select row_id, v_call, \"UTR\" as target from (select *, (list(length(\"UTR\") order by length(\"UTR\") desc) over (partition by v_call order by length(\"UTR\") desc rows between unbounded preceding and unbounded following)) as ls from {UP} where \"UTR\" <> '' and V_SHM <= 1) where length(\"UTR\") >= ls[least(10, len(ls))]")(lambda df: upstream.long_enough(filters.upstream(df, 1.0)).select("row_id", "v_call", "target"))
+query("upstream_longest", "leaders", f"select row_id, v_call, \"UTR\" as target from (select *, (list(length(\"UTR\") order by length(\"UTR\") desc) over (partition by v_call order by length(\"UTR\") desc rows between unbounded preceding and unbounded following)) as ls from {UP} where V_SHM <= 1) where length(\"UTR\") >= ls[least(10, len(ls))]")(lambda df: upstream.long_enough(filters.upstream(df, 1.0)).select("row_id", "v_call", "target"))
 query("upstream_target", "leaders", f"select row_id, concat(\"UTR\", leader) as target from {UP}")(lambda df: df.select("row_id", upstream.target(df, "UTR+leader").alias("target")))
 query("upstream_consensus", "leaders")(upstream.consensus)
-query("cluster_plots", "assignments")(lambda df: clusterplots.clusters(df.withColumn("V_nt", F.col("cdr3")), least=5, shown=60, ignore_j=True, strict=False).select("gene", "n_sequences", "n_clusters"))
+query("cluster_plots", "assignments")(lambda df: clusterplots.clusters(df.withColumn("V_nt", F.col("cdr3")), least=5, ignore_j=True, strict=False).select("gene", "n_sequences", "n_clusters", "clusters"))
+
+
+EDITED = "case row_id % 3 when 0 then t when 1 then concat(substr(s, 1, 20), substr(s, 24)) else concat(substr(s, 1, 30), 'TTGAC', substr(s, 31)) end"
 
 
 def _kernel(df: DataFrame) -> DataFrame:
-    """Affine alignment and change description of each string and its edited copy."""
+    """Affine alignment and kinds of change of each string and a copy with a substitution, a loss or an insertion."""
     import pandas as pd
 
     from cloneframe.functions import kernels
 
     def run(batches):
         for pdf in batches:
-            made = [kernels.align(a[:40], b[:40]) for a, b in zip(pdf["s"], pdf["t"], strict=True)]
-            yield pd.DataFrame({"row_id": pdf["row_id"], "score": [m[2] for m in made], "errors": [m[3] for m in made], "change": [kernels.describe_change(a[:40], b[:40]) for a, b in zip(pdf["s"], pdf["t"], strict=True)]})
+            made = [kernels.align(a, b) for a, b in zip(pdf["s"], pdf["e"], strict=True)]
+            yield pd.DataFrame({"row_id": pdf["row_id"], "score": [m[2] for m in made], "errors": [m[3] for m in made], "change": [kernels.describe_change(a, b) for a, b in zip(pdf["s"], pdf["e"], strict=True)]})
 
-    return df.select("row_id", "s", "t").mapInPandas(run, "row_id long, score long, errors long, change string")
+    made = df.select("row_id", "s", F.expr(EDITED).alias("e")).mapInPandas(run, "row_id long, score long, errors long, change string")
+    # where a gap may stand in several places, only its kind is defined
+    return made.withColumn("change", F.when(F.col("row_id") % 3 == 0, F.col("change")).otherwise(F.regexp_replace("change", "[^a-z;]", "")))
 
 
 SUBST = "case when substr(s, 10, 1) = substr(t, 10, 1) then 0 else 1 end"
-query("affine_align", "strings", f"select row_id, cast(40 - 4 * {SUBST} as bigint) as score, cast({SUBST} as bigint) as errors, case when {SUBST} = 0 then '' else concat('10', substr(s, 10, 1), '>', substr(t, 10, 1)) end as change from {S}")(_kernel)
+query("affine_align", "strings", f"select row_id, cast(case row_id % 3 when 0 then length(s) - 4 * {SUBST} when 1 then length(s) - 3 - 8 else length(s) - 10 end as bigint) as score, cast(case row_id % 3 when 0 then {SUBST} when 1 then 3 else 5 end as bigint) as errors, case row_id % 3 when 0 then case when {SUBST} = 0 then '' else concat('10', substr(s, 10, 1), '>', substr(t, 10, 1)) end when 1 then 'del' else 'ins' end as change from {S}")(_kernel)
 
 
 def _discover(df: DataFrame, j: bool = False) -> DataFrame:
@@ -362,21 +440,23 @@ HAPLOTYPE_COLUMNS = "block int, gene_type string, haplotype1 string, haplotype2
 
 
 def _haplotypes(df: DataFrame) -> DataFrame:
-    blocks = haplotypes.analyse(df.withColumns({"V_errors": F.lit(0), "J_errors": F.lit(0), "D_errors": F.lit(0)}))
+    blocks = haplotypes.analyse(df)
     return df.sparkSession.createDataFrame([(i, b.gene_type, *r) for i, b in enumerate(blocks) for r in b.rows], HAPLOTYPE_COLUMNS)
 
 
 query("haplotypes", "assignments")(_haplotypes)
 
 
+GENE_NT = "concat(translate(md5(concat('{p}', cast({k} as {{S}}))), '0123456789abcdef', 'ACGTACGTACGTACGT'), translate(md5(concat('{p}+', cast({k} as {{S}}))), '0123456789abcdef', 'ACGTACGTACGTACGT'))"
+V_GENE, J_GENE, D_GENE = GENE_NT.format(p="V", k="row_id % 60"), f"substr({GENE_NT.format(p='J', k='row_id % 31')}, 1, 40)", f"substr({GENE_NT.format(p='D', k='row_id % 11')}, 1, 14)"
+
+
 def _assign(df: DataFrame) -> DataFrame:
-    """Assignment of reads made of two of the strings' genes."""
-    genes = df.filter("row_id < 60").select(F.concat(F.lit("IGHV"), F.col("row_id").cast("string"), F.lit("*01")).alias("name"), F.col("s").alias("sequence"))
-    ends = df.filter("row_id between 60 and 90").select(F.concat(F.lit("IGHJ"), F.col("row_id").cast("string"), F.lit("*01")).alias("name"), F.substring("s", 1, 40).alias("sequence"))
-    mids = df.filter("row_id between 100 and 110").select(F.concat(F.lit("IGHD"), F.col("row_id").cast("string"), F.lit("*01")).alias("name"), F.substring("s", 1, 14).alias("sequence"))
-    v, j = genes.withColumn("k", F.expr("cast(substring(name, 5, length(name) - 7) as int)")), ends.withColumn("k", F.expr("cast(substring(name, 5, length(name) - 7) as int) - 60"))
-    reads = v.join(j.select(F.col("k"), F.col("sequence").alias("js")), "k").select(F.concat(F.lit("read"), F.col("k").cast("string")).alias("name"), F.concat("sequence", F.lit("ACCA"), "js").alias("sequence"))
-    return assign.assign(reads, genes, mids, ends).select("sequence_id", "v_call", "j_call", "v_identity", "j_sequence_start")
+    """Assignment of a read of each row, made of one of 60 V genes, one of 11 D and one of 31 J genes."""
+    at = lambda e: F.expr(e.replace("{S}", "string"))
+    genes = [df.sparkSession.range(n).withColumnRenamed("id", "row_id").select(F.concat(F.lit(f"IGH{p}"), F.col("row_id").cast("string"), F.lit("*01")).alias("name"), at(e).alias("sequence")) for p, n, e in (("V", 60, V_GENE), ("D", 11, D_GENE), ("J", 31, J_GENE))]
+    reads = df.select(F.concat(F.lit("read"), F.col("row_id").cast("string")).alias("name"), F.concat(at(V_GENE), F.lit("AC"), at(D_GENE), F.lit("CA"), at(J_GENE)).alias("sequence"))
+    return assign.assign(reads, *genes).select("sequence_id", "v_call", "j_call", "v_identity", "j_identity")
 
 
-query("assign_vdj", "strings")(_assign)
+query("assign_vdj", "strings", f"select concat('read', row_id) as sequence_id, concat('IGHV', row_id % 60, '*01') as v_call, concat('IGHJ', row_id % 31, '*01') as j_call, 100.0e0 as v_identity, 100.0e0 as j_identity from {S}")(_assign)

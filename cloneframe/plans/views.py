@@ -20,7 +20,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         "v_call": "concat('IGHV',cast(o_custkey % 8 + 1 as {S}),'*0',cast(o_custkey % 3 + 1 as {S}))",
         "d_call": "case when o_orderkey % 19 = 0 then '' else concat('IGHD',cast(o_orderkey % 5 + 1 as {S}),'*01') end",
         "j_call": "case when o_orderkey % 23 = 0 then '' else concat('IGHJ',cast(o_orderkey % 6 + 1 as {S}),'*0',cast(o_orderkey % 5 % 2 + 1 as {S})) end",
-        "cdr3": f"case when o_orderkey % 10 = 0 then '' else concat(substr({_nt('o_custkey % 40')},1,cast(11 + o_custkey % 3 as int)),substr('ACGT',cast(o_orderkey % 4 + 1 as int),1)) end",
+        "cdr3": f"case when o_orderkey % 11 = 7 then '' else concat(substr({_nt('o_custkey % 40')},1,cast(11 + o_custkey % 3 as int)),substr('ACGT',cast(o_orderkey % 4 + 1 as int),1)) end",
         "stop_codon": "case when o_orderkey % 13 = 0 then 'T' else 'F' end",
         "v_support": "case when o_orderkey % 17 = 0 then null when o_orderkey % 11 = 0 then 0.5e0 else 1e-6 end",
         "V_covered": "cast(80 + o_orderkey % 21 as double)",

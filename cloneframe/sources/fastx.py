@@ -1,8 +1,10 @@
 """FASTA and FASTQ as a Spark data source, and FASTA as a sink.
 
 `spark.dataSource.register(Fastx)` once, then `spark.read.format("fastx").option("limit", n).load(path)` gives
-(file, ord, name, sequence): the name is the text up to the first blank, sequences are upper case, ord counts records
-in a file. A path may be a folder; files may be gzipped. One file is one partition, as records carry an order.
+(file, ord, name, sequence): the name is the text up to the first blank, sequences are upper case, ord grows along a
+file. A path may be a folder; files may be gzipped, and are streamed. A plain FASTA file of more than `split` bytes
+(an option) is read in ranges, its records' ord being their places in bytes; any other file is one partition, and ord
+counts its records. FASTQ has no safe place to cut at, as a quality line may begin like a record.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.window import Window
 
+SPLIT = 64 << 20
 SCHEMA = "file string, ord long, name string, sequence string"
 
 
@@ -79,7 +82,31 @@ def open_records(path: str, limit: int = 0) -> Iterator[tuple[str, str]]:
     system, inner = _system(path)
     with system.open_input_stream(inner, compression=None) as raw:
         stream = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
-        yield from records(io.BufferedReader(stream if isinstance(stream, io.RawIOBase | gzip.GzipFile) else io.BytesIO(stream.read())), limit)
+        yield from records(io.BufferedReader(stream, 1 << 20), limit)
+
+
+def range_records(path: str, start: int, stop: int) -> Iterator[tuple[int, str, str]]:
+    """(place, name, sequence) of the FASTA records that begin in bytes start to stop of a plain file."""
+    system, inner = _system(path)
+    with system.open_input_file(inner) as raw:
+        raw.seek(max(0, start - 1))
+        stream = io.BufferedReader(raw, 1 << 20)
+        at = max(0, start - 1)
+        if start:
+            at += len(stream.readline())  # the end of the line before, or an empty rest of it
+        begin, header, parts = 0, None, []
+        while line := stream.readline():
+            if line.startswith(b">"):
+                if header is not None:
+                    yield begin, (header.split() or [""])[0], "".join(parts).upper()
+                if at >= stop:
+                    return
+                begin, header, parts = at, line[1:].decode().strip(), []
+            elif header is not None:
+                parts.append(line.decode().strip())
+            at += len(line)
+        if header is not None:
+            yield begin, (header.split() or [""])[0], "".join(parts).upper()
 
 
 def _rows(path: str, limit: int) -> Iterator[tuple]:
@@ -88,35 +115,55 @@ def _rows(path: str, limit: int) -> Iterator[tuple]:
 
 
 class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """A file, or the records that begin in a range of one."""
+
+    def __init__(self, path: str, start: int = 0, stop: int = 0):
+        self.path, self.start, self.stop = path, start, stop
+
+
+def _parts(path: str, size: int) -> list[_File]:
+    system, inner = _system(path)
+    total = system.get_file_info(inner).size or 0
+    if path.endswith(".gz") or total <= size:
+        return [_File(path)]
+    with system.open_input_stream(inner, compression=None) as raw:
+        if raw.read(1) != b">":
+            return [_File(path)]
+    return [_File(path, a, min(a + size, total)) for a in range(0, total, size)]
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.limit = options["path"], int(options.get("limit", 0))
+        self.split = int(options.get("split", SPLIT))
 
     def partitions(self) -> list[_File]:
-        return [_File(p) for p in files(self.path)]
+        return [part for p in files(self.path) for part in ([_File(p)] if self.limit else _parts(p, self.split))]
 
     def read(self, partition: _File) -> Iterator[tuple]:
+        if partition.stop:
+            return ((partition.path, *r) for r in range_records(partition.path, partition.start, partition.stop))
         return _rows(partition.path, self.limit)
 
 
 class _Stream(DataSourceStreamReader):
-    """New files of a folder, in the order of their names."""
+    """New files of a folder, in the order of their times and names."""
 
     def __init__(self, options: dict):
         self.path, self.limit = options["path"], int(options.get("limit", 0))
 
     def initialOffset(self) -> dict:
-        return {"last": ""}
+        return {"time": 0, "last": ""}
+
+    def _found(self) -> list[tuple[int, str]]:
+        return sorted((_system(p)[0].get_file_info(_system(p)[1]).mtime_ns or 0, p) for p in files(self.path))
 
     def latestOffset(self) -> dict:
-        return {"last": max(files(self.path), default="")}
+        time, last = max(self._found(), default=(0, ""))
+        return {"time": time, "last": last}
 
     def partitions(self, start: dict, end: dict) -> list[_File]:
-        return [_File(p) for p in files(self.path) if start["last"] < p <= end["last"]]
+        return [_File(p) for t, p in self._found() if (start["time"], start["last"]) < (t, p) <= (end["time"], end["last"])]
 
     def read(self, partition: _File) -> Iterator[tuple]:
         return _rows(partition.path, self.limit)
@@ -139,7 +186,8 @@ class Fastx(DataSource):
 
 def read(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     spark.dataSource.register(Fastx)
-    return spark.read.format("fastx").option("limit", limit).load(path)
+    found = spark.read.format("fastx").option("limit", limit).load(path)
+    return found.orderBy("file", "ord").limit(limit) if limit else found  # of a file no more than limit rows come here
 
 
 def last_by_name(df: DataFrame) -> DataFrame:
@@ -149,9 +197,9 @@ def last_by_name(df: DataFrame) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, order: str | list[str] = "ord", compressed: bool = False) -> None:
-    """df's name and sequence as FASTA, in one file of the folder path, ordered."""
+    """df's name and sequence as FASTA in the folder path; its files, in order of their names, hold them in order."""
     text = df.orderBy(order).select(F.concat(F.lit(">"), "name", F.lit("\n"), "sequence").alias("value"))
-    text.coalesce(1).write.option("compression", "gzip" if compressed else "none").text(path)
+    text.write.option("compression", "gzip" if compressed else "none").text(path)
 
 
 def has_records(df: DataFrame) -> bool:

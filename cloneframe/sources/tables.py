@@ -29,19 +29,36 @@ def read_assignments(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({c: F.coalesce(c, F.lit("")) for c in NEVER_NULL if c in df.columns})
 
 
-def write_table(df: DataFrame, path: str, compressed: bool = False) -> None:
-    df.coalesce(1).write.option("header", True).option("sep", "\t").option("emptyValue", "").option("compression", "gzip" if compressed else "none").csv(path)
+def write_table(df: DataFrame, path: str, compressed: bool = False, files: int | None = None) -> None:
+    """A header and df's rows, in each file of the folder path; files: so many, else one a partition of df."""
+    out = df if files is None else df.repartition(files)
+    out.write.option("header", True).option("sep", "\t").option("emptyValue", "").option("compression", "gzip" if compressed else "none").csv(path)
 
 
-def blocks(df: DataFrame, group: str, order: list[str], head: str | None = None) -> DataFrame:
-    """(value): tab-separated rows with an empty line between groups, under a header line or one that names the group."""
+def blocks(df: DataFrame, group: str, order: list[str], head: str | None = None, header: bool = False) -> DataFrame:
+    """(value): tab-separated rows in order, with an empty line between groups, under a line that names the group
+    (head) or one with the names of the columns (header). A line is a row, so a group of any size spreads over tasks."""
     cols = [c for c in df.columns if c != group or head is None]
     line = F.concat_ws("\t", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in cols))
-    one = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(*(F.col(f"`{c}`") for c in order), line.alias("line")))).alias("rows"))
-    body = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
-    top = F.concat(F.lit(head), F.col(group).cast("string"), F.lit("\n")) if head else F.lit("")
-    return one.orderBy(group).select(F.concat(top, body, F.lit("\n")).alias("value"))
+    keys = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(order)]
+    none = [F.lit(None).cast(df.schema[c].dataType).alias(f"_k{i}") for i, c in enumerate(order)]
+    g = F.col(f"`{group}`").alias("_g")
+    rows = df.select(g, F.lit(1).alias("_kind"), *keys, line.alias("value"))
+    groups = df.select(g).distinct()
+    parts = [rows]
+    first = groups.agg(F.min("_g").alias("_first"))  # one row
+    parts.append(groups.join(F.broadcast(first), F.col("_g") != F.col("_first")).select("_g", F.lit(-1).alias("_kind"), *none, F.lit("").alias("value")))
+    if head is not None:
+        parts.append(groups.select("_g", F.lit(0).alias("_kind"), *none, F.concat(F.lit(head), F.col("_g").cast("string")).alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    if header:
+        top = df.sparkSession.range(1).select(F.lit(None).cast(df.schema[group].dataType).alias("_g"), F.lit(-2).alias("_kind"), *none, F.lit("\t".join(cols)).alias("value"))
+        out = out.unionByName(top)
+    return out.orderBy(F.col("_g").asc_nulls_first(), "_kind", *(f"_k{i}" for i in range(len(order)))).select("value")
 
 
 def write_text(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.text(path)
+    """df's lines in the folder path; its files, in order of their names, hold them in df's order."""
+    df.write.text(path)

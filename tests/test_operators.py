@@ -199,3 +199,77 @@ def test_discovery_finds_a_new_allele(spark):
     split = df.withColumn("V_SHM", F.when(F.col("V_errors") == 1, 3.0).otherwise(0.0))
     names = {r.consensus: (r.database_diff, r.exact, r.Js_exact) for r in discovery.discover_v(split, records(spark, *v)).collect()}
     assert names[new] == (1, 30, 2) and names[known] == (0, 30, 2)
+
+
+def brute_components(n, linked):
+    root = list(range(n))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(n)]
+
+
+def test_edit_links_equal_brute_force(spark):
+    rng = random.Random(2)
+    texts = list(dict.fromkeys("".join(rng.choice("ACG") for _ in range(rng.randint(0, 11))) for _ in range(150)))
+    df = spark.createDataFrame([(i, "g", t) for i, t in enumerate(texts)], "row_id long, g string, cdr3 string")
+    for most in (0, 1, 2, 3, 6):
+        got = {(r.a, r.b) for r in clonotypes.edit_links(df, ["g"], "cdr3", "row_id", most).collect()}
+        assert got == {(j, i) for i in range(len(texts)) for j in range(i) if kernels.edits(texts[i], texts[j], 99) <= most}, most
+
+
+def test_star_rows_equal_the_kernel(spark):
+    rng = random.Random(8)
+
+    def edit(s):
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(s))
+            s = s[:i] + rng.choice(["", "A", "GT", s[i]]) + s[i + 1 :]
+        return s
+
+    base = ["".join(rng.choice("ACGT") for _ in range(30)) for _ in range(6)]
+    groups = {g: [edit(base[g]) if g else base[g] for _ in range(rng.randint(1, 9))] for g in range(6)}
+    rows = [(i, g, s) for i, (g, s) in enumerate((g, s) for g, x in groups.items() for s in x)]
+    got = consensus.star_rows(spark.createDataFrame(rows, "ord long, g long, s string").repartition(3), ["g"], "s", "ord").orderBy("ord").collect()
+    for g, x in groups.items():
+        assert [r.aligned for r in got if r.g == g] == kernels.star_alignment(x)
+
+
+def test_barcode_consensus_aligns_first(spark):
+    rng = random.Random(5)
+    core = "".join(rng.choice("ACGT") for _ in range(40))
+    lost = core[:12] + core[13:]
+    rows = [("TTT", core), ("TTT", lost), ("TTT", core), ("TTT", core), ("CCC", core), ("CCC", lost), ("GGG", lost), ("GGG", lost), ("GGG", lost)]
+    df = spark.createDataFrame([(i, f"r{i}", b + s) for i, (b, s) in enumerate(rows)], "ord long, name string, sequence string")
+    got = {r.header: (r.sequence, r["size"]) for r in copies.group_reads(df, 3).collect()}
+    assert got == {"r4;barcode=CCC;size=2;": (core, 2), "consensus1;barcode=GGG;size=3;": (lost, 3), "consensus2;barcode=TTT;size=4;": (core, 4)}
+
+
+def test_names_past_ninety_nine_and_prefixes(spark):
+    many = records(spark, *((f"x{i}", "ACGTACGT") for i in range(105)))
+    named = databases.rename(many, records(spark, ("V2*01", "ACGTACGT"))).collect()
+    assert {r.new_name for r in named} == {f"V2*{i:02d}" for i in range(1, 106)}
+    rng = random.Random(1)
+    rows = [(f"n{i}", "".join(rng.choice("AC") for _ in range(rng.randint(0, 6)))) for i in range(40)]
+    got = {tuple(r) for r in databases.prefix_pairs(records(spark, *rows)).collect()}
+    assert got == {(i, j) for i, (_, s) in enumerate(rows) for j, (_, t) in enumerate(rows) if i != j and t.startswith(s) and (len(s) < len(t) or i < j)}
+    assert [tuple(r) for r in databases.union(records(spark, *rows[:12])).collect()] == databases.merge_prefixes(rows[:12])
+
+
+def test_j_discovery_from_alignments(spark):
+    rows = [(i, "IGHJ1*01" if i % 2 else "IGHJ2*01", 0, f"AAA{'ACGT'[i % 4]}", "ACGTAC-GTTT" if i % 2 else "GGGGTTTTCCCC") for i in range(20)] + [(90, "IGHJ2*01", 0, "C", None)]
+    df = spark.createDataFrame(rows, "row_id long, j_call string, J_errors long, cdr3 string, j_sequence_alignment string")
+    got = {r.source: (r.name, r.exact, r.consensus) for r in discovery.discover_j(df, records(spark, ("IGHJ1*01", "ACGTACGTTT"), ("IGHJ2*01", "GGGGTTTTCCCA"))).collect()}
+    assert got["IGHJ1*01"] == ("IGHJ1*01", 10, "ACGTACGTTT") and got["IGHJ2*01"][1:] == (11, "GGGGTTTTCCCC") and got["IGHJ2*01"][0].startswith("IGHJ2*01_S")
+    empty = spark.createDataFrame([(i, "V1", None if i % 2 else "", 0.0) for i in range(8)], "row_id long, v_call string, V_nt string, V_SHM double")
+    assert discovery.siblings(empty, records(spark, ("V1", "ACGT"))).count() == 0
+
+
+def test_upstream_goes_by_the_utr(spark):
+    rows = [(i, "V1", 0.0, "A" * (i + 1), "C" * (40 - i)) for i in range(15)] + [(50, "V2", 0.0, "A", "C")]
+    df = spark.createDataFrame(rows, "row_id long, v_call string, V_SHM double, UTR string, leader string")
+    assert {r.row_id for r in upstream.long_enough(df, "UTR+leader").collect()} == {*range(5, 15), 50}
+    assert {r.row_id for r in upstream.long_enough(df, "UTR", 2).collect()} == set(range(5, 15))

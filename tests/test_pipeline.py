@@ -2,7 +2,7 @@ import random
 
 from cloneframe import cli
 from cloneframe.plans import pipeline
-from cloneframe.sources import config
+from cloneframe.sources import config, fastx
 
 
 def folder(tmp_path):
@@ -25,6 +25,9 @@ def test_run_and_go_on(spark, tmp_path):
     assert kept.count() == 60 and {r.v_call for r in kept.select("v_call").distinct().collect()} == {"IGHV0*01", "IGHV1*01"}
     assert {r.database_diff for r in spark.read.parquet(f"{root}/iteration-01/candidates").collect()} == {0}
     assert spark.read.parquet(f"{root}/final/clonotypes").count() > 0
+    new_j = spark.read.parquet(f"{root}/iteration-01/new_J").collect()
+    assert new_j and {r.name for r in new_j} <= {f"IGHJ{i}*01" for i in range(4)}
+    assert sorted(r.name for r in fastx.read(spark, f"{root}/iteration-01/new_J.fasta").filter("sequence <> ''").collect()) == sorted(r.name for r in new_j)
     before = spark.read.parquet(f"{root}/final/filtered").inputFiles()
     assert run.run().inputFiles() == before  # every stage is read, none made again
 

@@ -43,7 +43,11 @@ def test_tables(spark, tmp_path):
     tables.write_table(spark.createDataFrame(rows), f"{tmp_path}/out", True)
     assert tables.read_table(spark, f"{tmp_path}/out").count() == 2
     b = tables.blocks(spark.createDataFrame([(1, 2, "x"), (1, 1, "y"), (2, 3, "z")], "g long, k long, v string"), "g", ["k"], "# ")
-    assert [r.value for r in b.collect()] == ["# 1\n1\ty\n2\tx\n", "# 2\n3\tz\n"]
+    assert [r.value for r in b.collect()] == ["# 1", "1\ty", "2\tx", "", "# 2", "3\tz"]
+    b = tables.blocks(spark.createDataFrame([(1, 2, "x"), (2, 3, "z")], "g long, k long, v string"), "g", ["k"], header=True)
+    tables.write_text(b, f"{tmp_path}/text")
+    files = sorted(p for p in (tmp_path / "text").iterdir() if p.suffix == ".txt")
+    assert "".join(p.read_text() for p in files) == "g\tk\tv\n1\t2\tx\n\n2\t3\tz\n"
 
 
 def test_config(tmp_path):
@@ -64,3 +68,22 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").select("sequence", "size").collect()
     assert sorted(map(tuple, got)) == [("ACGT", 2), ("GG", 1)]
+
+
+def test_split_files_limits_and_late_files(spark, tmp_path):
+    text = "".join(f">r{i} x\n{'acgt' * (i % 5)}\n{'G' * (i % 7)}\n" for i in range(300)) + ">last\n"
+    (tmp_path / "one.fasta").write_text(text)
+    (tmp_path / "two.fa").write_text(">z\nAC\n")
+    want = [(f"r{i}", "ACGT" * (i % 5) + "G" * (i % 7)) for i in range(300)] + [("last", "")]
+    spark.dataSource.register(fastx.Fastx)
+    for size in (1, 7, 100, 5000, 1 << 20):
+        got = spark.read.format("fastx").option("split", size).load(f"{tmp_path}/one.fasta").orderBy("ord").collect()
+        assert [(r.name, r.sequence) for r in got] == want, size
+    assert [r.name for r in fastx.read(spark, str(tmp_path), 3).orderBy("ord").collect()] == ["r0", "r1", "r2"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/b.fasta").write_text(">b\nAC\n")
+    stream = fastx._Stream({"path": f"{tmp_path}/in"})
+    seen = stream.latestOffset()
+    assert [p.path.rsplit("/", 1)[1] for p in stream.partitions(stream.initialOffset(), seen)] == ["b.fasta"]
+    (tmp_path / "in/a.fasta").write_text(">a\nAC\n")
+    assert [p.path.rsplit("/", 1)[1] for p in stream.partitions(seen, stream.latestOffset())] == ["a.fasta"]
