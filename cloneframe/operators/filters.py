@@ -38,6 +38,11 @@ def filter_table(df: DataFrame, p: Preprocessing = Preprocessing()) -> DataFrame
     return df
 
 
+def write_stats(stats: DataFrame, path: str) -> None:
+    """The counts as one JSON object, keys in the order of the stages."""
+    stats.select(F.to_json(F.struct(*stats.columns))).coalesce(1).write.text(path)
+
+
 def filter_stats(df: DataFrame, p: Preprocessing = Preprocessing()) -> DataFrame:
     """One row: total, rows left after each step, and those left that have a CDR3; one pass, additive over parts."""
     passed, counts = F.lit(True), {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloneframe.functions import alignment, cdr3, names, sequence
@@ -123,8 +123,8 @@ query("clonotype_members", "assignments", ONE + "select clonotype_id, row_id fro
 DIVERGENCE = """, best as (select clonotype_id, count(*) as n, arg_min(cdr3, (V_SHM, row_id)) as ref, min(V_SHM) as shm from members group by 1)
 select row_id, clonotype_id, case when n > 1 and shm <= 5 then 100.0e0 * levenshtein(cdr3, ref) / length(ref) end as mindiffrate from members join best using (clonotype_id)"""
 query("clonotype_divergence", "assignments", ONE.rstrip() + DIVERGENCE)(lambda df: clonotypes.divergence(filters.filter_table(df)).select("row_id", "clonotype_id", F.nanvl("CDR3_nt_mindiffrate", F.lit(None)).alias("mindiffrate")))
-EDIT = CLONES.format(a=A, where="cdr3 <> '' and v_call <> ''", near="x.node <> y.node and levenshtein(x.cdr3, y.cdr3) <= 2")
-query("count_clonotypes", "assignments", EDIT + "select v_call, count(distinct clonotype_id) as clonotypes from members group by 1")(lambda df: clonotypes.count_by_edits(df.filter("v_call <> ''"), ["v_call"], 2))
+EDIT = CLONES.format(a=A, where="cdr3 <> '' and v_call <> ''", near="x.node <> y.node and levenshtein(x.cdr3, y.cdr3) <= 6")
+query("count_clonotypes", "assignments", EDIT + "select v_call, count(distinct clonotype_id) as clonotypes from members group by 1")(lambda df: clonotypes.count_by_edits(df.filter("v_call <> ''"), ["v_call"]))
 
 # clonoquery ----------------------------------------------------------------------------------------------------------
 
