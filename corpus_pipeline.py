@@ -18,6 +18,8 @@ from cloneframe.llm.quality import measure, train
 from cloneframe.llm.queries import PII_KEY
 from cloneframe.llm.substring_dedup import remove_repeats
 
+PII_SETTING = "spark.cloneframe.pii.key"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and the likelihood ratio."""
@@ -46,8 +48,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with pseudonyms; n_chars follows."""
-    return pseudonymise(docs, PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Texts with pseudonyms, by the key of the setting PII_SETTING (the tests' key, where it is unset); n_chars follows."""
+    return pseudonymise(docs, spark.conf.get(PII_SETTING, PII_KEY)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
