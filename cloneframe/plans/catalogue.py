@@ -323,7 +323,15 @@ p as (select r.idx as ref, x.idx as cand, coalesce(
   from s r join s x on r.idx <> x.idx where r.is_filtered = 0)
 """
 query("germline_pairs", "candidates", PAIR + "select * from p where reason is not null")(lambda df: germline.pair_reasons(_annotated(df), CRITERIA))
-query("germline_filtered", "candidates")(lambda df: germline.eliminate(_annotated(df), CRITERIA).select("idx", "is_filtered", "why_filtered"))
+FOLD = PAIR.replace("with e as", "with recursive e as", 1) + """,
+o as (select *, row_number() over (order by ref, cand) as n from p where reason is not null),
+walk as (select cast(0 as bigint) as n, cast([] as struct(cand bigint, reason varchar)[]) as fallen
+  union all select o.n, case when len(list_filter(fallen, lambda f: f.cand = o.ref)) > 0 then fallen else list_append(fallen, {'cand': o.cand, 'reason': o.reason}) end from walk join o on o.n = walk.n + 1),
+ended as (select fallen from walk order by n desc limit 1)
+select idx, cast(is_filtered + len(list_filter(fallen, lambda f: f.cand = idx)) as int) as is_filtered,
+  concat(why_filtered, array_to_string(list_transform(list_filter(fallen, lambda f: f.cand = idx), lambda f: concat(f.reason, ';')), '')) as why_filtered from e, ended
+"""
+query("germline_filtered", "candidates", FOLD)(lambda df: germline.eliminate(_annotated(df), CRITERIA).select("idx", "is_filtered", "why_filtered"))
 query("dedup_consensus", "candidates", f"select idx, name, consensus from {C} qualify row_number() over (partition by consensus order by cluster_size desc, name, idx) = 1")(lambda df: germline.best_per_consensus(df).select("idx", "name", "consensus"))
 query("unique_names", "candidates", f"select idx, concat(name, case when n > 1 then chr(cast(63 + n as int)) else '' end) as name from (select idx, name, row_number() over (partition by name order by idx) as n from (select idx, concat(name, 'r', cast(floor(idx / 500) as int)) as name from {C}))")(
     lambda df: discovery.unique_names(df.select("idx", F.concat("name", F.lit("r"), F.floor(F.col("idx") / 500).cast("int").cast("string")).alias("name")))
@@ -422,20 +430,28 @@ SUBST = "case when substr(s, 10, 1) = substr(t, 10, 1) then 0 else 1 end"
 query("affine_align", "strings", f"select row_id, cast(case row_id % 3 when 0 then length(s) - 4 * {SUBST} when 1 then length(s) - 3 - 8 else length(s) - 10 end as bigint) as score, cast(case row_id % 3 when 0 then {SUBST} when 1 then 3 else 5 end as bigint) as errors, case row_id % 3 when 0 then case when {SUBST} = 0 then '' else concat('10', substr(s, 10, 1), '>', substr(t, 10, 1)) end when 1 then 'del' else 'ins' end as change from {S}")(_kernel)
 
 
-def _discover(df: DataFrame, j: bool = False) -> DataFrame:
-    """Alleles of the assignments' genes, from pseudo reads of each gene's sequence."""
+def _pseudo_reads(df: DataFrame) -> DataFrame:
+    """Assignments with V_nt and J_nt made of their genes' names; two V reads in three have another base."""
     gene = F.expr("translate(md5(v_call), '0123456789abcdef', 'ACGTACGTACGTACGT')")
     read = F.when(F.col("row_id") % 3 == 0, gene).otherwise(F.concat(F.substring(gene, 1, 9), F.expr("substr('ACGT', cast(row_id % 4 + 1 as int), 1)"), F.substring(gene, 11, 22)))
-    rows = df.withColumns({"V_nt": read, "V_CDR3_start": F.lit(28).cast("long"), "locus": F.lit("IGH"), "J_nt": F.expr("translate(md5(j_call), '0123456789abcdef', 'ACGTACGTACGTACGT')")})
+    rows = df.withColumns({"V_nt": read, "V_CDR3_start": F.lit(28).cast("long"), "locus": F.lit("IGH"), "J_nt": F.expr("translate(md5(j_call), '0123456789abcdef', 'ACGTACGTACGTACGT')"), "gene": gene})
+    return rows
+
+
+def _discover(df: DataFrame, j: bool = False) -> DataFrame:
+    """Alleles of the assignments' genes."""
+    rows = _pseudo_reads(df)
     if j:
         db = df.filter("j_call <> ''").select(F.col("j_call").alias("name"), F.expr("translate(md5(j_call), '0123456789abcdef', 'ACGTACGTACGTACGT')").alias("sequence")).distinct()
         return discovery.discover_j(rows, db)
-    db = df.select(F.col("v_call").alias("name"), gene.alias("sequence")).distinct()
+    db = rows.select(F.col("v_call").alias("name"), F.col("gene").alias("sequence")).distinct()
     return discovery.discover_v(rows, db)
 
 
 query("discover_v", "assignments")(_discover)
-query("discover_j", "assignments")(lambda df: _discover(df, True))
+J_NT = "translate(md5({x}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+J_FOUND = f"(select j_call as name, j_call as source, count(*) as exact, count(distinct nullif(cdr3, '')) as \"CDR3s_exact\", {J_NT.format(x='j_call')} as consensus from {A} where j_call <> '' and J_errors = 0 group by 1 having count(*) >= 3)"
+query("discover_j", "assignments", JWALK.replace(f"c as (select * from {J})", f"c as (select * from {J_FOUND} qualify exact >= 0.2 * max(exact) over (partition by split_part(source, '*', 1)))").replace("select name, exact from c", "select * from c"))(lambda df: _discover(df, True))
 HAPLOTYPE_COLUMNS = "block int, gene_type string, haplotype1 string, haplotype2 string, type string, count1 long, count2 long"
 
 
