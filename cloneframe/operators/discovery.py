@@ -14,6 +14,7 @@ from cloneframe.functions import kernels, sequence
 from cloneframe.functions.names import gene_of
 from cloneframe.operators.clonotypes import count_by_edits
 from cloneframe.operators.small import bounded, small
+from cloneframe.plans.scratch import keep
 
 # Fixed values of the method.
 MIN_GROUP, MIN_EXPRESSED, MOST_SAMPLED = 5, 10, 1600
@@ -56,6 +57,23 @@ def siblings(df: DataFrame, database: DataFrame, threshold: float = 0.6, seed: i
     return found.join(db, "v_call", "left").select("v_call", "label", F.when((F.col("consensus") != "") & near, F.col("_db")).otherwise(F.col("consensus")).alias("consensus"))
 
 
+def cluster_siblings(df: DataFrame, subsample: int = 1000, threshold: float = 0.6, seed: int = 1, program: str = "builtin") -> DataFrame:
+    """(v_call, label, consensus, members): of each cluster cl1, cl2 .. of a sample of `subsample` rows of a gene, by the
+    V's part before the CDR3 (_cut); members: row_id of the cluster's rows."""
+    some = sampled(df.filter("coalesce(V_nt, '') <> ''"), ["v_call"], subsample, seed).select("v_call", "row_id", "V_nt", "_cut", "_rank")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_rank")
+        ids = kernels.cut_by_ratio(kernels.distances(pdf["_cut"].tolist()), MIN_GROUP, strict=False)
+        out = []
+        for n, c in enumerate(sorted(set(ids) - {0}), 1):
+            part = pdf[[i == c for i in ids]]
+            out.append((pdf["v_call"].iloc[0], f"cl{n}", kernels.iterative_consensus(part["V_nt"].tolist(), threshold, kernels.aligner(program), MOST_SAMPLED), part["row_id"].tolist()))
+        return pd.DataFrame(out, columns=["v_call", "label", "consensus", "members"])
+
+    return keep(some.groupBy("v_call").applyInPandas(fold, "v_call string, label string, consensus string, members array<long>"))
+
+
 def readded(df: DataFrame, found: DataFrame, database: DataFrame) -> DataFrame:
     """(v_call, label db, consensus) of database sequences with enough error-free rows that no sibling gives."""
     exact = df.groupBy("v_call").agg(F.count_if(F.col("V_errors") == 0).alias("n"), F.count(F.lit(1)).alias("all")).filter((F.col("n") >= MIN_EXPRESSED) & (F.col("all") >= MIN_GROUP))
@@ -81,8 +99,9 @@ def group_stats(rows: DataFrame, by: list[str], cdr3s_left: DataFrame, d_coverag
     return out.withColumn("shared_CDR3_ratio", sequence.safe_divide(F.coalesce("_s", F.lit(0)), F.col("unique_CDR3"))).withColumn("clonotypes", F.coalesce("clonotypes", F.lit(0).cast("long"))).drop("_s")
 
 
-def discover_v(df: DataFrame, database: DataFrame, ignore_j: bool = False, d_coverage: float = 70.0, threshold: float = 0.6, seed: int = 1, program: str = "builtin") -> DataFrame:
-    """Candidates, one row per sibling, with the statistics that the germline filter reads. df needs row_id."""
+def discover_v(df: DataFrame, database: DataFrame, ignore_j: bool = False, d_coverage: float = 70.0, threshold: float = 0.6, seed: int = 1, program: str = "builtin", subsample: int = 1000, strict: bool = True) -> DataFrame:
+    """Candidates, one row per sibling, with the statistics that the germline filter reads. df needs row_id.
+    strict: no siblings of clusters, as kernels.cut_by_ratio says."""
     if not ignore_j and "J_SHM" in df.columns:
         df = df.filter(F.coalesce("J_SHM", F.lit(0.0)) == 0)
     big = df.groupBy("v_call").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MIN_GROUP)
@@ -91,13 +110,23 @@ def discover_v(df: DataFrame, database: DataFrame, ignore_j: bool = False, d_cov
     cut = lambda c: F.when(F.col("_start").between(1, F.length(c)), F.left(c, F.col("_start").cast("int"))).otherwise(F.col(c))
     df = df.join(starts, "v_call", "left").na.fill(0, ["_start"]).withColumn("_cut", cut("V_nt"))
     found = siblings(df, database, threshold, seed, program)
+    clusters = None
+    if not strict:
+        clusters = cluster_siblings(df, subsample, threshold, seed, program)
+        same = F.startswith("_db", "consensus") | F.startswith("consensus", "_db")
+        db = small(database.select(F.col("name").alias("v_call"), F.col("sequence").alias("_db")), "gene database")
+        own = clusters.filter("consensus <> ''").join(db, "v_call", "left")
+        found = found.unionByName(own.select("v_call", "label", F.when(same, F.col("_db")).otherwise(F.col("consensus")).alias("consensus")))
     found = found.unionByName(readded(df, found, database)).filter("consensus <> ''")
     found = found.filter(F.length("consensus") - F.length(F.replace("consensus", F.lit("N"), F.lit(""))) <= MAX_N)
-    found = found.join(df.select("v_call", "_start").distinct(), "v_call").withColumn("_cut", cut("consensus"))
+    found = keep(found.join(df.select("v_call", "_start").distinct(), "v_call").withColumn("_cut", cut("consensus")))  # read by every join below
     by = ["v_call", "label"]
     in_windows = windows(df).withColumnRenamed("window", "label").join(found.select(*by), by, "left_semi")
     of_db = df.filter("V_errors = 0").withColumn("label", F.lit("db")).join(found.filter("label = 'db'").select(*by), by, "left_semi")
     sibling_rows = in_windows.unionByName(of_db.select(*in_windows.columns))
+    if clusters is not None:
+        of_cluster = df.join(clusters.select("v_call", "label", F.explode("members").alias("row_id")), ["v_call", "row_id"]).join(found.select(*by), by, "left_semi")
+        sibling_rows = sibling_rows.unionByName(of_cluster.select(*in_windows.columns))
     exact_rows = df.join(found.select(*by, "_cut"), ["v_call", "_cut"])
     full_exact = df.join(found.select(*by, F.col("consensus").alias("V_nt")), ["v_call", "V_nt"]).groupBy(*by).agg(F.count(F.lit(1)).alias("full_exact"))
     everywhere = df.filter("coalesce(cdr3, '') <> ''").groupBy("cdr3").agg(F.count(F.lit(1)).alias("_all"))
@@ -117,7 +146,7 @@ def discover_v(df: DataFrame, database: DataFrame, ignore_j: bool = False, d_cov
     out = out.withColumn("has_stop", sequence.has_stop(F.col("consensus")).cast("int")).withColumn("N_bases", F.lit(0))
     out = out.withColumn("name", F.when(F.col("database_diff") == 0, F.col("v_call")).otherwise(sequence.unique_name(F.col("v_call"), F.col("consensus"))))
     labels = F.create_map(*(F.lit(v) for i, (_, _, n) in enumerate([*WINDOWS, (0, 0, "db")]) for v in (n, i)))
-    out = out.withColumn("idx", F.row_number().over(Window.orderBy("v_call", labels[F.col("label")])).cast("long"))  # candidates of one locus
+    out = out.withColumn("idx", F.row_number().over(Window.orderBy("v_call", F.coalesce(labels[F.col("label")], F.regexp_extract("label", "([0-9]+)$", 1).cast("int") + 100))).cast("long"))  # candidates of one locus
     out = unique_names(out)
     return out.select("idx", "name", F.col("v_call").alias("source"), "chain", F.col("label").alias("cluster"), "cluster_size", "Js", "CDR3s", "exact", "full_exact", "barcodes_exact", "Ds_exact", "Js_exact", "CDR3s_exact", "clonotypes", "CDR3_exact_ratio", "CDR3_shared_ratio", "N_bases", "database_diff", "database_changes", "has_stop", F.col("_start").alias("CDR3_start"), "consensus")
 

@@ -85,7 +85,7 @@ class Run:
         self.stage(f"{at}/stats", lambda: filters.filter_stats(rows, c.preprocessing_filter))
         self.stage(f"{at}/exact", lambda: filters.zero(kept, "V_errors"))
         self.counts(at, kept)
-        found = self.stage(f"{at}/candidates", lambda: discovery.discover_v(kept, v, c.ignore_j, c.d_coverage, c.consensus_threshold / 100, c.seed, c.multialign_program))
+        found = self.stage(f"{at}/candidates", lambda: discovery.discover_v(kept, v, c.ignore_j, c.d_coverage, c.consensus_threshold / 100, c.seed, c.multialign_program, c.subsample))
         white = v if c.germline_filter.whitelist else None
         out = []
         for name, criteria in (("pregermline", c.pre_germline_filter), ("germline", c.germline_filter)):

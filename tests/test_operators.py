@@ -273,3 +273,15 @@ def test_upstream_goes_by_the_utr(spark):
     df = spark.createDataFrame(rows, "row_id long, v_call string, V_SHM double, UTR string, leader string")
     assert {r.row_id for r in upstream.long_enough(df, "UTR+leader").collect()} == {*range(5, 15), 50}
     assert {r.row_id for r in upstream.long_enough(df, "UTR", 2).collect()} == set(range(5, 15))
+
+
+def test_cluster_siblings(spark):
+    rng = random.Random(3)
+    nt = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    known, far = nt(60), nt(60)
+    rows = [(i, "V1", f"J{i % 3}", "", nt(9), (known if i % 2 else far)[:-1] + "ACGT"[i % 4], 50.0, 0.0, 3, 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, v_call string, j_call string, d_call string, cdr3 string, V_nt string, V_SHM double, J_SHM double, V_errors long, V_CDR3_start long")
+    found = {r.cluster: r for r in discovery.discover_v(df, records(spark, ("V1", known)), threshold=0.45, strict=False).collect()}
+    assert {r.consensus[:59] for k, r in found.items() if k.startswith("cl")} == {known[:59], far[:59]}
+    assert all(r.cluster_size == 20 for k, r in found.items() if k.startswith("cl"))
+    assert not any(r.cluster.startswith("cl") for r in discovery.discover_v(df, records(spark, ("V1", known)), threshold=0.45).collect())
