@@ -49,3 +49,32 @@ def test_every_id_once(spark):
         assert b"".join(r.ids for r in got) == ids
         assert all(r.ids_crc32 == zlib.crc32(r.ids) and r.length * 4 == len(r.ids) and r.doc_tokens * 4 == len(ids) for r in got)
     assert pack(docs.limit(0), FILE).count() == 0
+
+
+def test_placement_by_brute_force():
+    """Every choice against the sums of squares of all choices, written out."""
+    rng = random.Random(4)
+    for c in (8, 13):
+        p = Packer(c)
+        for d in range(1500):
+            size = rng.randint(1, c - 1)
+            levels = p.levels.tolist()
+
+            def after(h):
+                n = levels.copy()
+                if h:
+                    n[h] -= 1
+                if h + size < c:
+                    n[h + size] += 1
+                return sum(x * x for x in n[1:c])
+
+            fits = [0, *(h for h in range(1, c - size + 1) if levels[h])]
+            want = min(fits, key=lambda h: (after(h), -h))
+            assert p._level(size) == want, (levels, size)
+            p.add(d, bytes(4 * size))
+            now = levels.copy()
+            if want:
+                now[want] -= 1
+            if want + size < c:
+                now[want + size] += 1
+            assert p.levels.tolist()[:c] == now[:c]
