@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from cloneframe.functions import kernels
 from cloneframe.functions.names import strip_percent
+from cloneframe.operators.small import bounded
 
 # Karlin-Altschul parameters of match 1, mismatch -3.
 LAMBDA, K = 1.374, 0.711
@@ -83,7 +84,8 @@ class Index:
 
 
 def records(database: DataFrame) -> list[tuple[str, str]]:
-    """A gene database on the driver: a few hundred alleles."""
+    """A gene database on the driver, of checked size."""
+    bounded(database, "gene database")
     return [(r[0], r[1]) for r in database.select(strip_percent(database["name"]), "sequence").orderBy("name").collect()]
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cloneframe.functions.names import same_gene
 from cloneframe.functions.sequence import edit_distance, fixed
+from cloneframe.operators.small import bounded
 from cloneframe.sources.config import GermlineCriteria
 
 FAR = 10_000
@@ -78,7 +79,8 @@ def pair_reasons(annotated: DataFrame, c: GermlineCriteria, order: str = "idx")
 
 def eliminate(annotated: DataFrame, c: GermlineCriteria, order: str = "idx") -> DataFrame:
     """annotated with the pair reasons of references that stand when their turn comes, in the order of `order`."""
-    reasons = pair_reasons(annotated, c, order).orderBy("ref", "cand").select("ref", "cand", "reason").collect()  # alleles of a locus
+    bounded(annotated, "candidates of a locus")
+    reasons = pair_reasons(annotated, c, order).orderBy("ref", "cand").select("ref", "cand", "reason").collect()
     fallen: dict[int, list[str]] = {}
     for ref, cand, reason in reasons:
         if ref not in fallen:
