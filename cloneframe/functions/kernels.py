@@ -20,6 +20,9 @@ def align(ref: str, query: str) -> tuple[str, str, int, int]:
     n, m = len(ref), len(query)
     low = -(10**9)
     a, b = np.frombuffer(ref.encode(), np.uint8), np.frombuffer(query.encode(), np.uint8)
+    if n == m and (wrong := int((a != b).sum())) * (MATCH - MISMATCH) < MATCH - 2 * OPEN:
+        # with gaps, one at least in either row, a pair is lost; so few mismatches cost less
+        return ref, query, n * MATCH + wrong * (MISMATCH - MATCH), wrong
     best = np.full((3, n + 1, m + 1), low, np.int64)  # 0: pair, 1: gap in query, 2: gap in ref
     best[0, 0, 0] = 0
     steps_n, steps_m = np.arange(1, n + 1), np.arange(1, m + 1)
@@ -59,7 +62,11 @@ def align(ref: str, query: str) -> tuple[str, str, int, int]:
 
 def describe_change(ref: str, query: str) -> str:
     """Substitutions, insertions and deletions of query against ref, by one-based places of ref."""
-    x, y, _, _ = align(ref, query)
+    return describe_rows(*align(ref, query)[:2])
+
+
+def describe_rows(x: str, y: str) -> str:
+    """The same of the two rows of an alignment."""
     out, at, i = [], 0, 0
     while i < len(x):
         kind = "ins" if x[i] == "-" else "del" if y[i] == "-" else "sub" if x[i] != y[i] else ""
