@@ -3,7 +3,8 @@
 Of a tokenizers JSON file of word-end BPE: NFC, white space to blanks, lower case, a split pattern, bytes shown as
 characters, merges by rank. A short word holds its parts' ids and, beside them, the rank of each pair of neighbours;
 the least rank is looked up by a scan, its boundary is deleted, and the ranks at its sides are read anew. Long words
-use the same rule with a heap, so their time stays near linear. Texts are split at ASCII white space, which ends
+use the same rule with a heap, so their time stays near linear. The first ranks of a word come from a table of byte
+pairs, and pieces of ASCII letters, with or without a mark behind them, need neither pattern nor normal form. Texts are split at ASCII white space, which ends
 every word, and a bounded two-generation cache remembers the ids of the pieces: frequent ones move on, rare ones
 go. Decoding joins the ids' tokens by one blank, as the library does for a file without a decoder.
 
@@ -28,6 +29,10 @@ from pyspark.sql import DataFrame
 SHORT = 128
 NEVER = 1 << 60
 GENERATION = 250_000
+#: Parts of a split pattern by which a run of letters is one word, and a run of marks is one.
+LETTERS, MARKS = r"|[\p{L}]+|", r"|[^\s\p{L}\p{N}]+"
+LETTER = plain.compile(r"[A-Za-z]*.?").fullmatch
+MARK = b".,;:!?"
 
 
 def byte_characters() -> list[str]:
@@ -65,12 +70,33 @@ class Bpe:
         self.first = [vocab.get(c) for c in chars]
         self.last = [vocab.get(c + self.end) for c in chars]
         self.cut = plain.compile("(" + "|".join(map(plain.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
+        self.whole = None not in self.first and None not in self.last
+        # ranks of two neighbouring bytes, inside a word and at its end
+        self.inner, self.outer = ([[self.rank.get(a << 32 | b, NEVER) for b in after] for a in self.first] for after in (self.first, self.last)) if self.whole else ([], [])
+        # letters are one word, and marks another, where the pattern says so and no special token is of letters
+        self.letters = self.whole and LETTERS in pattern and pattern.endswith(MARKS) and not any(map(LETTER, self.special))
+        self.number = {i: b"%d" % i for i in self.tokens}
         self.word_ids: dict[str, list[int]] = {}
         self.pieces = _Pieces(self.piece)
 
-    def _short(self, ids: list[int]) -> list[int]:
+    def _of_bytes(self, data: bytes) -> list[int]:
+        if not self.whole:
+            ids = [x for x in [*(self.first[b] for b in data[:-1]), self.last[data[-1]]] if x is not None]
+            return self._short(ids) if len(ids) <= SHORT else self._long(ids)
+        first, inner = self.first, self.inner
+        ids = [first[b] for b in data]
+        ids[-1] = self.last[data[-1]]
+        if len(ids) > SHORT:
+            return self._long(ids)
+        ranks = [inner[a][b] for a, b in zip(data, data[1:])]  # noqa: B905
+        if ranks:
+            ranks[-1] = self.outer[data[-2]][data[-1]]
+        return self._short(ids, ranks)
+
+    def _short(self, ids: list[int], ranks: list[int] | None = None) -> list[int]:
         rank, made = self.rank, self.made
-        ranks = [rank.get(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        if ranks is None:
+            ranks = [rank.get(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:])]  # noqa: B905
         while ranks:
             least = min(ranks)
             if least == NEVER:
@@ -108,8 +134,7 @@ class Bpe:
         found = self.word_ids.get(word)
         if found is None:
             data = word.encode()
-            ids = [x for x in [*(self.first[b] for b in data[:-1]), self.last[data[-1]]] if x is not None]
-            found = self._short(ids) if len(ids) <= SHORT else self._long(ids)
+            found = self._of_bytes(data)
             if len(data) <= SHORT:
                 if len(self.word_ids) >= GENERATION:
                     self.word_ids.clear()
@@ -130,7 +155,12 @@ class Bpe:
         return out
 
     def piece(self, piece: bytes) -> bytes:
-        return b" ".join([b"%d" % i for i in self.ids(piece.decode())])
+        if self.letters:
+            if piece.isalpha():
+                return b" ".join([self.number[i] for i in self._of_bytes(piece.lower())])
+            if piece[:-1].isalpha() and piece[-1] in MARK:
+                return self.pieces[piece[:-1]] + b" " + self.pieces[piece[-1:]]
+        return b" ".join([self.number[i] for i in self.ids(piece.decode())])
 
     def encode(self, text: str | None) -> bytes:
         """Decimal ids joined by one blank."""
