@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cloneframe.functions.sequence import translate
+from cloneframe.functions.sequence import let, translate
 
 # Motifs of conserved residues around the CDR3, by locus.
 LOCI = ("IGH", "IGK", "IGL", "TRA", "TRB", "TRG", "TRD")
@@ -31,32 +31,38 @@ def _start_of(text: Column, pattern: str, group: int) -> Column:
 
 def start_in_v(s: Column, locus: str) -> Column:
     """Nucleotides before the CDR3 in a V gene; 0 if not found."""
-    aa = translate(s)
-    tail = F.right(aa, F.lit(TAIL_SHORT if locus in ("TRA", "TRB") else TAIL))
-    head = F.length(aa) - F.length(tail)
-    if locus == "IGH":
-        at = F.coalesce(*(_start_of(tail, p, 1) for p in V_START_HEAVY))
-    elif locus in V_START_END:
-        p = V_START_END[locus]
-        i = F.regexp_instr(tail, F.lit(p))
-        at = F.when(i > 0, i - 1 + F.length(F.regexp_extract(tail, p, 0)))
-    elif locus in ("TRA", "TRB"):
-        i = F.instr(tail, "C")
-        at = F.when(i > 0, i)
-    else:
+    if locus not in LOCI:
         return F.lit(0)
-    return F.coalesce(3 * (head + at), F.lit(0)).cast("int")
+
+    def place(tail: Column) -> Column:
+        if locus == "IGH":
+            return F.coalesce(*(_start_of(tail, p, 1) for p in V_START_HEAVY))
+        if locus in V_START_END:
+            p = V_START_END[locus]
+            i = F.regexp_instr(tail, F.lit(p))
+            return F.when(i > 0, i - 1 + F.length(F.regexp_extract(tail, p, 0)))
+        i = F.instr(tail, "C")
+        return F.when(i > 0, i)
+
+    def start(aa: Column) -> Column:
+        tail = F.right(aa, F.lit(TAIL_SHORT if locus in ("TRA", "TRB") else TAIL))
+        return 3 * (F.length(aa) - F.length(tail) + let(tail, place))
+
+    return F.coalesce(let(translate(s), start), F.lit(0)).cast("int")
 
 
 def end_in_j(s: Column, locus: str) -> Column:
     """Nucleotides before the CDR3's end in a J gene, in the first frame that has the motif; 0 if not found."""
     if locus not in J_END:
         return F.lit(0)
-    frames = []
-    for f in range(3):
-        at = F.regexp_instr(translate(F.substring(s, F.lit(f + 1), F.length(s))), F.lit(J_END[locus]))
-        frames.append(F.when((F.length(s) > f) & (at > 0), (at - 1) * 3 + f))
-    return F.coalesce(*frames, F.lit(0)).cast("int")
+    def in_frame(whole: Column, f: int) -> Column:
+        at = F.regexp_instr(translate(F.substring(whole, F.lit(f + 1), F.length(whole))), F.lit(J_END[locus]))
+        return let(at, lambda i: F.when((F.length(whole) > f) & (i > 0), (i - 1) * 3 + f))
+
+    def end(whole: Column) -> Column:
+        return F.coalesce(*(in_frame(whole, f) for f in range(3)))
+
+    return F.coalesce(let(s, end), F.lit(0)).cast("int")
 
 
 def find_in_read(s: Column, locus: str) -> Column:
@@ -65,17 +71,19 @@ def find_in_read(s: Column, locus: str) -> Column:
     none = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
     if locus not in READ:
         return none
-    return F.coalesce(F.array_min(F.array(*(_in_frame(s, locus, f) for f in range(3)))), none)
+    return F.coalesce(let(s, lambda whole: F.array_min(F.array(*(_in_frame(whole, locus, f) for f in range(3))))), none)
 
 
 def _in_frame(s: Column, locus: str, f: int) -> Column:
-    aa = translate(F.substring(s, F.lit(f + 1), F.length(s)))
-    found = []
-    for pattern in READ[locus]:
-        cdr3 = F.regexp_extract(aa, pattern, 1)
-        lead = pattern[: pattern.index("(", 1) if not pattern.startswith("[CDY](?!") else pattern.index("(.")]
-        at = F.regexp_instr(aa, F.lit(pattern)) - 1
-        before = F.length(F.regexp_extract(F.substring(aa, at + 1, F.length(aa)), f"^{lead}", 0))
-        start = 3 * (at + before) + f
-        found.append(F.when(at >= 0, F.struct(start.cast("int").alias("start"), (start + 3 * F.length(cdr3)).cast("int").alias("end"))))
-    return F.coalesce(*found)
+    def bounds(aa: Column) -> Column:
+        found = []
+        for pattern in READ[locus]:
+            cdr3 = F.regexp_extract(aa, pattern, 1)
+            lead = pattern[: pattern.index("(", 1) if not pattern.startswith("[CDY](?!") else pattern.index("(.")]
+            at = F.regexp_instr(aa, F.lit(pattern)) - 1
+            before = F.length(F.regexp_extract(F.substring(aa, at + 1, F.length(aa)), f"^{lead}", 0))
+            start = 3 * (at + before) + f
+            found.append(F.when(at >= 0, F.struct(start.cast("int").alias("start"), (start + 3 * F.length(cdr3)).cast("int").alias("end"))))
+        return F.coalesce(*found)
+
+    return let(translate(F.substring(s, F.lit(f + 1), F.length(s))), bounds)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column
@@ -30,21 +31,32 @@ def chars(s: Column) -> Column:
     return F.when(F.length(s) > 0, F.split(s, "")).otherwise(F.array().cast("array<string>"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row: a lambda's variable, where a name would be inlined at every use."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _upper(s: Column) -> Column:
     return F.replace(F.upper(s), F.lit("U"), F.lit("T"))
 
 
 def translate(s: Column) -> Column:
     """Amino acids of the codons from the first base on; the last one or two bases are left out."""
-    up = _upper(s)
-    codons = F.sequence(F.lit(1), F.floor(F.length(s) / 3).cast("int"))
-    # a codon's bases as a number to base 4 are its place in the code; only strings with other letters need the map
-    digits = F.translate(up, BASES, "0123")
-    plain = F.transform(codons, lambda i: F.substring(F.lit(CODE), F.conv(F.substring(digits, 3 * i - 2, F.lit(3)), 4, 10).cast("int") + 1, F.lit(1)))
-    code = {**{a + b + c: CODE[16 * i + 4 * j + k] for i, a in enumerate(BASES) for j, b in enumerate(BASES) for k, c in enumerate(BASES)}, **resolved_codons()}
-    known = F.create_map(*(F.lit(x) for pair in code.items() for x in pair))
-    wide = F.transform(codons, lambda i: F.coalesce(F.try_element_at(known, F.substring(up, 3 * i - 2, F.lit(3))), F.lit("X")))
-    return F.when(F.length(s) < 3, "").otherwise(F.array_join(F.when(up.rlike("[^ACGT]"), wide).otherwise(plain), ""))
+    code = {a + b + c: CODE[16 * i + 4 * j + k] for i, a in enumerate(BASES) for j, b in enumerate(BASES) for k, c in enumerate(BASES)}
+    listed = F.lit(" ".join(code))  # a codon of plain bases has its amino acid at its place in the list
+    known = F.create_map(*(F.lit(x) for pair in {**code, **resolved_codons()}.items() for x in pair))
+
+    def plain(codon: Column) -> Column:
+        return F.substring(F.lit(CODE), ((F.instr(listed, codon) + 3) / 4).cast("int"), F.lit(1))
+
+    def wide(codon: Column) -> Column:
+        return F.coalesce(F.try_element_at(known, codon), F.lit("X"))
+
+    def protein(up: Column) -> Column:
+        codons = F.transform(F.sequence(F.lit(1), F.length(up) - 2, F.lit(3)), lambda i: F.substring(up, i, F.lit(3)))
+        return F.when(F.length(up) < 3, "").otherwise(F.array_join(F.when(up.rlike("[^ACGT]"), F.transform(codons, wide)).otherwise(F.transform(codons, plain)), ""))
+
+    return let(_upper(s), protein)
 
 
 def reverse_complement(s: Column) -> Column:
