@@ -15,21 +15,21 @@ ORDER, RAGGED, ACTIVE = "-ACGTN", 10, 0.05
 FIRST_SAMPLE, LAST_SAMPLE = 200, 1600
 
 
-def align(ref: str, query: str) -> tuple[str, str, int, int]:
+def align(ref: str, query: str, mismatch: int = MISMATCH) -> tuple[str, str, int, int]:
     """(ref row, query row, score, errors) of the global alignment with affine gaps; the first gap base costs OPEN."""
     n, m = len(ref), len(query)
     low = -(10**9)
     a, b = np.frombuffer(ref.encode(), np.uint8), np.frombuffer(query.encode(), np.uint8)
-    if n == m and (wrong := int((a != b).sum())) * (MATCH - MISMATCH) < MATCH - 2 * OPEN:
+    if n == m and (wrong := int((a != b).sum())) * (MATCH - mismatch) < MATCH - 2 * OPEN:
         # with gaps, one at least in either row, a pair is lost; so few mismatches cost less
-        return ref, query, n * MATCH + wrong * (MISMATCH - MATCH), wrong
+        return ref, query, n * MATCH + wrong * (mismatch - MATCH), wrong
     best = np.full((3, n + 1, m + 1), low, np.int64)  # 0: pair, 1: gap in query, 2: gap in ref
     best[0, 0, 0] = 0
     steps_n, steps_m = np.arange(1, n + 1), np.arange(1, m + 1)
     best[1, 1:, 0] = OPEN + (steps_n - 1) * EXTEND
     best[2, 0, 1:] = OPEN + (steps_m - 1) * EXTEND
     for i in range(1, n + 1):
-        pair = np.where(b == a[i - 1], MATCH, MISMATCH)
+        pair = np.where(b == a[i - 1], MATCH, mismatch)
         best[0, i, 1:] = best[:, i - 1, :-1].max(0) + pair
         best[1, i, 1:] = np.maximum(best[[0, 2], i - 1, 1:].max(0) + OPEN, best[1, i - 1, 1:] + EXTEND)
         # a gap in ref opens at an earlier place of this row: a running maximum after taking out the extension
@@ -44,7 +44,7 @@ def align(ref: str, query: str) -> tuple[str, str, int, int]:
             i, j = i - 1, j - 1
             left.append(ref[i])
             right.append(query[j])
-            want = now - (MATCH if ref[i] == query[j] else MISMATCH)
+            want = now - (MATCH if ref[i] == query[j] else mismatch)
             k = next(x for x in range(3) if best[x, i, j] == want)
         elif k == 1:
             i -= 1

@@ -70,11 +70,15 @@ class Run:
         return reads.select("name", "sequence")
 
     def assignments(self, v: DataFrame, d: DataFrame, j: DataFrame) -> DataFrame:
-        """Of airr.tsv or airr.tsv.gz where the folder has one; else of the reads, by the built-in assignment."""
+        """Of airr.tsv or airr.tsv.gz where the folder has one; else of the reads, by the built-in assignment, or by the
+        program that the setting spark.cloneframe.assigner names."""
         for name in ("airr.tsv.gz", "airr.tsv"):
             if Path(self.root, name).exists():
                 return tables.read_assignments(self.spark, f"{self.root}/{name}")
-        return assign.assign(self.reads(), v, d, j)
+        c = self.config
+        if self.spark.conf.get("spark.cloneframe.assigner", "builtin") == "igblastn":
+            return assign.assign_by_program(self.reads(), v, d, j, c.mismatch_penalty, c.sequence_type, c.species)
+        return assign.assign(self.reads(), v, d, j, c.mismatch_penalty)
 
     def iteration(self, n: int, v: DataFrame, d: DataFrame, j: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(pre-filtered V, V, J) databases that iteration n ends with."""

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,45 @@ def test_assign_and_augment(spark):
         assert r.cdr3 == reads[i][1][249 : len(reads[i][1]) - 36 + 0]
 
 
+def test_assignment_names_penalty_and_empty_databases(spark):
+    rng, v, d, j = germline_set()
+    v = [(f"X{i}|{name}|Homo", s) for i, (name, s) in enumerate(v)]
+    dbs = [records(spark, *x) for x in (v, d, j)]
+    wrong = "ACGT"[("ACGT".index(v[1][1][120]) + 1) % 4]
+    read = records(spark, ("r", v[1][1][:120] + wrong + v[1][1][121:] + d[0][1] + j[0][1]))
+    row = assign.assign(read, *dbs).first()
+    assert (row.v_call, row.locus) == ("X1_IGHV1*01", "IGH") and row.v_identity < 100
+    assert assign.assign(read, *dbs, penalty=3).first() == row
+    assert "-" in assign.assign(read, *dbs, penalty=500).first().v_germline_alignment  # two gaps cost less than the mismatch
+    with pytest.raises(ValueError, match="D gene database is empty"):
+        assign.assign(read, dbs[0], dbs[1].limit(0), dbs[2])
+
+
+def test_assignment_by_a_program(tmp_path, monkeypatch):
+    """Small programs in place of the installed ones: the call form, the databases and the reading of the table."""
+    (tmp_path / "makeblastdb").write_text("#!/bin/sh\ncp $5 $7.made\n")
+    (tmp_path / "igblastn").write_text(
+        "#!/bin/sh\necho \"$@\" >> $(dirname $0)/calls\ncat $2.made >> $(dirname $0)/genes\n"
+        "printf 'sequence_id\\tsequence\\tlocus\\tv_call\\tv_identity\\tv_germline_start\\trev_comp\\n'\n"
+        "while read h; do read s; printf '%s\\t%s\\tIGH\\t%%X\\t98.5\\t3\\tF\\n' \"${h#>}\" $s; done\n"
+    )
+    for p in ("makeblastdb", "igblastn"):
+        (tmp_path / p).chmod(0o755)
+    genes = {p: [(f"{p}1*01", "acgtx")] for p in "VDJ"}
+    batches = [pd.DataFrame({"name": ["r 1", "r2"], "sequence": ["ACGT", "AC"]}), pd.DataFrame({"name": ["r3"], "sequence": ["A"]})]
+    with pytest.raises(FileNotFoundError, match="not installed"):
+        list(assign._by_program(iter(batches), genes, 0, "Ig", ""))
+    monkeypatch.setenv("PATH", f"{tmp_path}:/usr/bin:/bin")
+    rows = pd.concat(assign._by_program(iter(batches), genes, 2, "TCR", "human"))
+    assert list(rows.columns) == assign.NAMES and rows["sequence_id"].tolist() == ["r 1", "r2", "r3"]
+    assert set(rows["v_call"]) == {"%X"} and set(rows["v_identity"]) == {98.5} and set(rows["v_germline_start"]) == {3} and set(rows["j_germline_end"]) == {0} and set(rows["d_call"]) == {""}
+    calls = (tmp_path / "calls").read_text().splitlines()
+    assert len(calls) == 2 and all(x in calls[0] for x in ("-penalty 2", "-organism human", "-ig_seqtype TCR", "-outfmt 19", "-num_alignments_J 1"))
+    assert (tmp_path / "genes").read_text() == ">%V1*01\nACGTN\n" * 2
+    with pytest.raises(ValueError, match="sequence type"):
+        assign.assign_by_program(None, None, None, None, sequence_type="BCR")
+
+
 def test_discovery_finds_a_new_allele(spark):
     rng, v, *_ = germline_set()
     known, new = v[0][1], v[0][1][:100] + ("A" if v[0][1][100] != "A" else "C") + v[0][1][101:]
