@@ -104,9 +104,12 @@ catalogue.query("db_sanitized", "strings", f"select row_id, case when contains(b
 
 @files("paired_merge", "strings", f"select concat('r', row_id) as name, s as sequence from {S} where row_id % 9 <> 0")
 def paired_merge(df: DataFrame, path: str) -> DataFrame:
-    """Pairs that overlap by 24 bases; those of every ninth row do not overlap."""
+    """Pairs that overlap by 24 bases; those of every ninth row do not overlap, nor could they by chance: their second
+    read is of the one base that is rarest, two of ten at most, at the end of the first."""
     name = F.concat(F.lit("r"), F.col("row_id").cast("string"))
-    far = F.when(F.col("row_id") % 9 == 0, F.expr("repeat('AC', 22)")).otherwise(F.reverse(F.translate(F.expr("substr(s, 21)"), "ACGT", "TGCA")))
+    end = F.substring("s", 35, 10)
+    rarest = F.array_min(F.array(*(F.struct(F.length(F.regexp_replace(end, f"[^{x}]", "")).alias("n"), F.lit(x).alias("x")) for x in "ACGT")))["x"]
+    far = F.when(F.col("row_id") % 9 == 0, F.translate(F.repeat(rarest, F.lit(44)), "ACGT", "TGCA")).otherwise(F.reverse(F.translate(F.expr("substr(s, 21)"), "ACGT", "TGCA")))
     for end, text in ((1, F.left("s", F.lit(44))), (2, far)):
         df.select(F.concat(F.lit("@"), name, F.lit(f"/{end}\n"), text, F.lit("\n+\n"), F.expr("repeat('I', 44)"))).write.text(f"{path}/{end}")
     return merging.merge_pairs(*(fastx.read(df.sparkSession, f"{path}/{end}") for end in (1, 2)))

@@ -2,6 +2,8 @@ import gzip
 
 import pytest
 
+from cloneframe.operators import merging
+from cloneframe.plans import files
 from cloneframe.sources import config, fastx, tables
 from cloneframe.streaming import counts
 
@@ -90,3 +92,11 @@ def test_split_files_limits_and_late_files(spark, tmp_path):
     assert [p.path.rsplit("/", 1)[1] for p in stream.partitions(stream.initialOffset(), seen)] == ["b.fasta"]
     (tmp_path / "in/a.fasta").write_text(">a\nAC\n")
     assert [p.path.rsplit("/", 1)[1] for p in stream.partitions(seen, stream.latestOffset())] == ["a.fasta"]
+
+
+def test_paired_merge_by_chance(spark, tmp_path):
+    """First reads that end like a mate of AC alone: the operator joins such a mate, the query's rows have none."""
+    ends = ["GTGTGTGTGT", "GTGTGTGGGT", "ACGTACGTAC", "AAAAAAAAAA", "CCCCCGGGGG"]
+    df = spark.createDataFrame([(9 * i, "ACGTT" * 6 + "ACGT" + e + "CATTGATTACCATGACCATG") for i, e in enumerate(ends)] + [(1, "ACGTT" * 6 + "GGATACCATGCATTGATTACCATGACCATGACGA")], "row_id long, s string")
+    assert merging.overlap("ACGTT" * 6 + "ACGT" + ends[1], "GT" * 22) is not None
+    assert [r.name for r in files.paired_merge(df, str(tmp_path)).collect()] == ["r1"]
