@@ -241,8 +241,7 @@ def airr(source: str, kind: str) -> str:
 
 def _augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The augmentation of whole rows, from gapped alignments with one inserted base in every third row's J."""
-    view(spark, sf_dir, "strings").createOrReplaceTempView("_strings")
-    df = spark.sql(f"select * from {airr('_strings', 'string')}")
+    df = spark.sql(f"select * from {airr('{strings}', 'string')}", strings=view(spark, sf_dir, "strings"))
     dbs = [spark.range(GENES[p][0]).withColumnRenamed("id", "k").select(F.expr(f"concat('{'X' if p == 'V' else ''}',{'cast(k as string),' if p == 'V' else ''}'{'|' if p == 'V' else ''}IGH{p}',cast(k as string),'*01{'|z' if p == 'V' else ''}')").alias("name"), F.expr(gene(p, "k").replace("{S}", "string")).alias("sequence")) for p in "VDJ"]
     rows = df.withColumns({
         "sequence": F.expr("concat('GGG', v_part, middle, j_gene)"),

@@ -100,3 +100,12 @@ def test_paired_merge_by_chance(spark, tmp_path):
     df = spark.createDataFrame([(9 * i, "ACGTT" * 6 + "ACGT" + e + "CATTGATTACCATGACCATG") for i, e in enumerate(ends)] + [(1, "ACGTT" * 6 + "GGATACCATGCATTGATTACCATGACCATGACGA")], "row_id long, s string")
     assert merging.overlap("ACGTT" * 6 + "ACGT" + ends[1], "GT" * 22) is not None
     assert [r.name for r in files.paired_merge(df, str(tmp_path)).collect()] == ["r1"]
+
+
+def test_augment_leaves_views_alone(spark):
+    """The query neither replaces nor leaves a temporary view, which another thread's query could read."""
+    spark.range(1).createOrReplaceTempView("_strings")
+    before = sorted(t.name for t in spark.catalog.listTables())
+    assert files._augmented(spark, "/root/testdata/sf0.001").count() > 1
+    assert spark.table("_strings").columns == ["id"] and sorted(t.name for t in spark.catalog.listTables()) == before
+    spark.catalog.dropTempView("_strings")
