@@ -13,7 +13,8 @@ import pandas as pd
 from cloneframe.functions import kernels, sequence
 from cloneframe.functions.names import gene_of
 from cloneframe.operators.clonotypes import count_by_edits
-from cloneframe.operators.small import bounded, small
+from cloneframe.operators.elimination import SALTS, fallen
+from cloneframe.operators.small import small
 from cloneframe.plans.scratch import keep
 
 # Fixed values of the method.
@@ -188,22 +189,33 @@ def j_allele_ratio(found: DataFrame, least: float = 0.2) -> DataFrame:
     return found.withColumn("_b", best).filter((F.col("_b") == 0) | (F.col("exact") / F.col("_b") >= least)).drop("_b")
 
 
+def _near_ends(rows: DataFrame) -> DataFrame:
+    """(_end, _other) of distinct last bases of one length that differ in one place at most: they agree with one place
+    left out."""
+    ends = rows.select("_end").filter("_end is not null").distinct()
+    n = F.length("_end")
+    without = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(i.alias("at"), F.concat(F.left("_end", i - 1), F.lit("."), F.substring(F.col("_end"), i + 1, n)).alias("left")))
+    made = ends.select("_end", n.alias("_n"), F.explode(without).alias("w")).select("_end", "_n", "w.at", "w.left")
+    return made.join(made.withColumnRenamed("_end", "_other"), ["_n", "at", "left"]).select("_end", "_other").distinct()
+
+
 def j_cross_pairs(found: DataFrame, ratio: float = 0.1) -> DataFrame:
-    """(ref, cand) names of alleles whose last bases differ in one place at most, cand's share being below ratio."""
-    end = lambda s: F.right(s, F.lit(J_SUFFIX))
-    r, x = found.alias("r"), found.alias("x")
-    a, b = end(F.col("r.consensus")), end(F.col("x.consensus"))
-    near = F.when(F.length(a) == F.length(b), sequence.hamming(a, b) <= 1).otherwise(False)
+    """(ref, cand) names of alleles whose last bases differ in one place at most, cand's share being below ratio. They
+    meet by equal keys, the refs of one key dealt over SALTS tasks."""
+    rows = found.select("name", "exact", F.right("consensus", F.lit(J_SUFFIX)).alias("_end"))
+    r = rows.withColumn("_salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int")).alias("r")
+    x = rows.withColumnRenamed("_end", "_other").join(_near_ends(rows), "_other").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("x")
     first = F.struct(-F.col("r.exact"), F.col("r.name")) < F.struct(-F.col("x.exact"), F.col("x.name"))
     share = F.try_divide(F.col("x.exact").cast("double"), (F.col("r.exact") + F.col("x.exact")).cast("double"))
-    return r.join(x, first & near & (share < ratio)).select(F.col("r.name").alias("ref"), F.col("x.name").alias("cand"), F.col("r.exact").alias("ref_exact"))
+    same = (F.col("r._end") == F.col("x._end")) & (F.col("r._salt") == F.col("x._salt"))
+    return x.join(r, same & first & (share < ratio)).select(F.col("r.name").alias("ref"), F.col("x.name").alias("cand"), F.col("r.exact").alias("ref_exact"))
 
 
 def j_cross_mapping(found: DataFrame, ratio: float = 0.1) -> DataFrame:
-    """found without alleles that a more frequent, standing one explains; pairs are walked from the most frequent on."""
-    bounded(found, "J candidates", 5000)
-    gone: set[str] = set()
-    for r in j_cross_pairs(found, ratio).orderBy(F.desc("ref_exact"), "ref", "cand").collect():  # of checked size
-        if r.ref not in gone:
-            gone.add(r.cand)
-    return found.filter(~F.col("name").isin(list(gone))) if gone else found
+    """found without alleles that a more frequent, standing one explains; pairs are walked from the most frequent on.
+    Names are unique."""
+    found = keep(found)
+    place = found.select("name", F.struct((-F.col("exact")).alias("k"), "name").alias("_p"))
+    a, b = (place.select(F.col("name").alias(n), F.col("_p").alias(p)) for n, p in (("ref", "a"), ("cand", "b")))
+    links = j_cross_pairs(found, ratio).join(a, "ref").join(b, "cand").select("a", "b")
+    return found.join(fallen(links).select(F.col("node.name").alias("name")), "name", "left_anti").select(*found.columns)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloneframe.functions import kernels
-from cloneframe.operators import assign, augment, clonoquery, clonotypes, clusterplots, consensus, copies, databases, discovery, filters, germline, haplotypes, merging, upstream, usage
+from cloneframe.operators import assign, augment, clonoquery, clonotypes, clusterplots, consensus, copies, databases, discovery, elimination, filters, germline, haplotypes, merging, upstream, usage
 from cloneframe.sources.config import GermlineCriteria, Preprocessing
 
 
@@ -325,3 +325,16 @@ def test_cluster_siblings(spark):
     assert {r.consensus[:59] for k, r in found.items() if k.startswith("cl")} == {known[:59], far[:59]}
     assert all(r.cluster_size == 20 for k, r in found.items() if k.startswith("cl"))
     assert not any(r.cluster.startswith("cl") for r in discovery.discover_v(df, records(spark, ("V1", known)), threshold=0.45).collect())
+
+
+def test_many_j_candidates(spark):
+    """More candidates than were walked on the driver before; a chain of names of which every second one stands."""
+    rows = [(f"J{i:05}", 10**9 // 11**i if i < 9 else 10**9, "ACGT" if i < 9 else "GG" + "ACGT"[i % 4] * 2) for i in range(5200)]
+    df = spark.createDataFrame(rows, "name string, exact long, consensus string")
+    got = {r.name for r in discovery.j_cross_mapping(df).collect()}
+    assert got == {r[0] for r in rows[9:]} | {"J00000"}
+    plan = discovery.j_cross_pairs(df)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    links = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(0, 5)], "a long, b long")
+    for walked in (0, 3, 100):
+        assert {r.node for r in elimination.fallen(links, walked).collect()} == {1, 3, 5, 7, 9}
