@@ -327,7 +327,7 @@ def test_cluster_siblings(spark):
     assert not any(r.cluster.startswith("cl") for r in discovery.discover_v(df, records(spark, ("V1", known)), threshold=0.45).collect())
 
 
-def test_many_j_candidates(spark):
+def test_many_candidates(spark):
     """More candidates than were walked on the driver before; a chain of names of which every second one stands."""
     rows = [(f"J{i:05}", 10**9 // 11**i if i < 9 else 10**9, "ACGT" if i < 9 else "GG" + "ACGT"[i % 4] * 2) for i in range(5200)]
     df = spark.createDataFrame(rows, "name string, exact long, consensus string")
@@ -338,3 +338,10 @@ def test_many_j_candidates(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(0, 5)], "a long, b long")
     for walked in (0, 3, 100):
         assert {r.node for r in elimination.fallen(links, walked).collect()} == {1, 3, 5, 7, 9}
+
+
+def test_many_germline_candidates(spark):
+    """More candidates than were collected before; of two with one sequence, the smaller falls."""
+    made = spark.range(50_100).selectExpr("id as idx", "concat('G', id, '*01') as name", "md5(cast(greatest(id, 1) as string)) as consensus", "'all' as cluster", "500 - id % 2 as cluster_size", "9 as exact", "9 as Ds_exact", "9 as clonotypes", "1 as database_diff", "30 as CDR3_start", "-1 as whitelist_diff", "0 as is_filtered", "'' as why_filtered")
+    got = germline.eliminate(made, GermlineCriteria())
+    assert got.count() == 50_100 and [(r.idx, r.is_filtered, r.why_filtered) for r in got.filter("is_filtered > 0").collect()] == [(1, 1, "identical_to=G0*01;")]
