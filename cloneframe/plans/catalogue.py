@@ -418,7 +418,7 @@ def _kernel(df: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            made = [kernels.align(a, b) for a, b in zip(pdf["s"], pdf["e"], strict=True)]
+            made = kernels.align_many(pdf["s"].tolist(), pdf["e"].tolist())
             yield pd.DataFrame({"row_id": pdf["row_id"], "score": [m[2] for m in made], "errors": [m[3] for m in made], "change": [kernels.describe_rows(m[0], m[1]) for m in made]})
 
     made = df.select("row_id", "s", F.expr(EDITED).alias("e")).mapInPandas(run, "row_id long, score long, errors long, change string")

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -131,3 +133,15 @@ def test_changes_and_consensus():
     assert kernels.upgma(two)[-1][2] == 9
     with pytest.raises(ValueError):
         kernels.aligner("none")
+
+
+def test_align_many():
+    """The rows of the alignment of each pair by itself, in few steps: blocks of any size, equal, empty and odd texts."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    refs = [text(rng.randrange(0, 40)) for _ in range(300)] + ["", "A", "ACGé", "acgt", "AAAA"]
+    queries = [text(rng.randrange(0, 40)) if i % 3 else r[: len(r) // 2] + text(rng.randrange(4)) + r[len(r) // 2 + rng.randrange(4) :] for i, r in enumerate(refs[:300])] + ["", "", "ACG", "acgt", "AATAA"]
+    want = [kernels.align(a, b) for a, b in zip(refs, queries, strict=True)]
+    for most in (1, 20_000, 2_000_000):
+        assert kernels.align_many(refs, queries, most=most) == want
+    assert kernels.align_many([], []) == []
