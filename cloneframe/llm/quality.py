@@ -1,11 +1,12 @@
 """Quality rules: plain counts, and a hashed n-gram log-likelihood ratio against trusted text.
 
 Words and pairs of words (A-Z lower-cased) are hashed into `buckets` cells. Two multinomials are counted: the raw
-corpus (every document) and the trusted target (documents of a bounded sample of rows labelled 1). A document's score
-is the mean over its n-grams of log(target share / raw share), so length does not count. One half of the labelled
-sample, by a hash of the id, trains the target; the other half, both labels, fits the threshold: the cut with the
-least weighted error, a lost good document counting `good_weight` times. Every document is then compared with that
-one threshold. The counts are additive, so partitions count apart and the cells, a fixed number, are summed.
+corpus (every document) and the trusted target (documents labelled 1). A document's score is the mean over its n-grams
+of log(target share / raw share), so length does not count. One half of the labelled ids, by a hash of the id, trains
+the target; the other half, both labels, fits the threshold: the cut with the least weighted error, a lost good
+document counting `good_weight` times. Every document is then compared with that one threshold. The counts are
+additive, so partitions count apart and the cells, a fixed number, are summed. Labels of any number are joined; the
+cuts are judged where the scores lie, in ranges, and one cut of each range goes to the driver.
 
 Cases: null or empty text has no words, so base_failed is true; ties with the threshold are kept; repeated rows get
 equal results; labels that are null, unknown or in conflict are ignored (a document labelled both is not trusted);
@@ -19,17 +20,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloneframe.llm.common import map_arrow
+from cloneframe.llm.common import keep, map_arrow
 from cloneframe.llm.words import SPACE, Prefix, Words, batches, mix
+from cloneframe.plans.scratch import release
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+MOST_BROADCAST = 1_000_000  # labels; more are joined by a shuffle
 MADE = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "llr": "double"}
 
 
@@ -54,36 +57,55 @@ def _score(words: Words, ratio: np.ndarray) -> np.ndarray:
     return np.bincount(row, weights=ratio[cell], minlength=n) / np.maximum(np.bincount(row, minlength=n), 1)
 
 
-def _labelled(labels: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted ids, label, half) of at most `bound` labelled ids, those with the smallest hashes."""
-    one = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"))
-    rows = one.filter("lo = hi").select(F.col("doc_id").cast("long"), "lo").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()
-    rows.sort()
-    ids = np.array([r[0] for r in rows], np.int64)
-    return ids, np.array([r[1] for r in rows], np.int64), (mix(ids.view(np.uint64) + np.uint64(7)) & np.uint64(1)).astype(np.int64)
-
-
-def _lookup(ids: np.ndarray, keys: pa.Array) -> np.ndarray:
-    """Place in ids of each key, or -1."""
-    k = keys.cast(pa.int64())
-    null = np.asarray(k.is_null())
-    v = k.fill_null(0).to_numpy(zero_copy_only=False)
-    if not len(ids):
-        return np.full(len(v), -1)
-    at = np.minimum(np.searchsorted(ids, v), len(ids) - 1)
-    return np.where((ids[at] == v) & ~null, at, -1)
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 15, label_bound: int = 20_000, smooth: float = 1.0, good_weight: float = 4.0) -> Model:
-    """Counts over all docs; label_bound is the most labelled rows taken."""
+def _half(ids: np.ndarray) -> np.ndarray:
+    """0 or 1 by a hash of the id."""
+    return (mix(ids.view(np.uint64) + np.uint64(7)) & np.uint64(1)).astype(np.int64)
+
+
+def _labelled(labels: DataFrame) -> DataFrame:
+    """(_id, _label) of every id with one known label."""
+    one = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"))
+    return one.filter("lo = hi").select("_id", F.col("lo").cast("long").alias("_label"))
+
+
+def _threshold(scores: DataFrame, good_weight: float) -> float:
+    """The cut of the least error of (score, label) rows: the middle between the scores beside it, -inf before the
+    first. Of equal errors, the lowest cut."""
+    at = scores.groupBy("score").agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad"))
+    at = keep(at.repartitionByRange("score").sortWithinPartitions("score").withColumn("_part", F.shiftright(F.monotonically_increasing_id(), 33)))
+    parts = sorted(at.groupBy("_part").agg(F.sum("good"), F.sum("bad"), F.max("score")).collect())  # a row per partition
+    all_good, all_bad = sum(p[1] for p in parts), sum(p[2] for p in parts)
+    if not all_good or not all_bad:
+        return -np.inf
+    rows, good, bad, last = [], 0, 0, None
+    for part, g, b, top in parts:
+        rows.append((part, good, bad, last))
+        good, bad, last = good + g, bad + b, top
+    starts = at.sparkSession.createDataFrame(rows, "_part long, _good long, _bad long, _last double")
+    # the cut before a score: what lies below it goes
+    w = Window.partitionBy("_part").orderBy("score")
+    below = w.rowsBetween(Window.unboundedPreceding, -1)
+    cuts = at.join(F.broadcast(starts), "_part").select("score", F.coalesce(F.lag("score").over(w), "_last").alias("low"), (F.col("_good") + F.coalesce(F.sum("good").over(below), F.lit(0))).alias("lost"), (F.col("_bad") + F.coalesce(F.sum("bad").over(below), F.lit(0))).alias("gone"))
+    error = good_weight * (F.col("lost") / all_good) + (1 - F.col("gone") / all_bad)
+    best = cuts.select(error.alias("error"), "score", "low").agg(F.min(F.struct("error", "score", "low")).alias("m")).first().m
+    if good_weight < best.error:  # all go
+        return float(last)
+    return -np.inf if best.low is None else (best.low + best.score) / 2
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 15, smooth: float = 1.0, good_weight: float = 4.0) -> Model:
+    """Counts over all docs, target and threshold of all labelled ones."""
     cells = 1 << bits
-    ids, label, half = _labelled(labels, label_bound)
+    known = keep(_labelled(labels))
+    if known.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        known = F.broadcast(known)
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
         for b in it:
-            at = _lookup(ids, b.column(0))
-            trusted = (at >= 0) & (label[at] == 1) & (half[at] == 0) if len(ids) else np.zeros(len(at), bool)
+            trusted = np.asarray(b.column(2).fill_null(0)) == 1
+            trusted &= _half(np.asarray(b.column(0).fill_null(0))) == 0
             for r, _, words in batches(b.column(1), lower=True):
                 cell, row = ngrams(words, bits)
                 raw += np.bincount(cell, minlength=cells)
@@ -91,35 +113,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         full = np.flatnonzero(raw)
         yield pa.record_batch([pa.array(full), pa.array(raw[full]), pa.array(target[full])], names=["cell", "raw", "target"])
 
-    source = docs.select(id_col, text_col)
-    sums = source.mapInArrow(count, "cell long, raw long, target long").groupBy("cell").agg(F.sum("raw"), F.sum("target"))
+    sums = source.join(known, "_id", "left").select("_id", "_text", "_label").mapInArrow(count, "cell long, raw long, target long").groupBy("cell").agg(F.sum("raw"), F.sum("target"))
     raw, target = np.zeros(cells), np.zeros(cells)
     for c, x, y in sums.collect():  # at most `cells` rows
         raw[c], target[c] = x, y
+    del sums
+    release(docs.sparkSession)  # where texts were shuffled to the labels, before they are again
     ratio = np.log((target + smooth) / (target.sum() + smooth * cells)) - np.log((raw + smooth) / (raw.sum() + smooth * cells))
     if not target.sum():
         return Model(np.zeros(cells), -np.inf)
 
-    test = ids[half == 1]
-
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            mine = b.filter(pa.array(_lookup(test, b.column(0)) >= 0))
+            mine = b.filter(pa.array(_half(np.asarray(b.column(0))) == 1))
             for r, e, words in batches(mine.column(1), lower=True):
-                yield pa.record_batch([mine.column(0).slice(r, e - r).cast(pa.int64()), pa.array(_score(words, ratio))], names=["id", "score"])
-
-    got = source.mapInArrow(score, "id long, score double").groupBy("id").agg(F.min("score")).collect()  # at most label_bound rows
-    truth = dict(zip(ids.tolist(), label.tolist(), strict=True))
-    s, y = np.array([r[1] for r in got]), np.array([truth[r[0]] for r in got])
-    if not (y == 1).any() or not (y == 0).any():
-        return Model(ratio, -np.inf)
-    order = np.argsort(s, kind="stable")
-    s, y = s[order], y[order]
-    # cut i: those before i go. The least error; of equal ones, the middle cut of the first run
-    lost, stay = np.concatenate([[0], np.cumsum(y == 1)]) / (y == 1).sum(), 1 - np.concatenate([[0], np.cumsum(y == 0)]) / (y == 0).sum()
-    error = good_weight * lost + stay
-    i = int(np.argmin(error))
-    return Model(ratio, -np.inf if i == 0 else float((s[i - 1] + s[min(i, len(s) - 1)]) / 2))
+                yield pa.record_batch([mine.column(0).slice(r, e - r), mine.column(2).slice(r, e - r), pa.array(_score(words, ratio))], names=["id", "label", "score"])
+
+    got = source.join(known, "_id").select("_id", "_text", "_label").mapInArrow(score, "id long, label long, score double")
+    return Model(ratio, _threshold(got.groupBy("id").agg(F.min("score").alias("score"), F.min("label").alias("label")), good_weight))
 
 
 def _dup_lines(text: bytes) -> int:

@@ -93,3 +93,15 @@ def test_verdict_by_brute_force(spark):
     assert len(set(kept.values())) == 2
     for d in score:
         assert abs(got[d].llr - score[d]) < 1e-9 and got[d].kept == kept[d], d
+
+
+def test_every_label_counts(spark, monkeypatch):
+    """Labels of 60,000 other ids take no place from those of the documents."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(d, " ".join(f"{'good' if rng.random() < 0.3 + 0.4 * (d % 2) else 'junk'}{rng.randrange(40)}" for _ in range(40)), "x") for d in range(120)], SCHEMA)
+    labels = spark.createDataFrame([(d, d % 2) for d in range(120)], "doc_id long, quality int")
+    other = spark.range(1_000, 61_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    one, many = train(docs, labels, bits=8), train(docs, labels.unionByName(other), bits=8)
+    assert np.isfinite(one.threshold) and one.threshold == many.threshold and (one.ratio == many.ratio).all()
+    monkeypatch.setattr("cloneframe.llm.quality.MOST_BROADCAST", 10)
+    assert train(docs, labels, bits=8).threshold == one.threshold
