@@ -147,8 +147,7 @@ FOUND = catalogue.PAIRS.format(near=catalogue.APART + " <= 1")
 
 @files("clonoquery_file", "assignments", f"with m as ({FOUND}) select concat('# Query: ', query_id) as line from (select distinct query_id from m) union all select cast(row_id as varchar) from m union all select '' from (select distinct query_id from m) where query_id > (select min(query_id) from m)")
 def clonoquery_file(df: DataFrame, path: str) -> DataFrame:
-    found = clonoquery.matches(df.filter("row_id % 20 = 0"), df, 1).select("query_id", "row_id")
-    tables.write_text(tables.blocks(found, "query_id", ["row_id"], "# Query: "), path)
+    clonoquery.write(df.filter("row_id % 20 = 0"), df, path, ["row_id"], 1)
     return _lines(df.sparkSession, path)
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Hadoop's own codec of this name needs a native library; this one comes with Spark, which also reads its files.
+ZSTD = "org.apache.parquet.hadoop.codec.ZstandardCodec"
+
 # Columns of rearrangement tables, by type; others are read as strings.
 DOUBLES = ("v_identity", "d_identity", "j_identity", "v_support", "d_support", "j_support", "V_SHM", "J_SHM", "V_covered", "D_covered", "J_covered", "FR1_SHM", "CDR1_SHM", "FR2_SHM", "CDR2_SHM", "FR3_SHM", "V_aa_mut", "J_aa_mut")
 LONGS = ("count", "V_errors", "D_errors", "J_errors", "V_CDR3_start", "cdr3_start", "cdr3_end", *(f"{g}_{part}_{side}" for g in "vdj" for part in ("germline", "sequence") for side in ("start", "end")))
@@ -59,6 +62,6 @@ def blocks(df: DataFrame, group: str, order: list[str], head: str | None = None,
     return out.orderBy(F.col("_g").asc_nulls_first(), "_kind", *(f"_k{i}" for i in range(len(order)))).select("value")
 
 
-def write_text(df: DataFrame, path: str) -> None:
+def write_text(df: DataFrame, path: str, compression: str = "none") -> None:
     """df's lines in the folder path; its files, in order of their names, hold them in df's order."""
-    df.write.text(path)
+    df.write.option("compression", compression).text(path)

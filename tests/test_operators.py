@@ -1,4 +1,6 @@
+import collections
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -70,6 +72,27 @@ def test_clonoquery(spark):
     assert s == {10: 1.5, 11: 0.0}
 
 
+def test_clonoquery_blocks(spark, tmp_path):
+    """Whole blocks, rows in order over chunks and tasks; an id of two rows has one block."""
+    rows = [(i * 7 % 400, f"V{i % 2}", "J1", "AAAA" if i % 3 else "AAAT") for i in range(400)] + [(20, "V1", "J1", "CCCC"), (40, "V1", "J1", "AAAA"), (999, "V1", "J1", "CCCC")]
+    ref = spark.createDataFrame(rows, "row_id long, v_call string, j_call string, cdr3 string")
+    query = ref.filter("row_id % 20 = 0")
+    clonoquery.write(query, ref, f"{tmp_path}/out", ["row_id", "cdr3"], chunk=16, share=700, repeats=2)
+    want = {}
+    for r in clonoquery.matches(query, ref).collect():
+        want.setdefault(r.query_id, []).append((r.row_id, f"{r.row_id}\t{r.cdr3}"))
+    assert {20, 40} <= {q for q, n in collections.Counter(r[0] for r in rows).items() if n > 1}
+    files = sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part"))
+    assert len(files) > 3 and {p.suffix for p in files} == {".zstd"}
+    lines = [r.value for p in files for r in spark.read.text(str(p)).collect()]
+    got = "\n".join(lines).split("\n\n")
+    assert {int(re.match("# Query: ([0-9]+)\n", b)[1]): b.split("\n")[1:] for b in got} == {q: [x for _, x in sorted(v)] for q, v in want.items()} and len(got) == len(want)
+    assert spark.read.text(f"{tmp_path}/out").count() == len(lines)
+    empty = query.filter("row_id < 0")
+    clonoquery.write(empty, ref, f"{tmp_path}/none", ["row_id"])
+    assert spark.read.text(f"{tmp_path}/none").count() == 0
+
+
 def test_usage(spark):
     df = spark.createDataFrame([("V1", "J1"), ("V1", "J1"), ("V1", "J2"), ("V2", "J1"), ("", "J1")], "v_call string, j_call string")
     m = {r.gene: (r.J1, r.J2) for r in usage.allele_matrix(df, "V", "J", ["J1", "J2"]).collect()}

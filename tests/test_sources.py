@@ -1,9 +1,11 @@
 import gzip
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from cloneframe.operators import merging
-from cloneframe.plans import files
+from cloneframe.plans import catalogue, files
 from cloneframe.sources import config, fastx, tables
 from cloneframe.streaming import counts
 
@@ -109,3 +111,15 @@ def test_augment_leaves_views_alone(spark):
     assert files._augmented(spark, "/root/testdata/sf0.001").count() > 1
     assert spark.table("_strings").columns == ["id"] and sorted(t.name for t in spark.catalog.listTables()) == before
     spark.catalog.dropTempView("_strings")
+
+
+def test_clonoquery_file_is_small(spark, tmp_path):
+    """Lines grow with the square of a class, the file does not."""
+    n, copies = 400, 50
+    spark.range(n * copies).selectExpr("id as o_orderkey", f"(id % {n}) % 24 as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    df = catalogue.queries()["clonoquery_file"](spark, str(tmp_path))
+    stored = sum(Path(p.removeprefix("file://")).stat().st_size for p in df.inputFiles())
+    r = df.agg(F.sum(F.length("line") + 1).alias("text"), F.count_if(F.col("line") != "").alias("lines")).first()
+    pairs = catalogue.queries()["clonoquery"](spark, str(tmp_path))
+    assert r.lines == pairs.count() + pairs.select("query_id").distinct().count()
+    assert r.text > 500_000 and stored * 10 < r.text
